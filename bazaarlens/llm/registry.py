@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import exact_dedup
+from bazaarlens.llm import exact_dedup, line_dedup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

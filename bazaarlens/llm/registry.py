@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import exact_dedup, line_dedup, secrets
+from bazaarlens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, secrets, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_file": token_file.op1_token_file,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, secrets, token_file
+from bazaarlens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, secrets, sentencepiece, substring_dedup, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_file": token_file.op1_token_file,
+        "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+        "op4_near_passages": substring_dedup.op4_near_passages,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_line_dedup": line_dedup.op7_line_dedup,

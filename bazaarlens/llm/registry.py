@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, secrets, sentencepiece, substring_dedup, token_file
+import corpus_pipeline
+from bazaarlens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, pii, secrets, sentencepiece, substring_dedup, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_file": token_file.op1_token_file,
+        "op2_pii": pii.op2_pii,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
         "op4_near_passages": substring_dedup.op4_near_passages,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -15,8 +15,10 @@ from bazaarlens.llm.words import blocks, hashes_between, mix, raw, word_bounds
 
 #: Words in a window, and from one window's first word to the next one's.
 WINDOW, STRIDE = 48, 36
-#: Rows of the word table and of the table of character runs; numbers in a row of each; numbers in a hidden state.
+#: Most rows of the word table and of the table of character runs; numbers in a row of each; numbers in a hidden state.
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8, 8
+#: Labelled documents in which a word or character run has to occur to get a row: this many, and this share of them.
+MIN_DOCS, MIN_SHARE = 4, 0.004
 #: The model is fitted on at most so many labelled documents of each label, those with the least hash of their id.
 MAX_DOCS = 2000
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.05, 7
@@ -24,24 +26,83 @@ EPOCHS, BATCH, RATE, SEED = 8, 64, 0.05, 7
 CUT = 0.3
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _place(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of values in sorted keys; the number of keys for others."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, at, len(keys))
+
+
+class Words:
+    """The distinct words of a block of texts, their character runs, and which word stands at each place."""
+
+    def __init__(self, texts: pa.Array):
+        data, at = raw(pc.utf8_lower(pc.fill_null(texts, "")))
+        starts, ends, self.bounds = word_bounds(data, at)
+        hashes = hashes_between(data, starts, ends)
+        self.hashes, first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
+        s, e = starts[first], ends[first]
+        # character runs of a word: every three bytes, and its first three to six
+        rows, owner = [], []
+        size = e - s
+        three = np.maximum(size - 2, 0)
+        own = np.repeat(np.arange(len(s)), three)
+        begin = np.repeat(s - (np.cumsum(three) - three), three) + np.arange(int(three.sum()))
+        rows.append(hashes_between(data, begin, begin + 3))
+        owner.append(own)
+        for k in (1, 4, 5, 6):
+            some = np.flatnonzero(size >= k)
+            rows.append(mix(hashes_between(data, s[some], s[some] + k) + np.uint64(k)))
+            owner.append(some)
+        owner, rows = np.concatenate(owner), np.concatenate(rows)
+        order = np.argsort(owner, kind="stable")
+        self.char_hash = rows[order]
+        self.char_at = np.searchsorted(owner[order], np.arange(len(s) + 1))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text of each window, its words' numbers, -1 behind the end): all windows of all texts with words."""
+        count = np.diff(self.bounds)
+        n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
+        text = np.repeat(np.arange(len(count)), n)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        at = k[:, None] * STRIDE + np.arange(WINDOW)
+        inside = at < count[text][:, None]
+        return text, np.where(inside, self.place[np.where(inside, at + self.bounds[:-1][text][:, None], 0)] if len(self.place) else -1, -1)
+
+
 class Network:
     """Word and character embeddings, a gated recurrent unit in each direction, attention pooling, a logistic output."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, seed: int = SEED, word_keys: np.ndarray | None = None, char_keys: np.ndarray | None = None):
+        self.word_keys, self.char_keys = (np.zeros(0, np.uint64) if k is None else k for k in (word_keys, char_keys))
         rng = np.random.default_rng(seed)
         x, h = WORD_DIM + CHAR_DIM, HIDDEN
         small = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0] if len(s) > 1 else 1)).astype(np.float32)
-        self.word, self.char = (rng.standard_normal((WORD_ROWS, WORD_DIM)) * 0.1).astype(np.float32), (rng.standard_normal((CHAR_ROWS, CHAR_DIM)) * 0.1).astype(np.float32)
+        self.word, self.char = ((rng.standard_normal((len(k) + 1, n)) * 0.1).astype(np.float32) for k, n in ((self.word_keys, WORD_DIM), (self.char_keys, CHAR_DIM)))
+        self.word[-1] = self.char[-1] = 0  # the last row is that of all others
         self.p = {}
         for d in "fb":
             self.p |= {f"w{d}": small(x, 3 * h), f"u{d}": small(h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
         self.p |= {"a": small(2 * h, h), "v": small(h), "o": small(2 * h), "c": np.full(1, -1.0, np.float32)}
         self.scale = np.array([1.0, 0.0], np.float32)  # calibration of the logit, fitted on documents
 
-    # inputs of distinct words: rows of the word table, and of the character table (ragged)
+    def rows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        return _place(self.word_keys, words.hashes), _place(self.char_keys, words.char_hash)
+
     def inputs(self, word_row: np.ndarray, char_row: np.ndarray, char_at: np.ndarray) -> np.ndarray:
-        mean = np.add.reduceat(self.char[char_row], char_at[:-1]) / np.diff(char_at)[:, None] if len(char_row) else np.zeros((len(word_row), CHAR_DIM), np.float32)
-        return np.concatenate([self.word[word_row], mean.astype(np.float32)], 1)
+        """Inputs of distinct words: the word's row beside the sum of its character runs' rows, over the root of their number."""
+        if not len(word_row):
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        chars = np.add.reduceat(self.char[char_row], char_at[:-1]) / np.sqrt(np.diff(char_at))[:, None]
+        return np.concatenate([self.word[word_row], chars.astype(np.float32)], 1)
+
+    def read(self, words: Words) -> np.ndarray:
+        return self.inputs(*self.rows(words), words.char_at)
 
     def forward(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows. ``x``: inputs of distinct words; ``index``: (windows, WINDOW) rows of x, -1 behind the end."""
@@ -106,46 +167,35 @@ class Network:
         return g, dx
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _vocabulary(words: Words, pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words and of the character runs that occur in ``least`` documents or more, the most frequent of them."""
+    out = []
+    runs, number = np.unique(words.char_hash, return_inverse=True)
+    size = np.diff(words.char_at)[pair[1]]
+    at = np.repeat(words.char_at[pair[1]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    of = np.unique(np.repeat(pair[0], size) * max(1, len(runs)) + number[at]) % max(1, len(runs))
+    for keys, seen, most in ((words.hashes, np.bincount(pair[1], minlength=len(words.hashes)), WORD_ROWS), (runs, np.bincount(of, minlength=len(runs)), CHAR_ROWS)):
+        some = np.flatnonzero(seen >= least)
+        out.append(np.sort(keys[some[np.argsort(-seen[some], kind="stable")[:most]]]))
+    return out[0], out[1]
 
 
-class Words:
-    """The distinct words of a block of texts: table rows of each, and which word stands at each place."""
+def _odds(net: Network, words: Words, pair: np.ndarray, word_row: np.ndarray, char_row: np.ndarray, labels: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How much each distinct word speaks for the label: the largest log odds of itself and its runs that have rows, less 1, at least 0."""
+    n = [max(1, ((labels == y) & use).sum()) for y in (0, 1)]
 
-    def __init__(self, texts: pa.Array):
-        data, at = raw(pc.utf8_lower(pc.fill_null(texts, "")))
-        starts, ends, self.bounds = word_bounds(data, at)
-        hashes = hashes_between(data, starts, ends)
-        self.hashes, first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
-        s, e = starts[first], ends[first]
-        self.word_row = (self.hashes >> np.uint64(50)).astype(np.int64)
-        # character runs of a word: every three bytes, and its first three to six
-        rows, owner = [], []
-        size = e - s
-        three = np.maximum(size - 2, 0)
-        own = np.repeat(np.arange(len(s)), three)
-        begin = np.repeat(s - (np.cumsum(three) - three), three) + np.arange(int(three.sum()))
-        rows.append(hashes_between(data, begin, begin + 3))
-        owner.append(own)
-        for k in (1, 4, 5, 6):
-            some = np.flatnonzero(size >= k)
-            rows.append(mix(hashes_between(data, s[some], s[some] + k) + np.uint64(k)))
-            owner.append(some)
-        owner, rows = np.concatenate(owner), np.concatenate(rows)
-        order = np.argsort(owner, kind="stable")
-        self.char_row = (rows[order] >> np.uint64(50)).astype(np.int64)
-        self.char_at = np.searchsorted(owner[order], np.arange(len(s) + 1))
+    def of(doc: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        doc, row = np.divmod(np.unique(doc * rows + row), rows)
+        seen = [np.bincount(row[use[doc] & (labels[doc] == y)], minlength=rows) for y in (0, 1)]
+        out = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
+        out[-1] = 0
+        return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text of each window, its words' numbers, -1 behind the end): all windows of all texts with words."""
-        count = np.diff(self.bounds)
-        n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
-        text = np.repeat(np.arange(len(count)), n)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        at = k[:, None] * STRIDE + np.arange(WINDOW)
-        inside = at < count[text][:, None]
-        return text, np.where(inside, self.place[np.where(inside, at + self.bounds[:-1][text][:, None], 0)] if len(self.place) else -1, -1)
+    word = of(pair[0], word_row[pair[1]], len(net.word))[word_row]
+    size = np.diff(words.char_at)[pair[1]]
+    at = np.repeat(words.char_at[pair[1]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    run = np.maximum.reduceat(of(np.repeat(pair[0], size), char_row[at], len(net.char))[char_row], words.char_at[:-1])
+    return np.maximum(np.maximum(word, run) - 1, 0)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Network:
@@ -156,28 +206,25 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
     The logit of a document's highest window is then calibrated on a fifth of the documents that was held back.
     """
     rng = np.random.default_rng(seed)
-    net, words = Network(seed), Words(pa.array(texts, pa.string()))
+    words = Words(pa.array(texts, pa.string()))
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+    pair = np.unique(np.stack([doc, words.place]), axis=1)  # (document, distinct word)
+    net = Network(seed, *_vocabulary(words, pair, max(MIN_DOCS, int(MIN_SHARE * len(texts)))))
+    word_row, char_row = net.rows(words)
     owner, index = words.windows()
     if not len(owner) or labels.min() == labels.max():
         net.p["c"][0] = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))) if len(labels) else -3.0
         net.p["o"][:] = 0
         return net
     held = np.array([zlib.crc32(b"held:" + t[:4096].encode()) % 5 == 0 for t in texts])
-    # log odds of words and character runs over documents
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    odds = np.zeros(len(words.hashes))
-    pair = np.unique(np.stack([doc, words.place]), axis=1)
-    for sign in (1, 0):
-        use = (labels[pair[0]] == sign) & ~held[pair[0]]
-        seen = np.bincount(pair[1][use], minlength=len(odds))
-        odds += (1 if sign else -1) * np.log((seen + 0.5) / ((labels == sign) & ~held).sum())
-    rank = np.where(index >= 0, np.maximum(odds, 0)[index], 0).sum(1)
-    memory = {k: np.zeros_like(v) for k, v in net.p.items()} | {"word": np.zeros(WORD_ROWS, np.float32), "char": np.zeros(CHAR_ROWS, np.float32)}
+    rank = np.where(index >= 0, np.append(_odds(net, words, pair, word_row, char_row, labels, ~held), 0)[index], 0).sum(1)
+    memory = {k: np.zeros_like(v) for k, v in net.p.items()} | {"word": np.zeros(len(net.word), np.float32), "char": np.zeros(len(net.char), np.float32)}
     train = np.flatnonzero(~held & (np.diff(words.bounds) > 0))
     weight = np.where(labels == 1, 0.5 / max(1, (labels[train] == 1).sum()), 0.5 / max(1, (labels[train] == 0).sum())) * len(train)
     for epoch in range(epochs):
         if epoch == epochs // 2:
-            rank = np.concatenate([net.forward(net.inputs(words.word_row, words.char_row, words.char_at), index[k : k + 4096]) for k in range(0, len(index), 4096)])
+            x = net.inputs(word_row, char_row, words.char_at)
+            rank = np.concatenate([net.forward(x, index[k : k + 4096]) for k in range(0, len(index), 4096)])
         order = np.lexsort((-rank, owner))
         top = order[np.concatenate([[True], np.diff(owner[order]) > 0])]
         best = np.zeros(len(texts), np.int64)
@@ -195,10 +242,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
             used, local = np.unique(index[chosen], return_inverse=True)
             local = local.reshape(len(chosen), WINDOW) - (used[0] == -1)
             used = used[used >= 0]
-            wr = words.word_row[used]
+            wr = word_row[used]
             size = words.char_at[used + 1] - words.char_at[used]
             at = np.concatenate([[0], np.cumsum(size)])
-            cr = words.char_row[np.repeat(words.char_at[used] - at[:-1], size) + np.arange(at[-1])]
+            cr = char_row[np.repeat(words.char_at[used] - at[:-1], size) + np.arange(at[-1])]
             x = net.inputs(wr, cr, at)
             drop = (rng.random(len(used)) < 0.3)[:, None] * np.array([1] * WORD_DIM + [0] * CHAR_DIM)  # word inputs go now and then, so that characters count
             x = x * (1 - drop).astype(np.float32)
@@ -208,12 +255,13 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
             for name, grad in g.items():
                 memory[name] += grad**2
                 net.p[name] -= RATE * grad / np.sqrt(memory[name] + 1e-8)
-            for table, name, rows, grad in ((net.word, "word", wr, dx[:, :WORD_DIM]), (net.char, "char", cr, np.repeat(dx[:, WORD_DIM:] / np.maximum(size, 1)[:, None], size, 0))):
+            for table, name, rows, grad in ((net.word, "word", wr, dx[:, :WORD_DIM]), (net.char, "char", cr, np.repeat(dx[:, WORD_DIM:] / np.sqrt(size)[:, None], size, 0))):
                 total = np.zeros_like(table)
                 np.add.at(total, rows, grad)
                 hit = np.unique(rows)
                 memory[name][hit] += (total[hit] ** 2).mean(1)
                 table[hit] -= RATE * total[hit] / np.sqrt(memory[name][hit] + 1e-8)[:, None]
+                table[-1] = 0
     logits = _highest(net, words)
     use = held & (np.diff(words.bounds) > 0) if (labels[held].sum() >= 5) else np.diff(words.bounds) > 0
     net.scale = _calibrate(logits[use], labels[use])
@@ -223,13 +271,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
 def _calibrate(logit: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slope (kept positive) and offset of a logistic fit, with a light pull of the slope to 1."""
     a, b = 1.0, 0.0
-    for _ in range(50):
+    loss = lambda a, b: (np.logaddexp(0, a * logit + b) - y * (a * logit + b)).sum() + ((a - 1) ** 2 + 0.01 * b * b) / 2
+    for _ in range(30):
         q = _sigmoid(a * logit + b)
         g = np.array([((q - y) * logit).sum() + (a - 1), (q - y).sum() + 0.01 * b])
         v = q * (1 - q)
         m = np.array([[(v * logit**2).sum() + 1, (v * logit).sum()], [(v * logit).sum(), v.sum() + 0.01]])
         step = np.linalg.solve(m, g)
-        a, b = max(0.05, a - step[0]), b - step[1]
+        size = 1.0
+        while size > 1e-6 and loss(max(0.05, a - size * step[0]), b - size * step[1]) > loss(a, b):
+            size /= 2
+        a, b = max(0.05, a - size * step[0]), b - size * step[1]
     return np.array([a, b], np.float32)
 
 
@@ -238,7 +290,7 @@ def _highest(net: Network, words: Words) -> np.ndarray:
     owner, index = words.windows()
     out = np.full(len(words.bounds) - 1, net.p["c"][0] - 4, np.float32)
     if len(owner):
-        x = net.inputs(words.word_row, words.char_row, words.char_at)
+        x = net.read(words)
         logits = np.concatenate([net.forward(x, index[k : k + 4096]) for k in range(0, len(index), 4096)])
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         out[owner[first]] = np.maximum.reduceat(logits, first)

@@ -44,7 +44,7 @@ def test_query(spark, sample):
     for r in sample.collect():
         want = brute(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{n}:{s}:{e}" for n, s, e in want).encode()).hexdigest()
-        assert got[r.doc_id].n_hex == sum(n == "hex" for n, _, _ in want)
+        assert [got[r.doc_id][f"n_{k}"] for k, _, _ in BASE] == [sum(n == k for n, _, _ in want) for k, _, _ in BASE]
     assert len(got) == sample.count()
 
 

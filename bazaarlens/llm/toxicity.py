@@ -20,7 +20,7 @@ WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8, 8
 #: Labelled documents in which a word or character run has to occur to get a row: this many, and this share of them.
 MIN_DOCS, MIN_SHARE = 4, 0.004
 #: The model is fitted on at most so many labelled documents of each label, those with the least hash of their id.
-MAX_DOCS = 2000
+MAX_DOCS = 1000
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.05, 7
 #: A document's score at which it is predicted toxic.
 CUT = 0.3
@@ -167,35 +167,38 @@ class Network:
         return g, dx
 
 
-def _vocabulary(words: Words, pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _documents(words: Words, row: np.ndarray, run_row: np.ndarray, sizes: tuple[int, int], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many of the texts that ``use`` names each word row and each character-run row occurs; text by text, to need little memory."""
+    seen = np.zeros(sizes[0], np.int64), np.zeros(sizes[1], np.int64)
+    for i in np.flatnonzero(use):
+        own = np.unique(words.place[words.bounds[i] : words.bounds[i + 1]])
+        size = words.char_at[own + 1] - words.char_at[own]
+        at = np.repeat(words.char_at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        seen[0][np.unique(row[own])] += 1
+        seen[1][np.unique(run_row[at])] += 1
+    return seen
+
+
+def _vocabulary(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words and of the character runs that occur in ``least`` documents or more, the most frequent of them."""
     out = []
     runs, number = np.unique(words.char_hash, return_inverse=True)
-    size = np.diff(words.char_at)[pair[1]]
-    at = np.repeat(words.char_at[pair[1]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    of = np.unique(np.repeat(pair[0], size) * max(1, len(runs)) + number[at]) % max(1, len(runs))
-    for keys, seen, most in ((words.hashes, np.bincount(pair[1], minlength=len(words.hashes)), WORD_ROWS), (runs, np.bincount(of, minlength=len(runs)), CHAR_ROWS)):
+    every = np.ones(len(words.bounds) - 1, bool)
+    counts = _documents(words, np.arange(len(words.hashes)), number, (len(words.hashes), len(runs)), every)
+    for keys, seen, most in ((words.hashes, counts[0], WORD_ROWS), (runs, counts[1], CHAR_ROWS)):
         some = np.flatnonzero(seen >= least)
         out.append(np.sort(keys[some[np.argsort(-seen[some], kind="stable")[:most]]]))
     return out[0], out[1]
 
 
-def _odds(net: Network, words: Words, pair: np.ndarray, word_row: np.ndarray, char_row: np.ndarray, labels: np.ndarray, use: np.ndarray) -> np.ndarray:
+def _odds(net: Network, words: Words, word_row: np.ndarray, char_row: np.ndarray, labels: np.ndarray, use: np.ndarray) -> np.ndarray:
     """How much each distinct word speaks for the label: the largest log odds of itself and its runs that have rows, less 1, at least 0."""
+    both = [_documents(words, word_row, char_row, (len(net.word), len(net.char)), use & (labels == y)) for y in (0, 1)]
     n = [max(1, ((labels == y) & use).sum()) for y in (0, 1)]
-
-    def of(doc: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        doc, row = np.divmod(np.unique(doc * rows + row), rows)
-        seen = [np.bincount(row[use[doc] & (labels[doc] == y)], minlength=rows) for y in (0, 1)]
-        out = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
-        out[-1] = 0
-        return out
-
-    word = of(pair[0], word_row[pair[1]], len(net.word))[word_row]
-    size = np.diff(words.char_at)[pair[1]]
-    at = np.repeat(words.char_at[pair[1]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    run = np.maximum.reduceat(of(np.repeat(pair[0], size), char_row[at], len(net.char))[char_row], words.char_at[:-1])
-    return np.maximum(np.maximum(word, run) - 1, 0)
+    odds = [np.log((b + 0.5) / n[1]) - np.log((a + 0.5) / n[0]) for a, b in zip(*both, strict=True)]
+    odds[0][-1] = odds[1][-1] = 0
+    run = np.maximum.reduceat(odds[1][char_row], words.char_at[:-1])
+    return np.maximum(np.maximum(odds[0][word_row], run) - 1, 0)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Network:
@@ -207,9 +210,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
     """
     rng = np.random.default_rng(seed)
     words = Words(pa.array(texts, pa.string()))
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    pair = np.unique(np.stack([doc, words.place]), axis=1)  # (document, distinct word)
-    net = Network(seed, *_vocabulary(words, pair, max(MIN_DOCS, int(MIN_SHARE * len(texts)))))
+    net = Network(seed, *_vocabulary(words, max(MIN_DOCS, int(MIN_SHARE * len(texts)))))
     word_row, char_row = net.rows(words)
     owner, index = words.windows()
     if not len(owner) or labels.min() == labels.max():
@@ -217,7 +218,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
         net.p["o"][:] = 0
         return net
     held = np.array([zlib.crc32(b"held:" + t[:4096].encode()) % 5 == 0 for t in texts])
-    rank = np.where(index >= 0, np.append(_odds(net, words, pair, word_row, char_row, labels, ~held), 0)[index], 0).sum(1)
+    rank = np.where(index >= 0, np.append(_odds(net, words, word_row, char_row, labels, ~held), 0)[index], 0).sum(1)
     memory = {k: np.zeros_like(v) for k, v in net.p.items()} | {"word": np.zeros(len(net.word), np.float32), "char": np.zeros(len(net.char), np.float32)}
     train = np.flatnonzero(~held & (np.diff(words.bounds) > 0))
     weight = np.where(labels == 1, 0.5 / max(1, (labels[train] == 1).sum()), 0.5 / max(1, (labels[train] == 0).sum())) * len(train)

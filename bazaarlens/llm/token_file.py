@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,52 +109,86 @@ def decode(data: bytes, marks: np.ndarray, n: int, table: tuple[np.ndarray, np.n
 
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|\s\Z|\A\s|[^\S \n]")
+#: Texts with these are cut by _CUT; all others at each blank.
+_ODD = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}|^\\s|\\s$|^$|[\\t\\r\u000b\u000c\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _held: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(tokenizer, remembered ids) of this Python worker."""
+    """(tokenizer, bytes of each id, remembered ids) of this Python worker."""
     if path not in _held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True
-        _held[path] = (made, {})
+        size = np.zeros(made.get_vocab_size(), np.int64)
+        for piece, i in made.get_vocab().items():
+            size[i] = len(piece)  # a byte-level piece has a character for each byte
+        _held[path] = (made, size, {})
     return _held[path]
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The tokenizer's ids of whole texts, as by encoding each text alone.
+def _encoded(tokenizer, size: np.ndarray, stretches: list[str]) -> list[bytes]:
+    """Ids of stretches that each start with a blank, have another one nowhere, and end otherwise: many in one call, cut by their bytes."""
+    out = []
+    groups = [stretches[k : k + 1000] for k in range(0, len(stretches), 1000)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        ends = np.cumsum([len(x.encode()) for x in group])
+        cut = np.searchsorted(np.cumsum(size[ids]), ends, "right")
+        flat = ids.tobytes()
+        out += [flat[4 * a : 4 * b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+    return out
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokenizer's ids of whole texts in a row, as by encoding each text alone, and the texts' bounds in them.
 
     The pre-tokenizer always starts a new token at a single blank between two other characters, so texts are cut
     there, and each distinct stretch is encoded once and remembered.
     """
-    tokenizer, known = _encoder(path)
-    parts = []
-    for text in texts:
-        if _ODD.search(text):
-            parts.append(_CUT.split(text))
-        else:
-            head, *rest = text.split(" ")
-            parts.append([head, *[" " + x for x in rest]])
-    new = list(set().union(*parts) - known.keys())
+    tokenizer, size, known = _encoder(path)
+    odd = pc.match_substring_regex(texts, _ODD)
+    lists = pc.split_pattern(texts, " ")
+    if pc.any(odd).as_py():
+        lists = pa.array([[p[1:] if k and p[:1] == " " else p for k, p in enumerate(_CUT.split(t))] if o else x for t, o, x in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist(), strict=True)], pa.list_(pa.string()))
+    count = np.asarray(pc.list_value_length(lists), np.int64)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    coded = lists.flatten().dictionary_encode()
+    number, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+    # the first stretch of a text has no blank before it
+    heads = bounds[:-1][count > 0]
+    plain = np.ones(len(number), bool)
+    plain[heads] = False
+    inner = np.unique(number[plain])
+    new = [w for w in map(words.__getitem__, inner.tolist()) if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(set().union(*parts))
-    for k in range(0, len(new), 20_000):
-        some = new[k : k + 20_000]
-        for x, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[x] = e.ids
-    return [np.fromiter((i for x in p for i in known[x]), np.uint32) for p in parts]
+        new = [words[i] for i in inner.tolist()]
+    tame = [w for w in new if w and not w[-1].isspace() and not w[0].isspace() and " " not in w]
+    known.update(zip(tame, _encoded(tokenizer, size, [" " + w for w in tame]), strict=True))
+    wild = [w for w in new if w not in known]
+    known.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(wild, tokenizer.encode_batch_fast([" " + w for w in wild], add_special_tokens=False), strict=True)})
+    first = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([words[i] for i in number[heads].tolist()], add_special_tokens=False)]
+    held = [known[words[i]] for i in inner.tolist()] + first
+    at = np.zeros(len(words) + 1, np.int64)
+    at[inner] = np.arange(len(inner))
+    where = at[number]
+    where[heads] = len(inner) + np.arange(len(heads))
+    flat, n = np.frombuffer(b"".join(held), "<u4"), np.array([len(x) >> 2 for x in held], np.int64)
+    start, own = (np.cumsum(n) - n)[where], n[where] if len(where) else np.zeros(0, np.int64)
+    ends = np.cumsum(own)
+    ids = flat[np.repeat(start - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return ids, np.concatenate([[0], ends])[bounds]
 
 
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column("text")):
-                ids = [np.append(x, np.uint32(end_id)).astype(np.uint32) for x in token_ids(texts.to_pylist(), path)]
+                flat, at = token_ids(texts, path)
+                ids = [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch({"id": batch.column("id").slice(first, len(texts)), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([_packed(x) for x in ids], pa.binary())})
 
     return run

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.plans import market
+from bazaarlens.plans import market, reports, titles
 
-MODULES = (market,)
+MODULES = (market, reports, titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

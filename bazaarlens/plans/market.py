@@ -9,12 +9,12 @@ from bazaarlens.functions import stats
 from bazaarlens.operators import knn, lifecycle, matching, merge, valuation
 from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, table
 
-NOW = F.expr("timestamp_ntz '2024-07-01 00:00:00'")
 _NOW = "timestamp '2024-07-01 00:00:00'"
 
 
-def _facts(df: DataFrame) -> DataFrame:
-    return df.drop("caveats", "comps")
+def now():
+    """The time of all fixture queries."""
+    return F.expr("timestamp_ntz '2024-07-01 00:00:00'")
 
 
 # ---- neighbours and valuation
@@ -83,7 +83,7 @@ def scannable_share(spark: SparkSession, sf: str) -> DataFrame:
     return active.groupBy("category").agg(F.count("*").alias("n_active"), F.count("scannable").alias("n_scannable"), (F.count("scannable") / F.count("*")).alias("share"))
 
 
-_POOL = f", pool as (select * from listing where {COMPARABLE} and source = 'ebay' and embedding is not null)\n"
+_POOL = f", pool as materialized (select * from listing where {COMPARABLE} and source = 'ebay' and embedding is not null)\n"
 _SIM = "floor(list_cosine_similarity(q.embedding::double[], c.embedding::double[]) * 1e9 + 0.5) / 1e9"
 _TOLERANT = " and ".join(f"(q.{t} is null or c.{t} is null or q.{t} = c.{t})" for t in knn.TOLERANT)
 _STRICT = "(q.category is null or q.category = c.category) and (q.model_key is null or q.model_key = c.model_key)"
@@ -96,13 +96,13 @@ def _near(queries: str, pool: str, on: str, k: int) -> str:
 
 
 _CANDIDATES = f""", sold as (select * from listing where status = 'likely_sold'),
-cand as (select * from listing where source = 'ebay' and status = 'active' and {COMPARABLE} and not is_auction and embedding is not null
+cand as materialized (select * from listing where source = 'ebay' and status = 'active' and {COMPARABLE} and not is_auction and embedding is not null
   and (model_key in (select model_key from sold where model_key is not null) or epid in (select epid from sold where epid is not null)
     or not exists (select 1 from sold where model_key is not null or epid is not null)))
 """
 _COMPS = (
-    _CANDIDATES + _POOL + ", near as (" + _near("cand", "pool", _STRICT + " and " + _TOLERANT, 60) + """),
-comps as (select n.query_id, n.listing_id, n.rank, coalesce(l.price + l.shipping_cost, l.price) as comp_price, l.shipping_cost is null as substituted,
+    _CANDIDATES + _POOL + ", near as materialized (" + _near("cand", "pool", _STRICT + " and " + _TOLERANT, 60) + """),
+comps as materialized (select n.query_id, n.listing_id, n.rank, coalesce(l.price + l.shipping_cost, l.price) as comp_price, l.shipping_cost is null as substituted,
     case when coalesce(l.price_confidence, 0) = 0 then 1.0 else l.price_confidence end as weight, l.sale_confidence, l.accepts_best_offer
   from near n join listing l on l.listing_id = n.listing_id where l.status = 'likely_sold' and (l.sale_confidence is null or l.sale_confidence >= 0.3))
 """
@@ -170,7 +170,7 @@ _MATCH = (
     _POOL + ", ask as (select * from listing where source = 'depop' and listing_id % 5 = 0),\n"
     "photo as (select q.listing_id as query_id, c.listing_id from ask q join listing c on q.image_hash = c.image_hash and c.source = 'ebay' and q.listing_id <> c.listing_id),\n"
     "rest as (select * from ask where listing_id not in (select query_id from photo)),\n"
-    "near as (" + _near("rest", "pool", _STRICT + " and " + _TOLERANT, 10) + """),
+    "near as materialized (" + _near("rest", "pool", _STRICT + " and " + _TOLERANT, 10) + """),
 matched as (select query_id, listing_id, 1.0 as similarity, row_number() over (partition by query_id order by listing_id) as rank, 'image_hash' as matched_by from photo
   union all select query_id, listing_id, similarity, rank, 'embedding' from near)
 """
@@ -196,16 +196,16 @@ from ask a left join top t on t.query_id = a.listing_id left join ctx x on x.que
 
 
 def retire_stale(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.retire(listing(spark, sf), NOW).select("listing_id", "status", "retired")
+    return lifecycle.retire(listing(spark, sf), now()).select("listing_id", "status", "retired")
 
 
 def proven_alive(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf).filter("status = 'active' and source = 'ebay'")
-    return rows.groupBy("category").agg(F.count_if(lifecycle.proven_alive(NOW)).alias("n_alive"), F.count("*").alias("n_active"))
+    return rows.groupBy("category").agg(F.count_if(lifecycle.proven_alive(now())).alias("n_alive"), F.count("*").alias("n_active"))
 
 
 def check_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.due(listing(spark, sf), NOW).select("listing_id", "last_checked_at", "missing_since")
+    return lifecycle.due(listing(spark, sf), now()).select("listing_id", "last_checked_at", "missing_since")
 
 
 def two_strike(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,8 +216,8 @@ def two_strike(spark: SparkSession, sf: str) -> DataFrame:
 def check_pass(spark: SparkSession, sf: str) -> DataFrame:
     """One check of the listings that are due: every third is gone."""
     rows = listing(spark, sf)
-    gone = lifecycle.due(rows, NOW).select("listing_id", (F.col("listing_id") % 3 == 0).alias("ended"))
-    return lifecycle.checked(rows, gone, NOW).select("listing_id", "status", "missing_since", "change")
+    gone = lifecycle.due(rows, now()).select("listing_id", (F.col("listing_id") % 3 == 0).alias("ended"))
+    return lifecycle.checked(rows, gone, now()).select("listing_id", "status", "missing_since", "change")
 
 
 def check_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,8 +232,8 @@ def relist_join(spark: SparkSession, sf: str) -> DataFrame:
 def score_sale(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf)
     sold = rows.filter("status = 'likely_sold'")
-    sold = sold.join(lifecycle.relists(sold, rows, NOW), "listing_id", "left")
-    out = lifecycle.scored(sold, NOW)
+    sold = sold.join(lifecycle.relists(sold, rows, now()), "listing_id", "left")
+    out = lifecycle.scored(sold, now())
     return out.select("listing_id", "relist_id", F.round("sale_score", 6).alias("sale_score"), F.round("price_score", 6).alias("price_score"), F.size("signals").alias("n_signals"), F.element_at("signals", "price_bias").alias("price_bias"))
 
 
@@ -284,20 +284,20 @@ _FLAGS = ("created", "updated", "revived", "price_changed")
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     stored, seen = _page(spark, sf)
-    return merge.upsert(stored, seen, NOW).select("source", "source_id", "price", "shipping_cost", "shipping_estimated", "status", "last_seen_at", "missing_since", "epid", "image_hash", *_FLAGS)
+    return merge.upsert(stored, seen, now()).select("source", "source_id", "price", "shipping_cost", "shipping_estimated", "status", "last_seen_at", "missing_since", "epid", "image_hash", *_FLAGS)
 
 
 def upsert_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.counters(merge.upsert(*_page(spark, sf), NOW))
+    return merge.counters(merge.upsert(*_page(spark, sf), now()))
 
 
 def upsert_observations(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.observations(merge.upsert(*_page(spark, sf), NOW), NOW)
+    return merge.observations(merge.upsert(*_page(spark, sf), now()), now())
 
 
 def capture_upsert(spark: SparkSession, sf: str) -> DataFrame:
     stored, seen = _page(spark, sf)
-    rows = merge.upsert(stored, seen, NOW, merge.CAPTURE_POLICY, revive=False, compare_incoming=True)
+    rows = merge.upsert(stored, seen, now(), merge.CAPTURE_POLICY, revive=False, compare_incoming=True)
     return rows.select("source", "source_id", "price", "shipping_cost", "status", "completeness", *_FLAGS)
 
 

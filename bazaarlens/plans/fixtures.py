@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 LISTING = """
 select k as listing_id, concat('item-', cast(k as string)) as source_id,
   case k % 11 when 0 then 'depop' when 1 then 'facebook' else 'ebay' end as source,
-  floor(p_retailprice * (50 + (k * 37) % 101) + 0.5) / 100.0 as price,
+  cast(floor(p_retailprice * (50 + (k * 37) % 101) + 0.5) as double) / cast(100 as double) as price,
   case when k % 3 = 0 then null else cast((13 * k) % 41 as double) end as shipping_cost,
   k % 7 = 1 as shipping_estimated, p_type as category,
   case when k % 13 = 0 then null else p_brand end as model_key,
@@ -22,8 +22,8 @@ select k as listing_id, concat('item-', cast(k as string)) as source_id,
   case when k % 19 = 7 then k % 3 end as bid_count, k % 7 < 3 as accepts_best_offer,
   case when k % 23 = 0 then null else concat('h', cast(k % 997 as string)) end as image_hash,
   status,
-  case when status <> 'likely_sold' or k % 17 = 0 then null else ((7 * k) % 101) / 100.0 end as sale_confidence,
-  case when status <> 'likely_sold' then null when k % 21 = 0 then 0.0 when k % 19 = 7 then 0.6 when k % 3 = 0 then 1.0 when k % 3 = 1 then 0.9 else 0.75 end as price_confidence,
+  case when status <> 'likely_sold' or k % 17 = 0 then null else cast((7 * k) % 101 as double) / cast(100 as double) end as sale_confidence,
+  cast(case when status <> 'likely_sold' then null when k % 21 = 0 then 0.0 when k % 19 = 7 then 0.6 when k % 3 = 0 then 1.0 when k % 3 = 1 then 0.9 else 0.75 end as double) as price_confidence,
   posted_at, first_seen_at, last_seen_at,
   case when k % 4 = 0 then null else last_seen_at + interval '1' day end as last_checked_at,
   case when status = 'likely_sold' or (status = 'active' and k % 23 = 0) then least(now_ts, posted_at + interval '1' day * cast(k % 97 as int)) end as missing_since,

@@ -109,7 +109,7 @@ comps as materialized (select n.query_id, n.listing_id, n.rank, coalesce(l.price
 )
 _VALUED = (
     _COMPS + """, runs as (select *, sum(weight) over (partition by query_id order by comp_price, weight, listing_id rows unbounded preceding) as run, sum(weight) over (partition by query_id) as total from comps),
-est as (select query_id, min(comp_price) filter (where run >= total / 2) as estimate from runs group by query_id),
+est as (select query_id, min(comp_price) filter (where run >= total / 2 - 1e-9) as estimate from runs group by query_id),
 agg as (select query_id, count(*) as n, max(comp_price) / min(comp_price) as spread, count(*) filter (where accepts_best_offer) as offers,
     list_sort(list(sale_confidence) filter (where sale_confidence is not null)) as sales, list_sort(list(weight)) as weights, list(listing_id order by rank) as comp_ids from comps group by query_id),
 valued as (select c.listing_id, c.category, coalesce(c.price + c.shipping_cost, c.price) as asking, coalesce(a.n, 0) as n,
@@ -136,7 +136,7 @@ select category, model_key, n, greatest(0.0, least(1.0, (case when n < 5 then 0.
     "weighted_median_by_key": WITH_LISTING + """, r as (select category, model_key, price, coalesce(price_confidence, 1.0) as w, listing_id from listing where status = 'likely_sold'),
 s as (select *, sum(w) over (partition by category, model_key order by price, listing_id rows unbounded preceding) as run, sum(w) over (partition by category, model_key) as total,
   row_number() over (partition by category, model_key order by price, listing_id) as i, count(*) over (partition by category, model_key) as n from r)
-select category, model_key, min(price) filter (where case when total > 0 then run >= total / 2 else i > n // 2 end) as weighted_median from s group by 1, 2""",
+select category, model_key, min(price) filter (where case when total > 0 then run >= total / 2 - 1e-9 else i > n // 2 end) as weighted_median from s group by 1, 2""",
     "scannable_share": WITH_LISTING + _CANDIDATES + """select l.category, count(*) as n_active, count(c.listing_id) as n_scannable, count(c.listing_id) / count(*) as share
 from listing l left join cand c on c.listing_id = l.listing_id where l.status = 'active' group by l.category""",
 }

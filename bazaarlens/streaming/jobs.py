@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from bazaarlens.operators import inference
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,7 +24,7 @@ class TwoStrikes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("strike", "status string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at", "tie"])
         status = self.state.get()[0] if self.state.exists() else "alive"
         out = []
@@ -51,7 +53,7 @@ class ChangesOnly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "price double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["observed_at", "tie"])
         seen = self.state.exists()
         last = self.state.get()[0] if seen else None
@@ -74,6 +76,46 @@ def announce_once(deals: DataFrame) -> DataFrame:
     return deals.dropDuplicates(["listing_id"])
 
 
+class Unseen(StatefulProcessor):
+    """Reports a listing once its last sighting is ``after_ms`` of event time ago; a new sighting starts the clock again."""
+
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("due", "due long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = max(int(frame["at"].max().timestamp() * 1000) for frame in rows)
+        due = latest + self.after_ms
+        if self.state.exists():
+            before = self.state.get()[0]
+            if due <= before:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(due)
+        self.state.update((due,))
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"listing_id": [key[0]], "unseen_since": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs() - self.after_ms, unit="ms")]})
+
+
+def unseen(sightings: DataFrame, after_ms: int, late: str = "1 hour") -> DataFrame:
+    """Listings (listing_id, unseen_since) that were not seen for ``after_ms``; the state of each goes when it is reported."""
+    need_rocksdb(sightings.sparkSession)
+    rows = sightings.withWatermark("at", late)
+    return rows.groupBy("listing_id").transformWithStateInPandas(Unseen(after_ms), "listing_id long, unseen_since timestamp", "append", "eventTime")
+
+
+def embed_stream(listings: DataFrame, model: Callable[[list], list], column: str = "images") -> DataFrame:
+    """Vectors for listings as they come; the model sees Arrow batches, as in the batch job."""
+    return inference.embed(listings, model, column)
+
+
 def activity(events: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Sightings by window of event time; windows close once the watermark has passed them."""
     return events.withWatermark("at", late).groupBy(F.window("at", window).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("listing_id").alias("listings"))

@@ -88,3 +88,14 @@ def search_health(runs: DataFrame) -> DataFrame:
     """One row from runs (search_id, failed, total, kept): searches run and failed, truncated, and whether the fault is systematic."""
     rows = runs.agg(F.count("*").alias("searches_run"), F.count_if("failed").alias("searches_failed"), F.count_if(~F.col("failed") & (F.col("total") > F.col("kept"))).alias("truncated"))
     return rows.withColumn("systematic", F.col("searches_failed") >= F.greatest(F.lit(2), F.floor(F.col("searches_run") / 2)))
+
+
+def enabled(searches: DataFrame) -> DataFrame:
+    return searches.filter("enabled")
+
+
+def bookkept(searches: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """Saved searches after a run (runs: search_id, failed, total): those that ran get its time and total; others stay."""
+    ran = runs.filter("not failed").select("search_id", F.col("total").cast("int").alias("__total"), F.lit(True).alias("__ran"))
+    rows = searches.join(ran, "search_id", "left")
+    return rows.withColumn("last_run_at", F.when(F.col("__ran"), now).otherwise(F.col("last_run_at"))).withColumn("last_result_total", F.coalesce("__total", "last_result_total")).drop("__total", "__ran")

@@ -319,6 +319,12 @@ def search_health(spark: SparkSession, sf: str) -> DataFrame:
     return merge.search_health(runs)
 
 
+def search_bookkeeping(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("search_id"), F.col("c_name").alias("keyword"), (F.col("c_custkey") % 8 != 0).alias("enabled"), F.lit(None).cast("timestamp_ntz").alias("last_run_at"), F.lit(7).alias("last_result_total"), "c_acctbal", "c_nationkey")
+    runs = merge.enabled(rows).select("search_id", (F.col("c_acctbal") < 0).alias("failed"), (F.col("c_nationkey") * 30).alias("total"))
+    return merge.bookkept(rows.drop("c_acctbal", "c_nationkey"), runs, now())
+
+
 _MERGE = WITH_LISTING + """, stored as (select * from listing where listing_id % 3 <> 0),
 seen as (select *, case when listing_id % 7 = 0 then price + 10 else price end as new_price, case when listing_id % 5 = 0 then null else shipping_cost end as new_ship from listing where listing_id % 2 = 0),
 m as (select coalesce(s.source, n.source) as source, coalesce(s.source_id, n.source_id) as source_id, s.listing_id is not null as was, n.listing_id is not null as came, s.listing_id as sid, n.listing_id as nid, s.price as old_price, n.new_price, s.shipping_cost as old_ship, n.new_ship,
@@ -340,6 +346,8 @@ SQL |= {
     "capture_upsert": _MERGE + "select source, source_id, price, shipping_cost, case when not was then 'active' else old_status end as status, case when was then old_comp else new_comp end as completeness, created, updated, false as revived, capture_changed as price_changed from v",
     "price_changes": _HISTORY + "select listing_id, tie, price from d",
     "price_series_summary": _HISTORY + "select listing_id, arg_min(price, (ts, tie)) as first_price, arg_max(price, (ts, tie)) as last_price, min(price) as lowest, max(price) as highest, count(*) as n from d group by 1",
+    "search_bookkeeping": f"""with r as (select *, c_custkey % 8 <> 0 as on_, c_custkey % 8 <> 0 and c_acctbal >= 0 as ran from customer)
+select c_custkey as search_id, c_name as keyword, on_ as enabled, case when ran then {_NOW} end as last_run_at, case when ran then c_nationkey * 30 else 7 end as last_result_total from r""",
     "search_health": """with r as (select c_acctbal < 0 as failed, c_nationkey * 30 as total, least(200, c_nationkey * 30) as kept from customer where c_custkey < 64 and c_custkey % 8 <> 0)
 select count(*) as searches_run, count(*) filter (where failed) as searches_failed, count(*) filter (where not failed and total > kept) as truncated, count(*) filter (where failed) >= greatest(2, count(*) // 2) as systematic from r""",
 }

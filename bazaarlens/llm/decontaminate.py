@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import join_sized, written
-from bazaarlens.llm.words import blocks, shingles, word_hashes
+from bazaarlens.llm.words import blocks, shingles, tidied, word_hashes
 
 #: Words in a seed, seeds of an item (its rarest), and the share of the best possible score that counts as a copy.
 SEED_WORDS, SEEDS, MIN_SCORE = 3, 24, 0.5
@@ -71,7 +71,7 @@ def _grams(n: int, only: np.ndarray | None):
                     rows, own = row[part : part + 500_000], place[part : part + 500_000]
                     yield pa.record_batch({"id": batch.column("id").take(pa.array(rows + first)), "gram": pa.array(values[own].astype(np.int64)), "at": pa.array((own - bounds[rows]).astype(np.int32))})
 
-    return run
+    return tidied(run)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

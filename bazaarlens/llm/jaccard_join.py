@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import components, join_sized, written
-from bazaarlens.llm.words import blocks, min_hashes, mix, shingles, word_hashes
+from bazaarlens.llm.words import blocks, min_hashes, mix, shingles, tidied, word_hashes
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 96
 #: Texts in a block of a candidate group; larger groups are compared block by block.
@@ -54,7 +54,7 @@ def _signatures(bands: int, rows: int, n: int):
                     }
                 )
 
-    return run
+    return tidied(run)
 
 
 def _sets(n: int):
@@ -68,7 +68,7 @@ def _sets(n: int):
                 made = pa.record_batch({"set_key": batch.column("set_key").slice(first, len(texts)), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
                 yield made.filter(pa.array([_digest(s) == k for s, k in zip(sets, made.column("set_key").to_pylist(), strict=True)], pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:

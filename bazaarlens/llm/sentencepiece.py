@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.words import blocks
+from bazaarlens.llm.words import blocks, tidied
 
 #: The whitespace marker; a text is encoded with one in front of it and one for each blank.
 MARK = "▁"
 #: How far below the least score a character that no piece covers is scored.
 UNKNOWN_PENALTY = 10.0
 #: Distinct stretches a task remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -270,7 +270,7 @@ def _encoded(path: str):
                 part = batch.slice(first, len(texts))
                 yield pa.record_batch([*part.columns, pa.array(encode_texts(pieces, known, texts), pa.binary())], names=[*part.schema.names, "ids"])
 
-    return run
+    return tidied(run)
 
 
 def _decoded(path: str):
@@ -282,7 +282,7 @@ def _decoded(path: str):
                 texts = [None if x is None else decode_ids(pieces, np.frombuffer(x, "<i4")) for x in held.to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return run
+    return tidied(run)
 
 
 def _more(df: DataFrame, column: str, kind: str) -> str:

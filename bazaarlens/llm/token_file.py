@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import join_sized, shared_dir, written
-from bazaarlens.llm.words import blocks
+from bazaarlens.llm.words import blocks, tidied
 
 #: Longest code in bits (the decoding table has 2^16 entries), ids between checkpoints, ids in a block before the next starts.
 MAX_BITS, STRIDE, BLOCK_IDS = 16, 64, 1 << 16
@@ -191,7 +191,7 @@ def _tokenised(path: str, end_id: int):
                 ids = [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch({"id": batch.column("id").slice(first, len(texts)), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([_packed(x) for x in ids], pa.binary())})
 
-    return run
+    return tidied(run)
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -248,7 +248,7 @@ def _blocked(lengths: np.ndarray, block_ids: int):
         if held_ids:
             yield block()
 
-    return run
+    return tidied(run)
 
 
 def _read(lengths: np.ndarray):
@@ -267,7 +267,7 @@ def _read(lengths: np.ndarray):
                     }
                 )
 
-    return run
+    return tidied(run)
 
 
 def write_tokens(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, max_bits: int = MAX_BITS, block_ids: int = BLOCK_IDS, shard_ids: int = SHARD_IDS) -> None:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.words import blocks, hashes_between, mix, raw, word_bounds
+from bazaarlens.llm.words import blocks, hashes_between, mix, raw, tidied, word_bounds
 
 #: Words in a window, and from one window's first word to the next one's.
 WINDOW, STRIDE = 48, 36
@@ -311,7 +311,7 @@ def _scored(net: Network):
                 part = batch.slice(first, len(texts))
                 yield pa.record_batch([*part.columns, pa.array(score_texts(net, texts))], names=[*part.schema.names, "score"])
 
-    return run
+    return tidied(run)
 
 
 def held_out(doc_id) -> F.Column:

@@ -78,3 +78,25 @@ def test_redaction(docs):
 def test_no_rows_and_repeats(docs):
     assert pii.pii_spans(docs([])).count() == 0
     assert pii.pii_spans(docs(["a@b.c", "a@b.c", None], [1, 1, None])).select(F.size("spans").alias("n")).groupBy().sum("n").first()[0] == 2
+
+
+def test_further_kinds_are_reported(docs):
+    """Planted spelt-out addresses, local numbers and id numbers, none of them on a base span; order numbers and impossible ids stay."""
+    n = 120
+    planted = [f"we sat, jo{k} (at) ex{k} (dot) com, and then 555-123-{4000 + k} there, {123 + k}-45-{6000 + k} too" for k in range(n)]
+    others = [f"order 555-123-{5000 + k} and what of 000-45-{6000 + k} there" for k in range(n)]
+    texts = docs(planted + others + ["jo7 at ex7 dot org", "see jo8@ex8.org or 755-222-3434", "jo8 at ex8 dot org", "they meet at noon dot then"])
+    spans = pii.pii_spans(texts)
+    got = {r.doc_id: [x["name"] for x in r.spans] for r in spans.collect()}
+    for k in range(n):
+        assert got[k] == ["email_spelt", "phone_local", "id_number"], k
+        assert got[n + k] == [], k
+    clean = {r.doc_id: r.text for r in pii.redacted(texts, spans).collect()}
+    assert clean[3] == "we sat, <email_spelt>, and then <phone_local> there, <id_number> too"
+    assert clean[n] == texts.collect()[n].text
+
+
+def test_further_kinds_in_a_small_corpus(docs):
+    texts = docs(["write to jo (at) ex (dot) com, 123-45-6789, call 555-123-4567", "mail jo@ex.com", "jo at ex dot com", "order 555-123-4568"])
+    got = {r.doc_id: r.text for r in pii.redacted(texts, pii.pii_spans(texts)).collect()}
+    assert got == {0: "write to <email_spelt>, <id_number>, call <phone_local>", 1: "mail <email>", 2: "<email_spelt>", 3: "order 555-123-4568"}

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then word-level Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then word-level Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import join_sized, written
 from bazaarlens.llm.words import blocks, shingles, tidied, word_hashes
 
-#: Words in a seed, seeds of an item (its rarest), and the share of the best possible score that counts as a copy.
-SEED_WORDS, SEEDS, MIN_SCORE = 3, 24, 0.5
+#: Words in a seed, and the share of the best possible score that counts as a copy.
+SEED_WORDS, MIN_SCORE = 3, 0.5
 #: Distinct item n-grams up to which their hashes are sent to the tasks (8 bytes each); beyond, they are joined by a shuffle.
 SENT_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -74,33 +74,43 @@ def _grams(n: int, only: np.ndarray | None):
     return tidied(run)
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text with its seeds (item, item's words, place of a seed less its place in the item): the best alignment with each item."""
-    for batch in batches:
-        for first, texts in blocks(batch.column("text")):
-            words, bounds = word_hashes(texts)
-            out = []
-            seeds = batch.column("seeds").slice(first, len(texts)).to_pylist()
-            ids = batch.column("id").slice(first, len(texts)).to_pylist()
-            for k, held in enumerate(seeds):
-                own = words[bounds[k] : bounds[k + 1]]
-                for seed in held:
-                    item = np.frombuffer(seed["words"], np.uint64)
-                    best = (0, 0, 0)
-                    places = sorted(set(seed["offsets"]))
-                    while places:  # windows around seeds; near ones share a window
-                        lo = places[0] - len(item) // 2 - 1
-                        hi = lo
-                        while places and places[0] - len(item) // 2 - 1 <= hi:
-                            hi = places.pop(0) + len(item) + len(item) // 2 + 1
-                        lo = max(lo, 0)
-                        score, a, b = align(item, own[lo : max(hi, 0)])
-                        if score > best[0]:
-                            best = (score, a + lo, b + lo)
-                    out.append((ids[k], seed["item_id"], best[0] / (MATCH * len(item)), best[1], best[2]))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.record_batch({"id": pa.array(cols[0], batch.schema.field("id").type), "item_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64()), "first_word": pa.array(cols[3], pa.int64()), "end_word": pa.array(cols[4], pa.int64())})
+def _aligned(min_score: float):
+    """Of each text with its seeds (item, item's words, place of a seed less its place in the item): the best alignment with each item.
+
+    A window that holds too few of the item's words for ``min_score`` is not aligned: each adds MATCH at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column("text")):
+                words, bounds = word_hashes(texts)
+                out = []
+                seeds = batch.column("seeds").slice(first, len(texts)).to_pylist()
+                ids = batch.column("id").slice(first, len(texts)).to_pylist()
+                for k, held in enumerate(seeds):
+                    own = words[bounds[k] : bounds[k + 1]]
+                    for seed in held:
+                        item = np.frombuffer(seed["words"], np.uint64)
+                        best = (0, 0, 0)
+                        places = sorted(set(seed["offsets"]))
+                        while places:  # windows around seeds; near ones share a window
+                            lo = places[0] - len(item) // 2 - 1
+                            hi = lo
+                            while places and places[0] - len(item) // 2 - 1 <= hi:
+                                hi = places.pop(0) + len(item) + len(item) // 2 + 1
+                            lo = max(lo, 0)
+                            part = own[lo : max(hi, 0)]
+                            if np.isin(item, part).sum() < min_score * len(item):
+                                continue
+                            score, a, b = align(item, part)
+                            if score > best[0]:
+                                best = (score, a + lo, b + lo)
+                        out.append((ids[k], seed["item_id"], best[0] / (MATCH * len(item)), best[1], best[2]))
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.record_batch({"id": pa.array(cols[0], batch.schema.field("id").type), "item_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64()), "first_word": pa.array(cols[3], pa.int64()), "end_word": pa.array(cols[4], pa.int64())})
+
+    return run
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +120,13 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"item_id": batch.column("id").slice(first, len(texts)), "words": pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = SEED_WORDS, seeds: int = SEEDS, min_score: float = MIN_SCORE, sent_grams: int = SENT_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = SEED_WORDS, min_score: float = MIN_SCORE, sent_grams: int = SENT_GRAMS) -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word): passages of documents that are copies of benchmark items, edited or not.
 
-    The n-grams of items are counted over all documents. Of each item the ``seeds`` rarest that occur are its seeds
-    (ties: by place in the item); each document with one of them is aligned with that item around every place that a
-    seed suggests. ``score`` is the alignment's score over the best possible one; rows reach ``min_score``. No
-    document and no item is passed over for being frequent. An item all of whose n-grams are frequent has its rarest
-    as seeds all the same.
+    Every n-gram of an item is a seed, however often it occurs: each document with one of them is aligned with that
+    item around every place that a seed suggests, unless it holds too few of the item's words there to reach
+    ``min_score``. ``score`` is the alignment's score over the best possible one; rows reach ``min_score``. No
+    document and no item is passed over for being frequent, and a copy of any part of an item has that part's seeds.
 
     The item side is read once more to count its n-grams: up to ``sent_grams`` are sent to the tasks as hashes, more
     are joined by a shuffle. Only occurrences of item n-grams leave the first pass over the documents.
@@ -137,13 +146,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     only = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).astype(np.uint64)) if few else None
     hits = base.mapInArrow(_grams(n, only), f"id {kind}, gram long, at int")
     hits = written(hits if few else hits.join(distinct, "gram"), "hits")
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "item_at", "gram"))
-    chosen = written(grams.join(counts, "gram").withColumn("rank", rarest).filter(F.col("rank") <= seeds).select("item_id", "gram", "item_at"), "seeds")
-    found = join_sized(hits, chosen, "gram", "inner").groupBy("id", "item_id").agg(F.collect_set((F.col("at") - F.col("item_at")).cast("long")).alias("offsets"))
+    found = join_sized(hits, grams, "gram", "inner").groupBy("id", "item_id").agg(F.collect_set((F.col("at") - F.col("item_at")).cast("long")).alias("offsets"))
     held = join_sized(found, words, "item_id", "inner").groupBy("id").agg(F.collect_list(F.struct("item_id", "words", "offsets")).alias("seeds"))
     held = written(held, "seeded")
-    scored = join_sized(base, held, "id", "inner").mapInArrow(_aligned, f"id {kind}, item_id long, score double, first_word long, end_word long")
+    scored = join_sized(base, held, "id", "inner").mapInArrow(_aligned(min_score), f"id {kind}, item_id long, score double, first_word long, end_word long")
     best = scored.filter(F.col("score") >= min_score).groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")
 

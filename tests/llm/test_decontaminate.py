@@ -63,6 +63,29 @@ def test_against_brute_force(spark, sample):
     assert got == want and want
 
 
+def test_partial_copies_beside_full_ones(spark, docs):
+    """Any half or more of an item, its end beside a full copy among them, is found as brute force finds it."""
+    rng = random.Random(8)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    its = [words(n) for n in (100, 100, 59, 40, 200)]
+    texts = []
+    for item in its:
+        m = len(item)
+        for part in (item, item[m * 2 // 5 :], item[m // 2 :], item[: m // 2], item[m // 4 : m * 3 // 4 + 1], item[m * 3 // 5 :]):
+            texts.append(" ".join(words(20) + part + words(20)))
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs(texts), items(spark, [(j, " ".join(x), "x") for j, x in enumerate(its)])).collect()}
+    want = set()
+    w, at = word_hashes(pa.array(texts))
+    v, to = word_hashes(pa.array([" ".join(x) for x in its]))
+    for i in range(len(texts)):
+        for j in range(len(its)):
+            item, own = v[to[j] : to[j + 1]], w[at[i] : at[i + 1]]
+            if align(item, own)[0] >= 0.5 * MATCH * len(item):
+                want.add((i, j))
+    assert {(6 * j + k, j) for j in range(len(its)) for k in (0, 1)} <= want
+    assert got == want
+
+
 def test_no_rows_and_repeats(spark, docs):
     tests = items(spark, [(1, " ".join(f"k{i}" for i in range(20)), "x")])
     assert contaminated(docs([]), tests).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.stats import nearest_rank, upper_median
+from bazaarlens.functions.stats import nearest_rank, upper_medians
 
 MIN_GROUP, MIN_TRIMMED, WORST, THIN_POOL = 5, 5, 5, 20
 
@@ -40,8 +40,8 @@ def four_groupings(rows: DataFrame) -> DataFrame:
 
 def bucket_spread(rows: DataFrame, bucket: str, value: str = "price") -> DataFrame:
     """By bucket, the unstated one too: n, upper median and max/min."""
-    g = rows.filter(F.col(value) > 0).groupBy(bucket).agg(F.count("*").alias("n"), F.collect_list(value).alias("v"), F.max(value).alias("hi"), F.min(value).alias("lo"))
-    return g.select(bucket, "n", upper_median(F.col("v")).alias("median"), F.when(F.col("n") >= 2, F.col("hi") / F.col("lo")).alias("spread"))
+    g = upper_medians(rows.filter(F.col(value) > 0), [bucket], [value])
+    return g.select(bucket, "n", F.col(f"{value}_median").alias("median"), F.when(F.col("n") >= 2, F.col(f"{value}_hi") / F.col(f"{value}_lo")).alias("spread"))
 
 
 def coverage(rows: DataFrame, by: str = "category") -> DataFrame:

@@ -67,8 +67,9 @@ def valuation_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """The confidence of each category and model's sold comparable listings as one set."""
     price, _ = valuation.comp_price()
     rows = knn.comparable(listing(spark, sf)).filter("status = 'likely_sold' and model_key is not null")
-    by = rows.groupBy("category", "model_key").agg(F.count("*").alias("n"), F.max(price).alias("hi"), F.min(price).alias("lo"), F.collect_list("sale_confidence").alias("sales"), F.collect_list("price_confidence").alias("weights"))
-    return by.select("category", "model_key", "n", valuation.confidence(F.col("n"), F.col("hi") / F.col("lo"), F.col("sales"), F.col("weights")).alias("confidence"))
+    by = stats.upper_medians(rows.withColumn("comp", price), ["category", "model_key"], ["comp", "sale_confidence", "price_confidence"])
+    spread, (sales, weights) = F.col("comp_hi") / F.col("comp_lo"), (F.array(f"{x}_confidence_median") for x in ("sale", "price"))
+    return by.select("category", "model_key", "n", valuation.confidence(F.col("n"), spread, sales, weights).alias("confidence"))
 
 
 def weighted_median_by_key(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,8 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.stats import cosine, weighted_median, weighted_median_of
-from bazaarlens.operators import extract, inference, knn, lifecycle, merge, normalize, valuation
+from bazaarlens.functions.stats import cosine, upper_medians, weighted_median, weighted_median_of
+from bazaarlens.operators import extract, inference, knn, lifecycle, measure, merge, normalize, valuation
+from bazaarlens.plans import market
 from bazaarlens.plans.fixtures import listing
 from bazaarlens.sources import tables
 
@@ -132,3 +133,14 @@ def test_snapshots_pages_and_deals(spark, tmp_path):
     tables.write_deals(df, at, now)
     assert tables.read_deals(spark, at, schema, now).count() == 3
     assert tables.read_deals(spark, at, schema, F.expr("timestamp '2024-01-01 03:00:00'")).count() == 0
+
+
+def test_upper_medians_of_groups_of_any_size(spark):
+    rows = [(k, v, w) for k, vs in ((None, [3.0, 1.0]), ("a", [5.0, 5.0, 2.0, None, 9.0]), ("b", [None]), ("c", [4.0])) for v, w in zip(vs, reversed(vs))]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    got = {r.k: tuple(r)[1:] for r in upper_medians(df, ["k"], ["v", "w"]).collect()}
+    assert got == {None: (2, 3.0, 1.0, 3.0, 3.0, 1.0, 3.0), "a": (5, 5.0, 2.0, 9.0, 5.0, 2.0, 9.0), "b": (1, None, None, None, None, None, None), "c": (1, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0)}
+    spreads = {r.k: (r.n, r.median, r.spread) for r in measure.bucket_spread(df, "k", "v").collect()}
+    assert spreads == {None: (2, 3.0, 3.0), "a": (4, 5.0, 4.5), "c": (1, 4.0, None)}
+    for plan in (measure.bucket_spread(df, "k", "v"), market.valuation_confidence(spark, AT)):
+        assert "collect_list" not in plan._jdf.queryExecution().toString()

@@ -1,4 +1,4 @@
-"""What the text operators share: the shared folder, size-checked joins and connected components."""
+"""What the text operators share: the shared folder, row numbers, size-checked and salted joins, connected components."""
 
 from __future__ import annotations
 
@@ -7,20 +7,25 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A join side is broadcast only after a count has shown at most so many narrow rows.
-BROADCAST_ROWS = 200_000
+#: A join side is broadcast only after its values have been measured to need at most so many bytes.
+BROADCAST_BYTES = 32 << 20
+#: A key is dealt out over several tasks from so many rows on, and from this part of all rows on; so at most MAX_HOT keys are.
+HOT_ROWS, MAX_HOT = 1_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only where that is unset and the session runs on one machine (tests), a temporary folder is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -34,6 +39,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores behind it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row, in a written table, so that a row has one number however often it is read."""
+    return written(docs.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
+
+
+def rows_of(docs: DataFrame, columns: list[Column], stored: bool) -> DataFrame:
+    """``columns`` of ``docs`` beside the column row, which tells its rows apart.
+
+    Rows of a DataFrame in general are numbered in a written table. ``stored`` says that ``docs`` is read straight from
+    files: then a row is named by a hash of its file's path and its place in there, and nothing is written.
+    """
+    if not stored:
+        return numbered(docs.select(*columns), "row")
+    name = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return docs.select(name.alias("row"), *columns)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Fewer rows in an Arrow batch for jobs run inside, whose rows hold whole documents."""
@@ -46,36 +76,77 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` when a count proves at most ``bound`` rows, and shuffles both sides beyond.
+def _weight(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, StringType | BinaryType):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, ArrayType):
+        size = F.aggregate(F.transform(value, lambda x: _weight(x, kind.elementType)), F.lit(24).cast("long"), lambda a, x: a + x)
+    elif isinstance(kind, StructType):
+        size = sum((_weight(value[f.name], f.dataType) for f in kind), F.lit(16))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def bytes_of(df: DataFrame) -> int:
+    """How many bytes the values of all rows need in memory, about."""
+    row = sum((_weight(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Join that broadcasts ``right`` when its values need at most ``bound`` bytes, and shuffles both sides beyond.
 
     ``right`` should be cheap to read twice (a written table).
     """
-    small = right.limit(bound + 1).count() <= bound
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if bytes_of(right) <= bound else right, on, how)
+
 
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], n: str = "n", how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Join of ``left`` with ``right``, which has one row a key and in ``n`` how many rows of ``left`` have that key.
 
-def _stars(edges: DataFrame) -> DataFrame:
+    ``right`` is broadcast if its values need at most ``bound`` bytes. Beyond that both sides are shuffled, and the rows
+    of a hot key are dealt out over parts by a hash of their ``spread`` columns, the key's one row being repeated for
+    each part: no task gets more than about ``HOT_ROWS`` rows or a ``MAX_HOT``-th of all rows of one key. As counts
+    add up, there are at most ``MAX_HOT`` hot keys; of them only keys and numbers of parts are broadcast. ``right``
+    should be a written table. The result has its columns without ``n``.
+    """
+    weight = sum((_weight(F.col(f"`{f.name}`"), f.dataType) for f in right.schema), F.lit(16))
+    total, top, size = right.agg(F.sum(n), F.max(n), F.sum(weight)).first()
+    if (size or 0) <= bound:
+        return left.join(F.broadcast(right.drop(n)), on, how)
+    limit = max(HOT_ROWS, total // MAX_HOT)
+    if top <= limit:
+        return left.join(right.drop(n), on, how)
+    parts = F.broadcast(right.filter(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("__parts")))
+    dealt = left.join(parts, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")), F.lit(0))).drop("__parts")
+    last = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit) - 1).otherwise(0).cast("bigint")
+    copies = right.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop(n)
+    return dealt.join(copies, [*on, "__part"], how).drop("__part")
+
+
+def _stars(edges: DataFrame, tag: str) -> DataFrame:
     """One round: each node's neighbours are hung on the smallest node among itself and them (edges are u > v)."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    down = large.groupBy("u").agg(F.min("v").alias("m"))
-    return large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), f"{tag}-least")
+    hung = join_salted(both.filter("v > u"), least, ["u"], ["v"])
+    large = written(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), f"{tag}-large")
+    down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{tag}-down")
+    return join_salted(large, down, ["u"], ["v"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components by alternating star operations: rows (node, root), root being the smallest node.
 
-    ``edges`` has columns u and v of one type. Each round is a written table, so no lineage builds up and nothing is
-    collected but two numbers. Nodes without edges do not appear.
+    ``edges`` has columns u and v of one type. Each step is a written table, so no lineage builds up and nothing is
+    collected but a few numbers; a node with many neighbours is dealt out over tasks. Nodes without edges do not appear.
     """
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(edges, f"{tag}-edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
-        now = written(_stars(now), f"{tag}-stars")
+        now = written(_stars(now, tag), f"{tag}-stars")
         new = mark(now)
         if new == seen:
             break

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 500_000
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -23,7 +23,7 @@ _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _release() -> None:
+def release() -> None:
     """Gives memory that a finished task no longer uses back to the system; a worker lives on beside other tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -36,7 +36,7 @@ def tidied(run: Callable) -> Callable:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _release()
+        release()
 
     return whole
 
@@ -64,14 +64,14 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) in blocks of about BLOCK_BYTES."""
+def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) in blocks of about ``block_bytes``."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     ends = np.cumsum(size)
     row = 0
     while row < len(texts):
         base = ends[row] - size[row]
-        stop = max(row + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+        stop = max(row + 1, int(np.searchsorted(ends, base + block_bytes, "right")))
         yield row, texts.slice(row, stop - row)
         row = stop
 

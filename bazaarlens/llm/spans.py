@@ -17,7 +17,7 @@ def _found(text: Column, kind: int, pattern: str, need: Column) -> Column:
     match; other texts are not searched.
     """
     gaps = F.split(text, pattern, -1)
-    each = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, 2, 2**31 - 1).alias("r"))
+    each = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, 2, 1 << 30).alias("r"))
     rows = F.transform(
         each,
         lambda x, i: F.struct(

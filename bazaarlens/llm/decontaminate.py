@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import join_sized, written
+from bazaarlens.llm.common import join_salted, join_sized, written
 from bazaarlens.llm.words import blocks, shingles, tidied, word_hashes
 
 #: Words in a seed, and the share of the best possible score that counts as a copy.
 SEED_WORDS, MIN_SCORE = 3, 0.5
 #: Distinct item n-grams up to which their hashes are sent to the tasks (8 bytes each); beyond, they are joined by a shuffle.
 SENT_GRAMS = 2_000_000
+#: Items that one row carries, with their words, beside a document's text; a document with more of them has several rows.
+ROW_ITEMS = 200
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -110,7 +112,7 @@ def _aligned(min_score: float):
                     cols = list(zip(*out, strict=True))
                     yield pa.record_batch({"id": pa.array(cols[0], batch.schema.field("id").type), "item_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64()), "first_word": pa.array(cols[3], pa.int64()), "end_word": pa.array(cols[4], pa.int64())})
 
-    return run
+    return tidied(run)
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,24 +133,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     The item side is read once more to count its n-grams: up to ``sent_grams`` are sent to the tasks as hashes, more
     are joined by a shuffle. Only occurrences of item n-grams leave the first pass over the documents.
 
-    Null texts are empty and match nothing; items without words are passed over; items shorter than n words have one
-    seed of all their words, which finds texts made of just these. Null ids do not match (there would be nothing to
-    name). Rows that repeat an id are one document whose rows are each aligned; the best alignment is reported. Empty
-    tables give an empty result.
+    Null texts are empty and match nothing; very long texts are searched whole. Items without words are passed over;
+    items shorter than n words have one seed of all their words, which finds texts made of just these. Of items that
+    repeat an id the one with the least words counts. Null ids do not match (there would be nothing to name). Rows
+    that repeat an id are one document whose rows are each aligned; the best alignment is reported, of equal ones the
+    first in its text. Empty tables give an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     kind = base.schema["id"].dataType.simpleString()
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("id is not null")
     words = written(tests.mapInArrow(_item_words, "item_id long, words binary").filter("length(words) > 0").groupBy("item_id").agg(F.min("words").alias("words")), "items")
     grams = written(tests.mapInArrow(_grams(n, None), "id long, gram long, at int").select(F.col("id").alias("item_id"), "gram", F.col("at").alias("item_at")), "item-grams")
-    distinct = grams.select("gram").distinct()
-    few = distinct.limit(sent_grams + 1).count() <= sent_grams
-    only = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).astype(np.uint64)) if few else None
+    distinct = written(grams.select("gram").distinct(), "item-gram-hashes")
+    few = distinct.count() <= sent_grams
+    only = np.sort(distinct.toArrow().column("gram").to_numpy().astype(np.uint64)) if few else None
     hits = base.mapInArrow(_grams(n, only), f"id {kind}, gram long, at int")
     hits = written(hits if few else hits.join(distinct, "gram"), "hits")
     found = join_sized(hits, grams, "gram", "inner").groupBy("id", "item_id").agg(F.collect_set((F.col("at") - F.col("item_at")).cast("long")).alias("offsets"))
-    held = join_sized(found, words, "item_id", "inner").groupBy("id").agg(F.collect_list(F.struct("item_id", "words", "offsets")).alias("seeds"))
-    held = written(held, "seeded")
+    found = written(found, "seeds")
+    uses = written(found.groupBy("item_id").agg(F.count("*").alias("n")).join(words, "item_id"), "item-uses")
+    full = join_salted(found, uses, ["item_id"], ["id"])
+    # items of a document, in rows of about ROW_ITEMS
+    parts = found.groupBy("id").agg(F.ceil(F.count("*") / ROW_ITEMS).alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("item_id"), F.coalesce("parts", F.lit(1)))
+    held = join_sized(full, written(parts, "many-seeds"), "id", "left").groupBy("id", part.alias("part")).agg(F.collect_list(F.struct("item_id", "words", "offsets")).alias("seeds"))
+    held = written(held.drop("part"), "seeded")
     scored = join_sized(base, held, "id", "inner").mapInArrow(_aligned(min_score), f"id {kind}, item_id long, score double, first_word long, end_word long")
     best = scored.filter(F.col("score") >= min_score).groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")

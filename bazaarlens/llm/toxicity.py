@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.words import blocks, hashes_between, mix, raw, tidied, word_bounds
 
 #: Words in a window, and from one window's first word to the next one's.
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 #: Most rows of the word table and of the table of character runs; numbers in a row of each; numbers in a hidden state.
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8, 8
 #: Labelled documents in which a word or character run has to occur to get a row: this many, and this share of them.
@@ -217,7 +217,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = EP
         net.p["c"][0] = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))) if len(labels) else -3.0
         net.p["o"][:] = 0
         return net
-    held = np.array([zlib.crc32(b"held:" + t[:4096].encode()) % 5 == 0 for t in texts])
+    held = np.array([zlib.crc32(b"held:" + t.encode()) % 5 == 0 for t in texts])
     rank = np.where(index >= 0, np.append(_odds(net, words, word_row, char_row, labels, ~held), 0)[index], 0).sum(1)
     memory = {k: np.zeros_like(v) for k, v in net.p.items()} | {"word": np.zeros(len(net.word), np.float32), "char": np.zeros(len(net.char), np.float32)}
     train = np.flatnonzero(~held & (np.diff(words.bounds) > 0))
@@ -304,12 +304,12 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return _sigmoid(net.scale[0] * _highest(net, words) + net.scale[1]).astype(np.float64)
 
 
-def _scored(net: Network):
+def _scored(net: Network, text_col: str, score_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column("text")):
+            for first, texts in blocks(batch.column(text_col)):
                 part = batch.slice(first, len(texts))
-                yield pa.record_batch([*part.columns, pa.array(score_texts(net, texts))], names=[*part.schema.names, "score"])
+                yield pa.record_batch([*part.columns, pa.array(score_texts(net, texts))], names=[*part.schema.names, score_col])
 
     return tidied(run)
 
@@ -321,32 +321,33 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Network:
     """Fitted on a bounded sample: at most ``max_docs`` labels of each kind, by the hash of their ids, and their documents.
 
-    Documents whose crc32(id as text) mod 4 is 2 are held out. Labels other than 0 and 1 are passed over.
+    Documents whose crc32(id as text) mod 4 is 2 are held out. Labels other than 0 and 1 are passed over; of labels
+    that repeat an id the larger counts. Of documents that repeat an id the least text is taken, so no more texts than
+    labels reach the driver. Null texts are empty. Without labels, or with labels of one kind, all texts score alike.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = None
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * max_docs ids: the documents are read once and not shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r.toxic, r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows], np.array([r.toxic for r in rows], np.int64))
+    # at most 2 * max_docs ids: the documents are read once, and only texts of these ids are shuffled
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.toxic, r.doc_id))
+    return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
-def toxicity(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column score: the highest probability of toxicity among all overlapping windows of the whole text.
+def toxicity(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the column ``score_col``: the highest probability of toxicity among all overlapping windows of the whole text.
 
-    Windows have 48 words and start every 36; each word is in one at least, and any 13 words in a row are in one
-    together. Null texts are empty; empty texts and texts without words have the lowest score. Rows are scored one by
-    one, whatever their ids; an empty table gives an empty result. A column score of the input is replaced.
+    Windows have 48 words and start every 24; each word is in one at least, and any 25 words in a row are in one
+    together. All other columns come back as they were, whatever their names; ``score_col`` must not be one of them.
+    Null texts are scored as empty ones; empty texts and texts without words have the lowest score; very long texts
+    are scored whole. Rows are scored one by one, whatever their ids; an empty table gives an empty result.
     """
-    kept = docs.drop("score")
-    plain = kept.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    names = [f.name for f in kept.schema]
-    ready = plain.select(*[F.col(f"`{n}`") for n in names if n != text_col], F.col("__text").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema) + ", score double"
-    return ready.mapInArrow(_scored(net), schema)
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input has a column {score_col} already")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double"
+    return docs.mapInArrow(_scored(net, text_col, score_col), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

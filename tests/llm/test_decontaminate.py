@@ -47,22 +47,42 @@ def test_copies_and_edits(spark, docs, sent):
     assert 0.6 < got[2, 7].score < 0.95 and got[2, 7].first_word == 200
 
 
-def test_against_brute_force(spark, sample):
-    tests = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    got = {(r.doc_id, r.item_id) for r in contaminated(sample, tests).collect()}
-    rows, its = sample.select("doc_id", "text").collect(), tests.collect()
-    w, at = word_hashes(pa.array([r.text for r in rows]))
-    v, to = word_hashes(pa.array([r.text for r in its]))
+def brute(rows, its):
+    """(id, item) of all pairs whose alignment over the whole text reaches half of the best score."""
+    w, at = word_hashes(pa.array([t or "" for _, t in rows]))
+    v, to = word_hashes(pa.array([t or "" for _, t in its]))
     want = set()
-    for i, r in enumerate(rows):
+    for i, (doc, _) in enumerate(rows):
         own = w[at[i] : at[i + 1]]
-        for j, x in enumerate(its):
+        for j, (name, _) in enumerate(its):
             item = v[to[j] : to[j + 1]]
-            if np.isin(item, own).sum() >= 0.5 * len(item) and align(item, own)[0] >= 0.5 * MATCH * len(item):
-                want.add((r.doc_id, x.item_id))
+            if len(item) and np.isin(item, own).sum() >= 0.5 * len(item) and align(item, own)[0] >= 0.5 * MATCH * len(item):
+                want.add((doc, name))
+    return want
+
+
+def test_against_brute_force(spark, sample):
+    tests = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in contaminated(sample, tests).collect()}
+    want = brute([(r.doc_id, r.text) for r in sample.collect()], [(r.item_id, r.text) for r in tests.collect()])
     assert got == want and want
 
 
+def test_many_items_in_one_document_and_shuffled_joins(spark, docs, monkeypatch):
+    from bazaarlens.llm import common, decontaminate
+
+    monkeypatch.setattr(decontaminate, "ROW_ITEMS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common.join_salted, "__defaults__", ("n", "inner", 0))
+    monkeypatch.setattr(common.join_sized, "__defaults__", (0,))
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    its = [(j, words(20)) for j in range(30)]
+    rows = [(0, " ".join(t for _, t in its)), (1, its[3][1]), (2, words(50))] + [(3 + k, words(5) + " " + its[7][1]) for k in range(9)]
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs([t for _, t in rows]), items(spark, [(j, t, "x") for j, t in its])).collect()}
+    assert got == brute(rows, its) and len(got) == 40
+
+
 def test_partial_copies_beside_full_ones(spark, docs):
     """Any half or more of an item, its end beside a full copy among them, is found as brute force finds it."""
     rng = random.Random(8)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakSet
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ BROADCAST_BYTES = 32 << 20
 HOT_ROWS, MAX_HOT = 1_000, 10_000
 
 
+#: Tables that ``written`` has made: read straight from files, so that a row is named by its file and place.
+_tables: WeakSet = WeakSet()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
@@ -36,7 +41,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    _tables.add(table)
+    return table
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -47,21 +54,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number for each row, in a written table, so that a row has one number however often it is read."""
+def numbered(docs: DataFrame, name: str, stored: bool = False) -> DataFrame:
+    """``docs`` with a column that tells its rows apart however often they are read.
+
+    Rows of a DataFrame in general are numbered in a written table. Tables that ``written`` made are not written again,
+    nor are those that the caller says are read straight from files (``stored``): their rows are named by a hash of the
+    file's path and the place in there.
+    """
+    if stored or docs in _tables:
+        return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(name), "*")
     return written(docs.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
 
 
 def rows_of(docs: DataFrame, columns: list[Column], stored: bool) -> DataFrame:
-    """``columns`` of ``docs`` beside the column row, which tells its rows apart.
-
-    Rows of a DataFrame in general are numbered in a written table. ``stored`` says that ``docs`` is read straight from
-    files: then a row is named by a hash of its file's path and its place in there, and nothing is written.
-    """
-    if not stored:
+    """``columns`` of ``docs`` beside the column row, which tells its rows apart (see ``numbered``)."""
+    if not stored and docs not in _tables:
         return numbered(docs.select(*columns), "row")
-    name = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    return docs.select(name.alias("row"), *columns)
+    row = free_name(docs, "row")
+    return numbered(docs, row, stored).select(F.col(row).alias("row"), *columns)
 
 
 @contextmanager

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import components, join_sized, written
-from bazaarlens.llm.words import blocks, min_hashes, mix, shingles, tidied, word_hashes
+from bazaarlens.llm.common import components, join_salted, join_sized, written
+from bazaarlens.llm.words import BLOCK_BYTES, blocks, min_hashes, mix, release, shingles, tidied, word_hashes
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 96
-#: Texts in a block of a candidate group; larger groups are compared block by block.
+#: Texts in a block. Candidate groups up to this size are compared as a whole, larger ones band by band, in blocks.
 BLOCK = 512
 
 
@@ -49,6 +49,7 @@ def _signatures(bands: int, rows: int, n: int):
                 yield pa.record_batch(
                     {
                         "id": batch.column("id").slice(first, len(texts)),
+                        "text_hash": batch.column("text_hash").slice(first, len(texts)),
                         "set_key": pa.array([_digest(s) for s in sets], pa.string()),
                         "bands": pa.FixedSizeListArray.from_arrays(pa.array(key.astype(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
                     }
@@ -88,15 +89,15 @@ def _compare(threshold: float):
     """Links within a block or between two blocks: for each text the documents it links to, and a node of its tree.
 
     Links are counted, not listed: rows out are at most the texts in, and the trees keep all that the links connect.
+    Texts met in a band carry all their bands; two count only in the first band that they share, so once.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if len(once := {k: n for n, k in enumerate(table.column("set_key").to_pylist())}) < len(table):
-            table = table.take(sorted(once.values()))  # rows that repeat an id and a text
         keys, sides = table.column("set_key").to_pylist(), np.asarray(table.column("block"))
         weight = np.asarray(table.column("copies"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j, band = key[1].as_py(), key[2].as_py(), table.column("band")[0].as_py()
+        values = None if band < 0 else np.array(table.column("bands").to_pylist(), np.int64)
         a, b = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
         links, parent = np.zeros(len(keys), np.int64), list(range(len(keys)))
 
@@ -110,17 +111,38 @@ def _compare(threshold: float):
         for x, shared in zip(a, _overlaps([sets[x] for x in a], [sets[x] for x in b]) if len(b) else [], strict=False):
             near = b[shared >= threshold * (size[x] + size[b] - shared) - 1e-9]
             near = near[near != x]
+            if values is not None and len(near):
+                near = near[(values[near] == values[x]).argmax(1) == band]
             links[x] += weight[near].sum()
             if i != j:
                 links[near] += weight[x]
             for y in near:
                 parent[root(int(y))] = root(int(x))
         head = [keys[root(x)] for x in range(len(keys))]
+        if table.nbytes > 8 * BLOCK_BYTES:
+            del table, sets
+            release()
         return pa.table({"set_key": pa.array(keys, pa.string()), "head": pa.array(head, pa.string()), "links": pa.array(links)})
 
     return run
 
 
+def _dealt(groups: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Rows (set_key, part, band, blocks, block): which texts are compared with each other, in which blocks.
+
+    A group of up to ``block`` texts is one part (band -1). In a larger one, which bands may have chained from texts that
+    are not alike, only texts that share a band are compared: each band value that two of them share is a part.
+    """
+    sizes = written(groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "group-sizes")
+    placed = written(join_salted(groups, sizes, ["root"], ["node"]).select(F.col("node").alias("set_key"), "root", "size"), "placed")
+    whole = placed.filter(F.col("size") <= block).select("set_key", F.col("root").alias("part"), F.lit(-1).alias("band"), F.lit(1).alias("blocks"))
+    large = join_sized(texts.select("set_key", "bands"), written(placed.filter(F.col("size") > block).select("set_key"), "large-groups"), "set_key", "left_semi")
+    met = written(large.select("set_key", F.posexplode("bands").alias("band", "value")), "large-bands")
+    shared = written(met.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "shared-bands")
+    split = join_salted(met, shared, ["band", "value"], ["set_key"]).select("set_key", F.concat_ws(":", "band", "value").alias("part"), "band", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    return whole.unionByName(split).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, class_id (smallest id of all rows that links connect), class_size, n_links.
 
@@ -128,42 +150,44 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_links`` counts the other rows that a row is linked to.
 
     Rows with equal sets become one text first, so copies are never paired with each other. Texts that share a band
-    are hung on the band's smallest text, which makes candidate groups without listing pairs. Inside a group all
-    pairs are compared on the full sets; a group of more than ``block`` texts is dealt out over pairs of blocks, each
-    a task of bounded size, and only counts and spanning trees come back. So a link inside a group is found even where
-    its two texts share no band.
-
-    A text of fewer than n words has one run of all of them. Null texts, and texts without words, have no links and
-    are classes of their own, also among each other. A null id is a row as any other; its class has the id null only
-    if no row of it has one. Rows that repeat an id count each. An empty table gives an empty result.
+    are hung on the band's smallest text, which makes candidate groups without listing pairs. Inside a group of up to
+    ``block`` texts all pairs are compared on the full sets, so a link is found there even where its two texts share no
+    band. In a larger group only texts that share a band are compared, each pair in the first band it shares; a band
+    value of more than ``block`` texts is dealt out over pairs of blocks, each a task of bounded size. Only counts and
+    spanning trees come back.
+
+    A text of fewer than n words has one run of all of them; very long texts are compared on all their runs. Null
+    texts, and texts without words, have no links and are classes of their own, also among each other. A null id is a
+    row as any other; its class has the id null only if no row of it has one. Rows that repeat an id count each. Ids
+    may be of any type with an order. An empty table gives an empty result; other columns are ignored.
     """
     bands, rows = banding(threshold, recall)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    signed = written(base.mapInArrow(_signatures(bands, rows, n), f"id {kind}, set_key string, bands array<bigint>"), "signatures")
+    signed = written(base.mapInArrow(_signatures(bands, rows, n), f"id {kind}, text_hash long, set_key string, bands array<bigint>"), "signatures")
     some = signed.filter("set_key is not null")
-    texts = written(some.groupBy("set_key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "texts")
+    texts = written(some.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("least"), F.first("bands").alias("bands"), F.count("*").alias("copies")).select("set_key", "least.id", "least.text_hash", "bands", "copies"), "texts")
     banded = texts.select("set_key", F.posexplode("bands").alias("band", "value"))
-    heads = banded.groupBy("band", "value").agg(F.min("set_key").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    hung = banded.join(heads, ["band", "value"]).filter("set_key <> head").select(F.col("set_key").alias("u"), F.col("head").alias("v"))
+    heads = written(banded.groupBy("band", "value").agg(F.min("set_key").alias("head"), F.count("*").alias("n")).filter("n > 1"), "band-heads")
+    hung = join_salted(banded, heads, ["band", "value"], ["set_key"]).filter("set_key <> head").select(F.col("set_key").alias("u"), F.col("head").alias("v"))
     groups = written(components(hung, "candidates"), "candidate-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "root").select(F.col("node").alias("set_key"), "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    dealt = written(dealt.join(texts.select("set_key", "copies", "id"), "set_key"), "dealt")
-    # the sets are made again from the texts of the candidates: one row with each set
-    wanted = written(join_sized(signed.select("id", "set_key"), dealt.select("set_key", F.col("id").alias("least")), "set_key", "inner").filter("id <=> least").select("id", "set_key").distinct(), "wanted")
-    again = join_sized(base.withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit(""))), wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), "set_key"), "k", "inner")
-    sets = again.select("set_key", "text").mapInArrow(_sets(n), "set_key string, grams binary")
-    ready = dealt.drop("id").join(sets, "set_key").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    ready = ready.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams")
-    found = written(ready.groupBy("root", "i", "j").applyInArrow(_compare(threshold), "set_key string, head string, links long"), "links")
+    dealt = written(_dealt(groups, texts, block).join(texts.select("set_key", "copies", "bands"), "set_key").withColumn("bands", F.when(F.col("band") >= 0, F.col("bands"))), "dealt")
+    # the sets are made again from the texts of the candidates: from the row with the least id of each
+    name = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")
+    wanted = written(join_sized(texts.select("set_key", "text_hash", name), groups.select(F.col("node").alias("set_key")), "set_key", "left_semi"), "wanted")
+    again = join_sized(base.select("text", "text_hash", name), wanted, ["name", "text_hash"], "inner")
+    sets = written(again.select("set_key", "text").mapInArrow(_sets(n), "set_key string, grams binary"), "sets").groupBy("set_key").agg(F.first("grams").alias("grams"))
+    ready = dealt.join(sets, "set_key").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    ready = ready.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "band", "bands", "grams")
+    found = written(ready.groupBy("part", "i", "j").applyInArrow(_compare(threshold), "set_key string, head string, links long"), "links")
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("set_key").alias("u"), F.col("head").alias("v")), "linked")
     named = links.join(linked.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "links", F.coalesce("root", "set_key").alias("root"))
     of = written(texts.select("set_key", "id", "copies").join(named, "set_key", "left").select("set_key", "id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_key").alias("root")), "named")
-    classes = of.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = of.join(classes, "root").select("set_key", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = some.join(of, "set_key").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links")
+    classes = written(of.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "classes")
+    of = written(join_salted(of, classes, ["root"], ["set_key"]).select("set_key", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")), "text-classes")
+    out = join_salted(some.select("id", "text_hash", "set_key"), of, ["set_key"], ["id", "text_hash"]).select(F.col("id").alias(id_col), "class_id", "class_size", "n_links")
     alone = signed.filter("set_key is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 

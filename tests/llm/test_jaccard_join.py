@@ -51,6 +51,24 @@ def test_against_brute_force(sample):
     assert got(jj.jaccard_join(sample)) == brute(rows)
 
 
+def test_shuffled_joins_and_null_ids(docs, monkeypatch):
+    from bazaarlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common.join_salted, "__defaults__", ("n", "inner", 0))
+    monkeypatch.setattr(common.join_sized, "__defaults__", (0,))
+    rng = random.Random(2)
+    base = [[f"{x}{rng.randrange(900)}" for _ in range(80)] for x in "abc"]
+    rows = []
+    for n in range(40):
+        near = list(base[n % 3])
+        if n % 4:
+            near[rng.randrange(80)] = f"edit{n}"
+        rows.append((None if n % 5 == 0 else n % 17, " ".join(near)))
+    for block in (512, 4):
+        assert got(jj.jaccard_join(docs([t for _, t in rows], [i for i, _ in rows]), block=block)) == brute(rows)
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_copies_in_blocks(docs, block):
     rng = random.Random(1)

@@ -19,7 +19,9 @@ MARK = "▁"
 #: How far below the least score a character that no piece covers is scored.
 UNKNOWN_PENALTY = 10.0
 #: Distinct stretches a task remembers the ids of.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Stretches that are segmented side by side.
+TOGETHER = 8_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -99,7 +101,7 @@ class Pieces:
 
 @lru_cache(2)
 def load(path: str) -> Pieces:
-    """The pieces of a sentencepiece file, with their own scores if it is a unigram model.
+    """The pieces of a sentencepiece file, with their own scores if it is a unigram model. The driver loads them; tasks get the arrays.
 
     For a byte-pair model the scores only rank the pieces; they become log probabilities by Zipf's law, log(1 / rank)
     less the log of the harmonic sum.
@@ -237,10 +239,11 @@ def encode_texts(pieces: Pieces, known: dict[str, bytes], texts: pa.Array) -> li
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = words
-    if new:
-        ids, at = viterbi(pieces, [MARK + w for w in new])
+    for first in range(0, len(new), TOGETHER):
+        part = new[first : first + TOGETHER]
+        ids, at = viterbi(pieces, [MARK + w for w in part])
         flat = ids.astype("<i4").tobytes()
-        known.update({w: flat[4 * a : 4 * b] for w, a, b in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True)})
+        known.update({w: flat[4 * a : 4 * b] for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)})
     held = [known[w] for w in words]
     flat = np.frombuffer(b"".join(held), "<i4")
     size = np.array([len(x) >> 2 for x in held], np.int64)
@@ -262,9 +265,9 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _encoded(path: str):
+def _encoded(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = load(path), {}
+        known = {}
         for batch in batches:
             for first, texts in blocks(batch.column("text")):
                 part = batch.slice(first, len(texts))
@@ -273,9 +276,8 @@ def _encoded(path: str):
     return tidied(run)
 
 
-def _decoded(path: str):
+def _decoded(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
         for batch in batches:
             for first, held in blocks(batch.column("ids")):
                 part = batch.slice(first, len(held))
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     and repeated ids are kept row by row. An empty table gives an empty result; other columns are left out.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(_encoded(path), _more(base, "ids", "binary"))
+    return base.mapInArrow(_encoded(load(path)), _more(base, "ids", "binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -304,14 +306,37 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     A text comes back as it was, but for a marker character in it, which comes back as a blank.
     """
-    return encoded.mapInArrow(_decoded(path), _more(encoded, "decoded", "string"))
+    return encoded.mapInArrow(_decoded(load(path)), _more(encoded, "decoded", "string"))
+
+
+def _both_ways(pieces: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for batch in batches:
+            for first, texts in blocks(batch.column("text")):
+                ids = encode_texts(pieces, known, texts)
+                decoded = pa.array([decode_ids(pieces, np.frombuffer(x, "<i4")) for x in ids], pa.string())
+                same = pc.equal(decoded, pc.replace_substring(texts, MARK, " "))
+                yield pa.record_batch({"id": batch.column("id").slice(first, len(texts)), "ids": pa.array(ids, pa.binary()), "decoded": decoded, "same": same})
+
+    return tidied(run)
+
+
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ids, decoded, same): ``encode`` and ``decode`` in one pass, which loads the pieces once for both.
+
+    ``same`` tells whether the decoded text equals the text, a marker in it counting as a blank. Null texts are empty;
+    null and repeated ids are kept row by row; very long texts are encoded whole. An empty table gives an empty
+    result; other columns are left out, whatever their names.
+    """
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = base.mapInArrow(_both_ways(load(path)), f"id {base.schema['id'].dataType.simpleString()}, ids binary, decoded string, same boolean")
+    return rows.withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_pieces, ids_crc32, decoded_sha256, same (decoded equals the text)."""
-    rows = decode(encode(docs, path), path)
-    same = F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))
-    return rows.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same"))
+    """One row per document: doc_id, n_pieces, ids_crc32, decoded_sha256, same (decoded equals the text); nulls and repeats as in ``encode_and_decode``."""
+    return encode_and_decode(docs, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), "same")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

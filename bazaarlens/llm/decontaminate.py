@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import join_salted, join_sized, written
+from bazaarlens.llm.common import BROADCAST_BYTES, bytes_of, join_salted, join_sized, written
 from bazaarlens.llm.words import blocks, shingles, tidied, word_hashes
 
 #: Words in a seed, and the share of the best possible score that counts as a copy.
 SEED_WORDS, MIN_SCORE = 3, 0.5
-#: Distinct item n-grams up to which their hashes are sent to the tasks (8 bytes each); beyond, they are joined by a shuffle.
-SENT_GRAMS = 2_000_000
+#: Item n-grams up to which they are sent to the tasks with the items' words; more are joined by shuffles.
+SENT_GRAMS = 1_000_000
 #: Items that one row carries, with their words, beside a document's text; a document with more of them has several rows.
 ROW_ITEMS = 200
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -53,34 +53,83 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _grams(n: int, only: np.ndarray | None):
-    """Rows (id, gram, at) of all n-grams, or of those in the sorted array ``only``."""
-    if only is not None:
-        light = np.zeros(1 << 20, bool)
-        light[(only >> np.uint64(44)).astype(np.int64)] = True
+def best_place(item: np.ndarray, own: np.ndarray, offsets: list[int], min_score: float) -> tuple[int, int, int]:
+    """Best (score, first word, end word) of the item's alignments around seeds; ``offsets``: places of seeds in ``own`` less their places in the item, ascending.
+
+    Near seeds share a window. One that holds too few of the item's words for ``min_score`` is not aligned: each adds
+    MATCH at most.
+    """
+    best, k = (0, 0, 0), 0
+    room = len(item) // 2 + 1
+    while k < len(offsets):
+        lo = offsets[k] - room
+        hi = lo
+        while k < len(offsets) and offsets[k] - room <= hi:
+            hi = offsets[k] + len(item) + room
+            k += 1
+        lo = max(lo, 0)
+        part = own[lo : max(hi, 0)]
+        if np.isin(item, part).sum() >= min_score * len(item):
+            score, a, b = align(item, part)
+            if score > best[0]:
+                best = (score, a + lo, b + lo)
+    return best
+
+
+def _rows(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["id", "item_id", "score", "first_word", "end_word"])
+
+
+def _grams(n: int):
+    """Rows (id, gram, at) of all n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column("text")):
                 values, bounds = shingles(*word_hashes(texts), n)
-                place = np.arange(len(values))
-                if only is not None:
-                    place = np.flatnonzero(light[(values >> np.uint64(44)).astype(np.int64)])
-                    near = np.minimum(np.searchsorted(only, values[place]), max(len(only) - 1, 0))
-                    place = place[only[near] == values[place]] if len(only) else place[:0]
-                row = np.searchsorted(bounds, place, "right") - 1
-                for part in range(0, len(place), 500_000):
-                    rows, own = row[part : part + 500_000], place[part : part + 500_000]
+                for part in range(0, len(values), 500_000):
+                    own = np.arange(part, min(part + 500_000, len(values)))
+                    rows = np.searchsorted(bounds, own, "right") - 1
                     yield pa.record_batch({"id": batch.column("id").take(pa.array(rows + first)), "gram": pa.array(values[own].astype(np.int64)), "at": pa.array((own - bounds[rows]).astype(np.int32))})
 
     return tidied(run)
 
 
-def _aligned(min_score: float):
-    """Of each text with its seeds (item, item's words, place of a seed less its place in the item): the best alignment with each item.
+def _searched(n: int, min_score: float, items: dict[int, np.ndarray], gram: np.ndarray, item_id: np.ndarray, item_at: np.ndarray):
+    """Alignments of texts with the items whose n-grams (``gram`` ascending, with item and place) they hold, in one pass."""
+    light = np.zeros(1 << 20, bool)
+    light[(gram >> np.uint64(44)).astype(np.int64)] = True
 
-    A window that holds too few of the item's words for ``min_score`` is not aligned: each adds MATCH at most.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column("text")):
+                words, at = word_hashes(texts)
+                values, bounds = shingles(words, at, n)
+                place = np.flatnonzero(light[(values >> np.uint64(44)).astype(np.int64)])
+                lo, hi = np.searchsorted(gram, values[place], "left"), np.searchsorted(gram, values[place], "right")
+                uses = hi - lo
+                seed = np.repeat(lo - (np.cumsum(uses) - uses), uses) + np.arange(int(uses.sum()))
+                place = np.repeat(place, uses)
+                row = np.searchsorted(bounds, place, "right") - 1
+                offset = place - bounds[row] - item_at[seed]
+                order = np.lexsort((offset, item_id[seed], row))
+                row, item, offset = row[order], item_id[seed][order], offset[order]
+                cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])) if len(row) else row
+                out = []
+                ids = batch.column("id").slice(first, len(texts)).to_pylist()
+                for a, b in zip(cut, np.append(cut[1:], len(row))):
+                    k, name = int(row[a]), int(item[a])
+                    score, begin, end = best_place(items[name], words[at[k] : at[k + 1]], np.unique(offset[a:b]).tolist(), min_score)
+                    out.append((ids[k], name, score / (MATCH * len(items[name])), begin, end))
+                if out:
+                    yield _rows(out, batch.schema.field("id").type)
+
+    return tidied(run)
+
+
+def _aligned(min_score: float):
+    """Of each text with its seeds (item, item's words, offsets): the best alignment with each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,27 +139,12 @@ def _aligned(min_score: float):
                 seeds = batch.column("seeds").slice(first, len(texts)).to_pylist()
                 ids = batch.column("id").slice(first, len(texts)).to_pylist()
                 for k, held in enumerate(seeds):
-                    own = words[bounds[k] : bounds[k + 1]]
                     for seed in held:
                         item = np.frombuffer(seed["words"], np.uint64)
-                        best = (0, 0, 0)
-                        places = sorted(set(seed["offsets"]))
-                        while places:  # windows around seeds; near ones share a window
-                            lo = places[0] - len(item) // 2 - 1
-                            hi = lo
-                            while places and places[0] - len(item) // 2 - 1 <= hi:
-                                hi = places.pop(0) + len(item) + len(item) // 2 + 1
-                            lo = max(lo, 0)
-                            part = own[lo : max(hi, 0)]
-                            if np.isin(item, part).sum() < min_score * len(item):
-                                continue
-                            score, a, b = align(item, part)
-                            if score > best[0]:
-                                best = (score, a + lo, b + lo)
-                        out.append((ids[k], seed["item_id"], best[0] / (MATCH * len(item)), best[1], best[2]))
+                        score, begin, end = best_place(item, words[bounds[k] : bounds[k + 1]], sorted(set(seed["offsets"])), min_score)
+                        out.append((ids[k], seed["item_id"], score / (MATCH * len(item)), begin, end))
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.record_batch({"id": pa.array(cols[0], batch.schema.field("id").type), "item_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64()), "first_word": pa.array(cols[3], pa.int64()), "end_word": pa.array(cols[4], pa.int64())})
+                    yield _rows(out, batch.schema.field("id").type)
 
     return tidied(run)
 
@@ -130,8 +164,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ``min_score``. ``score`` is the alignment's score over the best possible one; rows reach ``min_score``. No
     document and no item is passed over for being frequent, and a copy of any part of an item has that part's seeds.
 
-    The item side is read once more to count its n-grams: up to ``sent_grams`` are sent to the tasks as hashes, more
-    are joined by a shuffle. Only occurrences of item n-grams leave the first pass over the documents.
+    Up to ``sent_grams`` n-grams of items, with words of a measured size, are sent to the tasks; the documents are then
+    read once and nothing of them is shuffled. More are joined by shuffles.
 
     Null texts are empty and match nothing; very long texts are searched whole. Items without words are passed over;
     items shorter than n words have one seed of all their words, which finds texts made of just these. Of items that
@@ -143,12 +177,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kind = base.schema["id"].dataType.simpleString()
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("id is not null")
     words = written(tests.mapInArrow(_item_words, "item_id long, words binary").filter("length(words) > 0").groupBy("item_id").agg(F.min("words").alias("words")), "items")
-    grams = written(tests.mapInArrow(_grams(n, None), "id long, gram long, at int").select(F.col("id").alias("item_id"), "gram", F.col("at").alias("item_at")), "item-grams")
-    distinct = written(grams.select("gram").distinct(), "item-gram-hashes")
-    few = distinct.count() <= sent_grams
-    only = np.sort(distinct.toArrow().column("gram").to_numpy().astype(np.uint64)) if few else None
-    hits = base.mapInArrow(_grams(n, only), f"id {kind}, gram long, at int")
-    hits = written(hits if few else hits.join(distinct, "gram"), "hits")
+    named = tests.mapInArrow(_grams(n), "id long, gram long, at int").select(F.col("id").alias("item_id"), "gram", F.col("at").alias("item_at"))
+    grams = written(named.join(words.select("item_id"), "item_id", "left_semi").distinct(), "item-grams")
+    result = f"id {kind}, item_id long, score double, first_word long, end_word long"
+
+    def best(scored: DataFrame) -> DataFrame:
+        top = scored.filter(F.col("score") >= min_score).groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
+        return top.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")
+
+    if grams.count() <= sent_grams and bytes_of(words) <= BROADCAST_BYTES:
+        held = {r["item_id"]: np.frombuffer(r["words"], np.uint64) for r in words.toArrow().to_pylist()}
+        table = grams.toArrow()
+        gram = table.column("gram").to_numpy().astype(np.uint64)
+        order = np.argsort(gram, kind="stable")
+        return best(base.mapInArrow(_searched(n, min_score, held, gram[order], table.column("item_id").to_numpy()[order], table.column("item_at").to_numpy()[order].astype(np.int64)), result))
+    distinct = grams.select("gram").distinct()
+    hits = written(base.mapInArrow(_grams(n), f"id {kind}, gram long, at int").join(distinct, "gram"), "hits")
     found = join_sized(hits, grams, "gram", "inner").groupBy("id", "item_id").agg(F.collect_set((F.col("at") - F.col("item_at")).cast("long")).alias("offsets"))
     found = written(found, "seeds")
     uses = written(found.groupBy("item_id").agg(F.count("*").alias("n")).join(words, "item_id"), "item-uses")
@@ -158,9 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     part = F.pmod(F.xxhash64("item_id"), F.coalesce("parts", F.lit(1)))
     held = join_sized(full, written(parts, "many-seeds"), "id", "left").groupBy("id", part.alias("part")).agg(F.collect_list(F.struct("item_id", "words", "offsets")).alias("seeds"))
     held = written(held.drop("part"), "seeded")
-    scored = join_sized(base, held, "id", "inner").mapInArrow(_aligned(min_score), f"id {kind}, item_id long, score double, first_word long, end_word long")
-    best = scored.filter(F.col("score") >= min_score).groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
-    return best.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")
+    return best(join_sized(base, held, "id", "inner").mapInArrow(_aligned(min_score), result))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,9 @@ def test_many_items_in_one_document_and_shuffled_joins(spark, docs, monkeypatch)
     words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
     its = [(j, words(20)) for j in range(30)]
     rows = [(0, " ".join(t for _, t in its)), (1, its[3][1]), (2, words(50))] + [(3 + k, words(5) + " " + its[7][1]) for k in range(9)]
-    got = {(r.doc_id, r.item_id) for r in contaminated(docs([t for _, t in rows]), items(spark, [(j, t, "x") for j, t in its])).collect()}
-    assert got == brute(rows, its) and len(got) == 40
+    for sent in (0, 10**6):
+        got = {(r.doc_id, r.item_id) for r in contaminated(docs([t for _, t in rows]), items(spark, [(j, t, "x") for j, t in its]), sent_grams=sent).collect()}
+        assert got == brute(rows, its) and len(got) == 40
 
 
 def test_partial_copies_beside_full_ones(spark, docs):

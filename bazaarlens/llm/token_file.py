@@ -21,8 +21,8 @@ MAX_BITS, STRIDE, BLOCK_IDS = 16, 64, 1 << 16
 #: Ids of one file.
 SHARD_IDS = 32_000_000
 END_ID = 2
-#: Distinct stretches of text a Python worker remembers the ids of.
-REMEMBERED = 500_000
+#: Texts are tokenised in blocks of about so many bytes, each distinct stretch of a block once.
+TOKEN_BLOCK = 12_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -111,44 +111,52 @@ def decode(data: bytes, marks: np.ndarray, n: int, table: tuple[np.ndarray, np.n
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Texts with these are cut by _CUT; all others at each blank.
 _ODD = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}|^\\s|\\s$|^$|[\\t\\r\u000b\u000c\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Stretches that do not follow each other in one call: empty ones, with a blank inside, or with white space at an end.
+_WILD = "^$| |^[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]$|^\u000b"
 _held: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(tokenizer, bytes of each id, remembered ids) of this Python worker."""
+    """(tokenizer, bytes of each id, pattern of the special tokens) of this Python worker."""
     if path not in _held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
+        special = "|".join(re.escape(t.content) for t in made.get_added_tokens_decoder().values())
         size = np.zeros(made.get_vocab_size(), np.int64)
         for piece, i in made.get_vocab().items():
             size[i] = len(piece)  # a byte-level piece has a character for each byte
-        _held[path] = (made, size, {})
+        _held[path] = (made, size, special)
     return _held[path]
 
 
-def _encoded(tokenizer, size: np.ndarray, stretches: list[str]) -> list[bytes]:
-    """Ids of stretches that each start with a blank, have another one nowhere, and end otherwise: many in one call, cut by their bytes."""
-    out = []
-    groups = [stretches[k : k + 1000] for k in range(0, len(stretches), 1000)]
-    for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<u4")
-        ends = np.cumsum([len(x.encode()) for x in group])
-        cut = np.searchsorted(np.cumsum(size[ids]), ends, "right")
-        flat = ids.tobytes()
-        out += [flat[4 * a : 4 * b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-    return out
+def _ids_of(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _together(tokenizer, size: np.ndarray, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of stretches, each with a blank before it, in a row, and their bounds: many in one call, cut by their bytes."""
+    words = stretches.to_pylist()
+    ids = _ids_of(tokenizer, [" " + " ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+    flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+    ends = np.cumsum(np.asarray(pc.binary_length(stretches), np.int64) + 1)
+    return flat, np.concatenate([[0], np.searchsorted(np.cumsum(size[flat]), ends, "right")])
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The tokenizer's ids of whole texts in a row, as by encoding each text alone, and the texts' bounds in them.
 
     The pre-tokenizer always starts a new token at a single blank between two other characters, so texts are cut
-    there, and each distinct stretch is encoded once and remembered.
+    there, and each distinct stretch is encoded once. Texts that hold a special token go whole.
     """
-    tokenizer, size, known = _encoder(path)
+    tokenizer, size, special = _encoder(path)
+    if special and pc.any(whole := pc.match_substring_regex(texts, special)).as_py():
+        flat, at = token_ids(texts.filter(pc.invert(whole)), path)
+        plain = iter(flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+        direct = iter(_ids_of(tokenizer, texts.filter(whole).to_pylist()))
+        ids = [next(direct) if w else next(plain) for w in whole.to_pylist()]
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     odd = pc.match_substring_regex(texts, _ODD)
     lists = pc.split_pattern(texts, " ")
     if pc.any(odd).as_py():
@@ -156,37 +164,34 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     count = np.asarray(pc.list_value_length(lists), np.int64)
     bounds = np.concatenate([[0], np.cumsum(count)])
     coded = lists.flatten().dictionary_encode()
-    number, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+    number, words = np.asarray(coded.indices, np.int64), coded.dictionary
     # the first stretch of a text has no blank before it
     heads = bounds[:-1][count > 0]
-    plain = np.ones(len(number), bool)
-    plain[heads] = False
-    inner = np.unique(number[plain])
-    new = [w for w in map(words.__getitem__, inner.tolist()) if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = [words[i] for i in inner.tolist()]
-    tame = [w for w in new if w and not w[-1].isspace() and not w[0].isspace() and " " not in w]
-    known.update(zip(tame, _encoded(tokenizer, size, [" " + w for w in tame]), strict=True))
-    wild = [w for w in new if w not in known]
-    known.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(wild, tokenizer.encode_batch_fast([" " + w for w in wild], add_special_tokens=False), strict=True)})
-    first = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([words[i] for i in number[heads].tolist()], add_special_tokens=False)]
-    held = [known[words[i]] for i in inner.tolist()] + first
-    at = np.zeros(len(words) + 1, np.int64)
-    at[inner] = np.arange(len(inner))
-    where = at[number]
-    where[heads] = len(inner) + np.arange(len(heads))
-    flat, n = np.frombuffer(b"".join(held), "<u4"), np.array([len(x) >> 2 for x in held], np.int64)
-    start, own = (np.cumsum(n) - n)[where], n[where] if len(where) else np.zeros(0, np.int64)
+    inner = np.ones(len(number), bool)
+    inner[heads] = False
+    used = np.zeros(len(words), bool)
+    used[number[inner]] = True
+    tame = used & ~np.asarray(pc.match_substring_regex(words, _WILD), bool) if len(words) else used
+    flat, at = _together(tokenizer, size, words.filter(pa.array(tame)))
+    wild = np.flatnonzero(used & ~tame)
+    alone = _ids_of(tokenizer, [" " + w for w in words.take(pa.array(wild)).to_pylist()] + words.take(pa.array(number[heads])).to_pylist())
+    length = np.array([len(x) for x in alone], np.int64)
+    begin = len(flat) + np.cumsum(length) - length
+    flat = np.concatenate([flat, *alone])
+    start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    start[tame], n[tame] = at[:-1], np.diff(at)
+    start[wild], n[wild] = begin[: len(wild)], length[: len(wild)]
+    first, own = start[number], n[number]
+    first[heads], own[heads] = begin[len(wild) :], length[len(wild) :]
     ends = np.cumsum(own)
-    ids = flat[np.repeat(start - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    ids = flat[np.repeat(first - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
     return ids, np.concatenate([[0], ends])[bounds]
 
 
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column("text")):
+            for first, texts in blocks(batch.column("text"), TOKEN_BLOCK):
                 flat, at = token_ids(texts, path)
                 ids = [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch({"id": batch.column("id").slice(first, len(texts)), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([_packed(x) for x in ids], pa.binary())})

@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 from bazaarlens.llm import token_file as tf
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  a  b ", "a\n b", "a \n\n  b", "it's  they'll 're", "tab\tx y", "nb sp ace", " x", "<|endoftext|> a", "é́ ñ 日本 語", "a\x1c b", "12 3,4 .. !", "x" * 5000, "\n", "a\n", "\r\n z"]
+ODD = ["", " ", "  a  b ", "a\n b", "a \n\n  b", "it's  they'll 're", "tab\tx y", "nb sp ace", " x", "<|endoftext|> a", "b <|endoftext|>", "x<|endoftext|>y <|endoftext|> z", "<|endoftext |>", "a\x0b b", "\x0bc d\x0b e", "é́ ñ 日本 語", "a\x1c b", "12 3,4 .. !", "x" * 5000, "\n", "a\n", "\r\n z"]
 
 
 def direct():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 

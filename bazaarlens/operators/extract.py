@@ -35,7 +35,7 @@ def any_of(text: Column, tokens: tuple[str, ...]) -> Column:
 
 def lots(title: Column, category: Column) -> Column:
     """Stated number from 2 on; a smaller stated one means no lot; lot words and lot categories mean 2 at least."""
-    stated = F.coalesce(*[group(title, v.LOT_COUNTS, n) for n in range(1, 6)]).try_cast("int")
+    stated = F.when(has(title, v.LOT_COUNTS), F.coalesce(*[group(title, v.LOT_COUNTS, n) for n in range(1, 6)]).try_cast("int"))
     return F.coalesce(F.when(stated >= 2, stated), F.when(stated.isNull() & has(title, v.LOT_WORDS), 2), F.when(any_of(category, v.LOT_CATEGORIES), 2))
 
 
@@ -66,7 +66,7 @@ def _plausible(values: Column) -> Column:
 def capacities(title: Column) -> Column:
     """All capacities with a unit of their own, in GB."""
     both = F.zip_with(every(title, v.CAPACITY, 1), every(title, v.CAPACITY, 2), gigabytes)
-    return _plausible(both)
+    return F.when(F.lower(title).rlike("[gt]b"), _plausible(both)).otherwise(F.array().cast(INT))
 
 
 def shared_unit_capacities(title: Column) -> Column:
@@ -78,7 +78,8 @@ def shared_unit_capacities(title: Column) -> Column:
         values = F.transform(each, lambda x: x * F.when(F.upper(unit) == "TB", 1024).otherwise(1))
         return F.when(good & F.forall(values, lambda x: x <= v.MAX_CAPACITY_GB), values).otherwise(F.array().cast(INT))
 
-    return F.flatten(F.zip_with(every(title, v.SHARED_UNIT, 1), every(title, v.SHARED_UNIT, 2), of))
+    lists = F.flatten(F.zip_with(every(title, v.SHARED_UNIT, 1), every(title, v.SHARED_UNIT, 2), of))
+    return F.when(F.contains(title, F.lit("/")), lists).otherwise(F.array().cast(INT))
 
 
 def kits(title: Column, category: Column) -> Column:
@@ -102,7 +103,7 @@ def capacity(title: Column, category: Column, aspects: Column | None = None) ->
 
 def generation(title: Column) -> Column:
     bus = F.coalesce(group(title, v.GENERATION, 2), group(title, v.GENERATION, 3))
-    return F.coalesce(F.upper(group(title, v.GENERATION, 1)), F.concat(F.lit("PCIE"), bus))
+    return F.when(has(title, v.GENERATION), F.coalesce(F.upper(group(title, v.GENERATION, 1)), F.concat(F.lit("PCIE"), bus)))
 
 
 def form_factor(title: Column) -> Column:
@@ -116,7 +117,7 @@ def _joined(*parts: Column) -> Column:
 
 
 def gpu_key(title: Column) -> Column:
-    return _joined(*[group(title, v.GPU, n) for n in (1, 2, 3)])
+    return F.when(has(title, v.GPU), _joined(*[group(title, v.GPU, n) for n in (1, 2, 3)]))
 
 
 def cpu_key(title: Column) -> Column:
@@ -132,15 +133,16 @@ def console_key(title: Column, category: Column) -> Column:
         F.when(g[1].isNotNull(), "switch-2"), F.concat(F.lit("switch-"), F.lower(F.coalesce(g[2], g[3]))), F.when(g[4].isNotNull(), "switch"),
         F.concat(F.lit("ps"), F.coalesce(g[5], g[6])), F.concat(F.lit("xbox-series-"), F.lower(g[7])), F.when(g[8].isNotNull(), "xbox-one"),
     )
-    return F.when(~any_of(category, v.PLATFORM_CATEGORIES), key)
+    return F.when(~any_of(category, v.PLATFORM_CATEGORIES) & has(title, v.CONSOLE), key)
 
 
 def phone_key(title: Column) -> Column:
     g = [None, *[group(title, v.PHONE, n) for n in range(1, 11)]]
-    return F.coalesce(
+    key = F.coalesce(
         F.concat(F.lit("iphone-"), g[1], F.lit("e")), _joined(F.lit("iphone"), g[3], g[4]), _joined(F.lit("iphone"), g[5]),
         _joined(F.lit("galaxy"), F.concat(g[6], g[7]), g[8]), _joined(F.lit("pixel"), g[9], g[10]),
     )
+    return F.when(has(title, v.PHONE), key)
 
 
 def model_key(title: Column, category: Column) -> Column:
@@ -198,10 +200,12 @@ def only_new(df: DataFrame) -> DataFrame:
     return df.filter(F.col("variant_signals").isNull())
 
 
-def report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: processed, lots, defects, accessories, from-prices, by completeness, changed rows, and the sum excluded."""
-    b = before.select("listing_id", F.struct(*FIELDS).alias("b"))
-    rows = after.join(b, "listing_id", "left").withColumn("changed", ~F.struct(*FIELDS).eqNullSafe(F.col("b")))
+def report(after: DataFrame, before: str = "before") -> DataFrame:
+    """One row: processed, lots, defects, accessories, from-prices, by completeness, changed rows, and the sum excluded.
+
+    ``after`` has the derived fields, and those from before in a struct.
+    """
     n = F.count_if
+    rows = after.withColumn("changed", ~F.struct(*FIELDS).eqNullSafe(F.col(before)))
     out = rows.agg(F.count("*").alias("processed"), n(F.col("lot_size").isNotNull()).alias("lots"), n("has_defect").alias("defects"), n("is_accessory").alias("accessories"), n("price_is_from").alias("multi_variant"), *[n(F.col("completeness") == x).alias(x) for x in ("bare", "complete", "bundle")], n("changed").alias("changed"))
     return out.withColumn("excluded_from_comps", F.col("lots") + F.col("defects") + F.col("accessories") + F.col("multi_variant"))

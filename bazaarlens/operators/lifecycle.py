@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import extract, normalize
+
 STALE_DAYS, UNSEEN_DAYS, ALIVE_S, BUDGET = 60, 30, 10_800, 700
 RELIST_DAYS, QUICK_DAYS, END_HOURS, TERM_DAYS, TERM_SLACK = 21, 7.0, 12.0, 30, 2
 SALE, PRICE = 0.75, 1.0
@@ -50,6 +52,49 @@ def checked(listing: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("missing_since", since).withColumn("status", F.when(F.col("change") == "confirmed", "likely_sold").otherwise(F.col("status"))).withColumn("last_checked_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("last_checked_at"))).drop("__ended")
 
 
+def fetched(asked: DataFrame, bodies: DataFrame, now: Column) -> DataFrame:
+    """``asked`` listings after a look at their item bodies (itemId and the fields of BODY), with found and ended.
+
+    A listing without a body is absent, which counts as ended, as does a body that is out of stock or past its end. A
+    body is read first, ended or not: it fills in the listing, whose title is then read again with the new aspects.
+    """
+    here = bodies.select(F.col("itemId").alias("source_id"), F.lit(True).alias("found"), normalize.has_ended(F.col("estimatedAvailabilities"), F.col("itemEndDate"), now).alias("over"))
+    rows = normalize.enriched(asked, bodies.join(asked.select(F.col("source_id").alias("itemId")), "itemId", "left_semi"))
+    rows = rows.join(here, "source_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("ended", ~F.col("found") | F.coalesce("over", F.lit(False))).drop("over")
+    read = extract.extracted(rows.drop(*extract.FIELDS, "variant_signals", "usable_as_comp"), aspects="aspects")
+    before = rows.select(F.col("listing_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in (*extract.FIELDS, "variant_signals") if c in rows.columns])
+    both = read.join(before, F.col("listing_id") == F.col("__id"))
+    keep = [c for c in (*extract.FIELDS, "variant_signals") if c in rows.columns]
+    return both.withColumns({c: F.when(F.col("found"), F.col(c)).otherwise(F.col(f"__{c}")) for c in keep}).select(*rows.columns)
+
+
+def check_run(listing: DataFrame, bodies: DataFrame, now: Column, budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES) -> DataFrame:
+    """One pass: the ``budget`` listings that are due, checked while ``quota`` calls last, with found, ended, change and relist_id.
+
+    Confirmed ones are scored at once: sale_score, price_score and signals.
+    """
+    asked = due(listing, now, budget if quota is None else min(budget, quota), sources)
+    looked = fetched(asked, bodies, now)
+    rows = checked(looked.drop("found", "ended"), looked.select("listing_id", "ended"), now).join(looked.select("listing_id", "found", "ended"), "listing_id")
+    sold = rows.filter("change = 'confirmed'")
+    return scored(rows.join(relists(sold, listing, now), "listing_id", "left"), now).withColumns({c: F.when(F.col("change") == "confirmed", F.col(c)) for c in ("sale_score", "price_score", "signals")})
+
+
+def run_counters(run: DataFrame, listing: DataFrame, now: Column, budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES) -> DataFrame:
+    """The nine counters of a pass in one row: what was checked and became of it, what was passed over or retired, and whether calls ran out."""
+    n = F.count_if
+    of_run = run.agg(
+        F.count("*").alias("checked"), n(F.col("change") == "confirmed").alias("marked_sold"), n((F.col("change") == "confirmed") & F.col("relist_id").isNotNull()).alias("detected_relists"), n("found").alias("enriched"),
+        n(F.col("change") == "strike").alias("pending_confirmation"), n(F.col("change") == "recovered").alias("recovered"),
+    )
+    retired = retire(listing, now).filter(F.col("source").isin(*sources))
+    alive = (F.col("status") == "active") & proven_alive(now)
+    left = (F.col("status") == "active") & ~proven_alive(now)
+    spent = (F.least(n(left), F.lit(budget)) > quota) if quota is not None else F.lit(False)
+    of_all = retired.agg(n(alive).alias("skipped_proven_alive"), n("retired").alias("retired_stale"), spent.alias("quota_exhausted"))
+    return of_run.crossJoin(of_all)  # one row each
+
+
 def two_strikes(events: DataFrame) -> DataFrame:
     """A history of checks (listing_id, at, tie, ended) played through: rows with the state before and after each check.
 
@@ -67,9 +112,14 @@ def two_strikes(events: DataFrame) -> DataFrame:
 def relists(sold: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
     """Rows (listing_id, relist_id): the newest listing of the same source and photo, first seen in the last 21 days, that is not sold."""
     s = sold.filter(F.col("image_hash").isNotNull()).select("listing_id", "source", "image_hash")
-    c = listing.filter((F.col("status") != "likely_sold") & (F.col("first_seen_at") >= now - days(RELIST_DAYS))).select(F.col("listing_id").alias("other"), "source", "image_hash", "first_seen_at")
-    newest = F.max(F.struct("first_seen_at", (-F.col("other")).alias("back"))).alias("m")
-    return s.join(c, ["source", "image_hash"]).filter("listing_id <> other").groupBy("listing_id").agg(newest).select("listing_id", (-F.col("m.back")).alias("relist_id"))
+    c = listing.filter((F.col("status") != "likely_sold") & (F.col("first_seen_at") >= now - days(RELIST_DAYS)) & F.col("image_hash").isNotNull())
+    # the newest two of a photo are enough: one of them is another listing
+    place = F.struct("first_seen_at", (-F.col("listing_id")).alias("back"))
+    first = c.groupBy("source", "image_hash").agg(F.max(place).alias("m1"))
+    second = c.join(first, ["source", "image_hash"]).filter(-F.col("listing_id") != F.col("m1.back")).groupBy("source", "image_hash").agg(F.max(place).alias("m2"))
+    both = s.join(first, ["source", "image_hash"]).join(second, ["source", "image_hash"], "left")
+    other = F.when(-F.col("m1.back") != F.col("listing_id"), -F.col("m1.back")).otherwise(-F.col("m2.back"))
+    return both.select("listing_id", other.alias("relist_id")).filter("relist_id is not null")
 
 
 def scored(sold: DataFrame, now: Column) -> DataFrame:

@@ -12,13 +12,21 @@ SEARCH_POLICY = {
     "pair": (("shipping_cost", "shipping_estimated"),),
     "fill": ("image_hash",),
 }
-#: A captured page says less: shipping only if given, and no derived fields.
-CAPTURE_POLICY = {"overwrite": ("title", "price", "currency"), "if_given": ("shipping_cost", "aspects"), "pair": (), "fill": ("image_hash",)}
+#: A captured page says less: shipping only if given, and no derived fields. Other photos than before replace the photo's
+#: hash and clear its vector, so that it is made anew.
+CAPTURE_POLICY = {"overwrite": ("title", "price", "currency"), "if_given": ("shipping_cost", "aspects"), "pair": (), "fill": ("image_hash",), "photos": {"given": "images", "replaced": ("image_hash",), "cleared": ("embedding", "embedded_at")}}
 
 
 def merged(column: str, policy: dict) -> Column:
     """A column of a matched row: stored ``s.`` under the policy for incoming ``n.``."""
     old, new = F.col(f"s.{column}"), F.col(f"n.{column}")
+    if photos := policy.get("photos"):
+        given = F.col(f"n.{photos['given']}")
+        other = F.coalesce(F.size(given) > 0, F.lit(False)) & ~given.eqNullSafe(F.col(f"s.{photos['given']}"))
+        if column in (photos["given"], *photos["replaced"]):
+            return F.when(other, new).otherwise(F.coalesce(old, new) if column in policy["fill"] else old)
+        if column in photos["cleared"]:
+            return F.when(~other, old)
     if column in policy["overwrite"]:
         return new
     if column in policy["if_given"]:
@@ -39,6 +47,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: Column, policy: dict = S
     when (price, shipping) differs between before and after the merge; with ``compare_incoming``, between before and
     what came in, so that unknown shipping counts as a change.
     """
+    if policy.get("photos") and policy["photos"]["given"] not in stored.columns:
+        policy = {k: v for k, v in policy.items() if k != "photos"}
     missing = [c for c in stored.columns if c not in incoming.columns]
     new = incoming.select(*incoming.columns, *[F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in missing])
     both = stored.withColumn("__s", F.lit(True)).alias("s").join(new.withColumn("__n", F.lit(True)).alias("n"), [F.col(f"s.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
@@ -90,6 +100,12 @@ def search_health(runs: DataFrame) -> DataFrame:
     return rows.withColumn("systematic", F.col("searches_failed") >= F.greatest(F.lit(2), F.floor(F.col("searches_run") / 2)))
 
 
+def quarantined(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages of searches that ran, searches set aside): one search's fault costs its own page only, and is told by id and reason."""
+    failed = F.coalesce(F.col("failed"), F.lit(True))
+    return runs.filter(~failed), runs.filter(failed).select("search_id", F.coalesce("reason", F.lit("unknown")).alias("reason"))
+
+
 def enabled(searches: DataFrame) -> DataFrame:
     return searches.filter("enabled")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import extract
+
 #: Fixed values of the source's search pages.
 ITEM = (
     "itemId string, title string, itemWebUrl string, price struct<value: string, currency: string>, image struct<imageUrl: string>, additionalImages array<struct<imageUrl: string>>, "
@@ -119,9 +121,14 @@ def capture_attributes(brand: Column, size: Column, seller: Column) -> Column:
 
 
 def captured_listing(good: DataFrame, now: Column) -> DataFrame:
-    """Good captured rows as listing rows: no category, not an auction, not good till cancelled, seen now."""
-    return good.select(
+    """Good captured rows as listing rows: no category, not an auction, not good till cancelled, seen now.
+
+    Titles are read at once, with what the page says about size and brand, as a capture is matched right away. A brand
+    is no category.
+    """
+    rows = good.select(
         "source", "source_id", "title", "price", F.coalesce("currency", F.lit("USD")).alias("currency"), "shipping_cost", F.lit(False).alias("shipping_estimated"), F.lit(False).alias("is_auction"), F.lit(False).alias("accepts_best_offer"),
         F.coalesce("images", F.array().cast("array<string>")).alias("images"), "location", "condition", F.lit(None).cast("string").alias("category"), "url", capture_attributes(F.col("brand"), F.col("size"), F.col("seller")).alias("aspects"),
         F.lit(False).alias("is_gtc"), now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit("active").alias("status"),
     )
+    return extract.extracted(rows, condition=None, aspects="aspects").drop("usable_as_comp")

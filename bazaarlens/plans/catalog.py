@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.plans import market, reports, titles
+from bazaarlens.plans import market, reports, stores, titles
 
-MODULES = (market, reports, titles)
+MODULES = (market, reports, stores, titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import stats
-from bazaarlens.operators import knn, lifecycle, matching, merge, valuation
+from bazaarlens.operators import knn, lifecycle, matching, merge, normalize, valuation
 from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, table
 
 _NOW = "timestamp '2024-07-01 00:00:00'"
@@ -35,7 +35,7 @@ def knn_filters(spark: SparkSession, sf: str) -> DataFrame:
 def knn_stored(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of stored listings without spec filters, whatever their category."""
     rows = listing(spark, sf)
-    return knn.knn(rows.filter("listing_id % 500 = 0"), knn.comparable(rows).filter("source = 'ebay'"), 10, (), ())
+    return knn.knn(rows.filter("listing_id % 50 = 0"), knn.comparable(rows).filter("source = 'ebay'"), 10, (), ())
 
 
 def deal_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ valued as (select c.listing_id, c.category, coalesce(c.price + c.shipping_cost,
 SQL = {
     "knn_topk": "with v as (select vec_id as listing_id, embedding, label as category from embeddings)\n" + _near("(select * from v where listing_id % 50 = 0)", "v", "q.category = c.category", 10),
     "knn_filters": WITH_LISTING + _POOL + _near("(select * from listing where listing_id % 50 = 0)", "pool", _STRICT + " and " + _TOLERANT, 10),
-    "knn_stored": WITH_LISTING + _POOL + _near("(select * from listing where listing_id % 500 = 0)", "pool", "true", 10),
+    "knn_stored": WITH_LISTING + _POOL + _near("(select * from listing where listing_id % 50 = 0)", "pool", "true", 10),
     "deal_candidates": WITH_LISTING + _CANDIDATES + "select listing_id, category, model_key, epid from cand",
     "sold_comps": WITH_LISTING + _COMPS + "select query_id, listing_id, rank, comp_price, substituted, weight from comps",
     "valuations": WITH_LISTING + _VALUED + """select listing_id, category, asking, n, estimate, spread, confidence, case when estimate > 0 then (estimate - asking) / estimate end as score,
@@ -158,17 +158,17 @@ def epid_peers_price_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def match_cascade(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf)
-    return matching.match(rows.filter("source = 'depop' and listing_id % 5 = 0"), rows)
+    return matching.match(rows.filter("source <> 'ebay' and listing_id % 50 = 0"), rows)
 
 
 def match_prices(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf)
-    asked = rows.filter("source = 'depop' and listing_id % 5 = 0")
+    asked = rows.filter("source <> 'ebay' and listing_id % 50 = 0")
     return matching.priced(asked, matching.match(asked, rows), rows).drop("candidates")
 
 
 _MATCH = (
-    _POOL + ", ask as (select * from listing where source = 'depop' and listing_id % 5 = 0),\n"
+    _POOL + ", ask as (select * from listing where source <> 'ebay' and listing_id % 50 = 0),\n"
     "photo as (select q.listing_id as query_id, c.listing_id from ask q join listing c on q.image_hash = c.image_hash and c.source = 'ebay' and q.listing_id <> c.listing_id),\n"
     "rest as (select * from ask where listing_id not in (select query_id from photo)),\n"
     "near as materialized (" + _near("rest", "pool", _STRICT + " and " + _TOLERANT, 10) + """),
@@ -225,6 +225,35 @@ def check_counters(spark: SparkSession, sf: str) -> DataFrame:
     return check_pass(spark, sf).filter("change is not null").groupBy("change").agg(F.count("*").alias("n"))
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Item bodies of four fifths of the listings, by their schema: some out of stock, some past their end, some with a capacity."""
+    k = F.col("o_orderkey")
+    aspects = F.when(k % 2 == 0, F.array(F.struct(F.lit("STRING").alias("type"), F.lit("Storage Capacity").alias("name"), F.concat(F.lit(2) * (k % 7 + 1), F.lit(" GB")).alias("value"))))
+    stock = F.when(k % 6 == 0, '[{"estimatedAvailabilityStatus":"OUT_OF_STOCK","estimatedSoldQuantity":4}]').when(k % 6 == 1, '{"estimatedAvailableQuantity":3}')
+    end = F.when(k % 7 == 0, F.lit("2024-06-01T00:00:00Z")).when(k % 7 == 1, F.lit("2024-12-01T00:00:00Z"))
+    body = F.to_json(F.struct(F.concat(F.lit("item-"), k).alias("itemId"), aspects.alias("localizedAspects"), end.alias("itemEndDate")))
+    rows = table(spark, sf, "orders").filter(k % 5 > 0).select(F.from_json(body, normalize.BODY).alias("x"), stock.alias("stock"))
+    return rows.select("x.*", "stock").drop("estimatedAvailabilities").withColumnRenamed("stock", "estimatedAvailabilities")
+
+
+def _check_run(spark: SparkSession, sf: str, quota: int | None = None) -> tuple[DataFrame, DataFrame]:
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = listing(spark, sf).withColumns({"title": F.concat(F.lit("Lot of "), F.col("listing_id") % 9 + 2, F.lit(" handhelds")), "condition": none("string"), "aspects": none("map<string,string>"), "category_id": none("string"), "sold_quantity": none("int"), "is_gtc": none("boolean"), "variant_signals": none("map<string,string>"), "item_end_date": F.col("item_end_date").cast("timestamp")})
+    return rows, lifecycle.check_run(rows, _bodies(spark, sf), now(), quota=quota)
+
+
+def check_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Due listings, looked up, filled in, read again, checked and scored."""
+    rows = _check_run(spark, sf)[1]
+    return rows.select("listing_id", "found", "ended", "status", "missing_since", "change", "relist_id", "capacity_gb", "lot_size", "sold_quantity", F.col("sale_score").isNotNull().alias("is_scored"))
+
+
+def check_run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls run out after 500 checks."""
+    rows, run = _check_run(spark, sf, 500)
+    return lifecycle.run_counters(run, rows, now(), quota=500)
+
+
 def relist_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf)
     return lifecycle.relists(rows.filter("status = 'likely_sold'"), rows, F.expr("timestamp_ntz '2024-06-20 00:00:00'"))
@@ -260,6 +289,22 @@ select listing_id, relist_id,
     + (case when shipping_cost is null or shipping_estimated then 1 else 0 end) as n_signals,
   case when is_auction then 'under' when accepts_best_offer then 'over' end as price_bias from d""",
 }
+_RUN = WITH_LISTING + f""", due as (select * from listing where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
+b as (select *, listing_id % 5 > 0 as found, listing_id % 5 = 0 or listing_id % 6 = 0 or listing_id % 7 = 0 as ended from due),
+c as (select *, case when ended and missing_since is not null then 'confirmed' when ended then 'strike' when missing_since is not null then 'recovered' else 'alive' end as change from b),
+rel as (select listing_id, other as relist_id from (select s.listing_id, c.listing_id as other, row_number() over (partition by s.listing_id order by c.first_seen_at desc, c.listing_id) as r
+  from c s join listing c on s.source = c.source and s.image_hash = c.image_hash and s.listing_id <> c.listing_id where s.change = 'confirmed' and c.status <> 'likely_sold' and c.first_seen_at >= {_NOW} - interval 21 day) where r = 1),
+run as (select c.*, relist_id from c left join rel using (listing_id))
+"""
+SQL |= {
+    "check_run": _RUN + f"""select listing_id, found, ended, case when change = 'confirmed' then 'likely_sold' else status end as status, case when change = 'strike' then {_NOW} when change = 'recovered' then null else missing_since end as missing_since, change, relist_id,
+  case when not found then capacity_gb when listing_id % 2 = 0 then 2 * (listing_id % 7 + 1) end as capacity_gb, case when found then listing_id % 9 + 2 else lot_size end as lot_size, case when found and listing_id % 6 = 0 then 4 end as sold_quantity, change = 'confirmed' as is_scored from run""",
+    "check_run_counters": _RUN.replace("limit 700", "limit 500") + f"""select count(*) as checked, count(*) filter (where change = 'confirmed') as marked_sold, count(*) filter (where change = 'confirmed' and relist_id is not null) as detected_relists, count(*) filter (where found) as enriched,
+  count(*) filter (where change = 'strike') as pending_confirmation, count(*) filter (where change = 'recovered') as recovered,
+  (select count(*) from listing where source = 'ebay' and status = 'active' and last_seen_at >= {_NOW} - interval 3 hour and not (first_seen_at < {_NOW} - interval 60 day and last_seen_at < {_NOW} - interval 30 day)) as skipped_proven_alive,
+  (select count(*) from listing where source = 'ebay' and status = 'active' and first_seen_at < {_NOW} - interval 60 day and last_seen_at < {_NOW} - interval 30 day) as retired_stale,
+  (select count(*) from listing where source = 'ebay' and status = 'active' and last_seen_at < {_NOW} - interval 3 hour) > 500 as quota_exhausted from run""",
+}
 _CHECKED = WITH_LISTING + f""", due as (select listing_id, listing_id % 3 = 0 as ended from listing where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
 c as (select l.*, case when l.status <> 'active' or d.ended is null then null when d.ended and missing_since is not null then 'confirmed' when d.ended then 'strike' when missing_since is not null then 'recovered' else 'alive' end as change from listing l left join due d on d.listing_id = l.listing_id)
 """
@@ -297,9 +342,14 @@ def upsert_observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capture_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured again: some with the same photos, some with others, some with none."""
     stored, seen = _page(spark, sf)
+    k = F.col("listing_id")
+    photo = lambda x: F.array(F.concat(F.lit(x), k.cast("string")))
+    stored = stored.withColumns({"images": F.when(k % 11 > 0, photo("a")), "embedded_at": F.when(k % 13 > 0, F.col("first_seen_at"))})
+    seen = seen.withColumns({"images": F.when(k % 8 == 0, photo("a")).when(k % 8 == 2, photo("b")).when(k % 8 == 4, F.array().cast("array<string>")), "image_hash": F.when(k % 3 > 0, F.concat(F.lit("n"), k.cast("string")))})
     rows = merge.upsert(stored, seen, now(), merge.CAPTURE_POLICY, revive=False, compare_incoming=True)
-    return rows.select("source", "source_id", "price", "shipping_cost", "status", "completeness", *_FLAGS)
+    return rows.select("source", "source_id", "price", "shipping_cost", "status", "completeness", "image_hash", F.array_join("images", ",").alias("images"), "embedded_at", *_FLAGS)
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,7 +366,7 @@ def price_series_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_health(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "customer").filter("c_custkey < 64 and c_custkey % 8 <> 0").select(F.col("c_custkey").alias("search_id"), (F.col("c_acctbal") < 0).alias("failed"), (F.col("c_nationkey") * 30).alias("total"), F.least(F.lit(200), F.col("c_nationkey") * 30).alias("kept"))
+    runs = table(spark, sf, "customer").filter("c_custkey % 8 <> 0").select(F.col("c_custkey").alias("search_id"), (F.col("c_acctbal") < 0).alias("failed"), (F.col("c_nationkey") * 30).alias("total"), F.least(F.lit(200), F.col("c_nationkey") * 30).alias("kept"))
     return merge.search_health(runs)
 
 
@@ -344,12 +394,17 @@ SQL |= {
   case when came then null else old_missing end as missing_since, epid, image_hash, created, updated, revived, price_changed from v""",
     "upsert_counters": _MERGE + "select count(*) filter (where created) as inserted, count(*) filter (where updated) as updated, count(*) filter (where created or updated) as upserted, count(*) filter (where revived) as reactivated, count(*) filter (where price_changed and updated) as price_changes from v",
     "upsert_observations": _MERGE + f"select coalesce(sid, nid) as listing_id, price, shipping_cost, {_NOW} as observed_at from v where price_changed",
-    "capture_upsert": _MERGE + "select source, source_id, price, shipping_cost, case when not was then 'active' else old_status end as status, case when was then old_comp else new_comp end as completeness, created, updated, false as revived, capture_changed as price_changed from v",
+    "capture_upsert": _MERGE + """, k as (select v.*, coalesce(sid, nid) as id, case when sid % 11 > 0 then 'a' || sid end as old_images, case nid % 8 when 0 then 'a' || nid when 2 then 'b' || nid when 4 then '' end as new_images,
+    case when nid % 3 > 0 then 'n' || nid end as new_hash, l.image_hash as old_hash, case when sid % 13 > 0 then l.first_seen_at end as old_embedded from v join listing l on l.listing_id = coalesce(sid, nid)),
+w as (select *, was and came and coalesce(new_images, '') <> '' and new_images is distinct from old_images as other from k)
+select source, source_id, price, shipping_cost, case when not was then 'active' else old_status end as status, case when was then old_comp else new_comp end as completeness,
+  case when not was or other then new_hash when came then coalesce(old_hash, new_hash) else old_hash end as image_hash, case when not was or other then new_images else old_images end as images, case when was and not other then old_embedded end as embedded_at,
+  created, updated, false as revived, capture_changed as price_changed from w""",
     "price_changes": _HISTORY + "select listing_id, tie, price from d",
     "price_series_summary": _HISTORY + "select listing_id, arg_min(price, (ts, tie)) as first_price, arg_max(price, (ts, tie)) as last_price, min(price) as lowest, max(price) as highest, count(*) as n from d group by 1",
     "search_bookkeeping": f"""with r as (select *, c_custkey % 8 <> 0 as on_, c_custkey % 8 <> 0 and c_acctbal >= 0 as ran from customer)
 select c_custkey as search_id, c_name as keyword, on_ as enabled, case when ran then {_NOW} end as last_run_at, case when ran then c_nationkey * 30 else 7 end as last_result_total from r""",
-    "search_health": """with r as (select c_acctbal < 0 as failed, c_nationkey * 30 as total, least(200, c_nationkey * 30) as kept from customer where c_custkey < 64 and c_custkey % 8 <> 0)
+    "search_health": """with r as (select c_acctbal < 0 as failed, c_nationkey * 30 as total, least(200, c_nationkey * 30) as kept from customer where c_custkey % 8 <> 0)
 select count(*) as searches_run, count(*) filter (where failed) as searches_failed, count(*) filter (where not failed and total > kept) as truncated, count(*) filter (where failed) >= greatest(2, count(*) // 2) as systematic from r""",
 }
 

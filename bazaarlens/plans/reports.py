@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from bazaarlens.operators import extract, inference, knn, measure, normalize, serving
 from bazaarlens.plans import market, titles
 from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, table
+from bazaarlens.plans.stores import scratch
 from bazaarlens.sources import tables
 from bazaarlens.streaming import jobs
 
@@ -208,18 +207,13 @@ select category, count(*) filter (where changed) as changed, count(*) as n, coun
 # ---- streams
 
 
-def _scratch(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{at}/{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files; the bracket makes it a glob, which a single file has to be."""
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
 
 
 def _ran(df: DataFrame) -> DataFrame:
-    at = _scratch(df.sparkSession)
+    at = scratch(df.sparkSession)
     return jobs.run_to_table(df, f"{at}/out", f"{at}/checkpoint")
 
 

@@ -93,8 +93,8 @@ def _fields(*names: str):
 
 def extract_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = titled(spark, sf)
-    none = rows.select("listing_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(extract.FIELDS, ("int", "string", "boolean", "boolean", "boolean", "int", "string", "string", "string"), strict=True)])
-    return extract.report(none, extract.extracted(rows))
+    none = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in zip(extract.FIELDS, ("int", "string", "boolean", "boolean", "boolean", "int", "string", "string", "string"), strict=True)])
+    return extract.report(extract.extracted(rows).withColumn("before", none))
 
 
 def _sql(x) -> str:

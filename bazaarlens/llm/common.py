@@ -135,12 +135,10 @@ def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return dealt.join(copies, [*on, "__part"], how).drop("__part")
 
 
-def _stars(edges: DataFrame, tag: str) -> DataFrame:
+def _stars(edges: DataFrame, least: DataFrame, tag: str) -> DataFrame:
     """One round: each node's neighbours are hung on the smallest node among itself and them (edges are u > v)."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), f"{tag}-least")
-    hung = join_salted(both.filter("v > u"), least, ["u"], ["v"])
-    large = written(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), f"{tag}-large")
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    large = written(join_salted(up, least.select("u", "m", "n"), ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")), f"{tag}-large")
     down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{tag}-down")
     return join_salted(large, down, ["u"], ["v"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
@@ -149,16 +147,14 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components by alternating star operations: rows (node, root), root being the smallest node.
 
     ``edges`` has columns u and v of one type. Each step is a written table, so no lineage builds up and nothing is
-    collected but a few numbers; a node with many neighbours is dealt out over tasks. Nodes without edges do not appear.
+    collected but a few numbers; a node with many neighbours is dealt out over tasks. The rounds end when each node but
+    the roots has one neighbour, a smaller one: then all components are stars. Nodes without edges do not appear.
     """
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(edges, f"{tag}-edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    while seen[0]:
-        now = written(_stars(now, tag), f"{tag}-stars")
-        new = mark(now)
-        if new == seen:
-            break
-        seen = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"), F.count("*").alias("edges")), f"{tag}-least")
+        if not least.agg(F.count_if((F.col("m") < F.col("u")) & (F.col("edges") > 1))).first()[0]:
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        now = written(_stars(now, least, tag), f"{tag}-stars")

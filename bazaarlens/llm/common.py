@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     table = spark.read.schema(df.schema).parquet(at)
     _tables.add(table)
     return table

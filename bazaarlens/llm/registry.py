@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from bazaarlens.llm import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pii, prefix_trie, secrets, sentencepiece, substring_dedup, token_file, toxicity
+from bazaarlens.llm import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pii, prefix_trie, ranked_search, secrets, sentencepiece, substring_dedup, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_chat_format": chat.op11_chat_format,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op11_chat_format": chat.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op11_chat_format": chat.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_ranked_search": ranked_search.ORACLE}

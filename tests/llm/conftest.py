@@ -17,3 +17,8 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def sample(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def tables():
+    return "/root/testdata/sf0.001"

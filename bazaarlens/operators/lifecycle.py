@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import extract, normalize
@@ -22,9 +24,9 @@ def seconds(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp")) / 1e6
 
 
-def retire(listing: DataFrame, now: Column) -> DataFrame:
-    """Active listings first seen over 60 days and last seen over 30 days ago become stale; ``retired`` says which."""
-    old = (F.col("status") == "active") & (F.col("first_seen_at") < now - days(STALE_DAYS)) & (F.col("last_seen_at") < now - days(UNSEEN_DAYS))
+def retire(listing: DataFrame, now: Column, among: Column | None = None) -> DataFrame:
+    """Active listings (``among`` those) first seen over 60 days and last seen over 30 days ago become stale; ``retired`` says which."""
+    old = (F.lit(True) if among is None else among) & (F.col("status") == "active") & (F.col("first_seen_at") < now - days(STALE_DAYS)) & (F.col("last_seen_at") < now - days(UNSEEN_DAYS))
     return listing.withColumn("retired", old).withColumn("status", F.when(old, "stale").otherwise(F.col("status")))
 
 
@@ -61,38 +63,69 @@ def fetched(asked: DataFrame, bodies: DataFrame, now: Column) -> DataFrame:
     here = bodies.select(F.col("itemId").alias("source_id"), F.lit(True).alias("found"), normalize.has_ended(F.col("estimatedAvailabilities"), F.col("itemEndDate"), now).alias("over"))
     rows = normalize.enriched(asked, bodies.join(asked.select(F.col("source_id").alias("itemId")), "itemId", "left_semi"))
     rows = rows.join(here, "source_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("ended", ~F.col("found") | F.coalesce("over", F.lit(False))).drop("over")
-    read = extract.extracted(rows.drop(*extract.FIELDS, "variant_signals", "usable_as_comp"), aspects="aspects")
-    before = rows.select(F.col("listing_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in (*extract.FIELDS, "variant_signals") if c in rows.columns])
-    both = read.join(before, F.col("listing_id") == F.col("__id"))
     keep = [c for c in (*extract.FIELDS, "variant_signals") if c in rows.columns]
-    return both.withColumns({c: F.when(F.col("found"), F.col(c)).otherwise(F.col(f"__{c}")) for c in keep}).select(*rows.columns)
+    before = rows.withColumn("__before", F.struct(*keep)).drop(*extract.FIELDS, "variant_signals", "usable_as_comp")
+    read = extract.extracted(before, aspects="aspects")
+    return read.withColumns({c: F.when(F.col("found"), F.col(c)).otherwise(F.col(f"__before.{c}")) for c in keep}).select(*rows.columns)
+
+
+def retired_of(listing: DataFrame, now: Column, sources: tuple[str, ...] = COMP_SOURCES) -> DataFrame:
+    """``retire`` for the listings of the checked sources; the others stay as they are and are not retired."""
+    return retire(listing, now, F.col("source").isin(*sources))
+
+
+def market_metrics(now: Column, sources: tuple[str, ...] = COMP_SOURCES) -> list[Column]:
+    """What a pass counts over all listings, once those to retire are retired."""
+    open_ = (F.col("status") == "active") & F.col("source").isin(*sources)
+    return [F.count_if(open_ & proven_alive(now)).alias("skipped_proven_alive"), F.count_if("retired").alias("retired_stale"), F.count_if(open_ & ~proven_alive(now)).alias("open")]
+
+
+RUN_COUNTERS = ("checked", "marked_sold", "detected_relists", "enriched", "pending_confirmation", "recovered")
 
 
-def check_run(listing: DataFrame, bodies: DataFrame, now: Column, budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES) -> DataFrame:
+def run_metrics() -> list[Column]:
+    """What a pass counts over the listings that it checked."""
+    n, sold = F.count_if, F.col("change") == "confirmed"
+    return [
+        F.count(F.lit(1)).alias("checked"), n(sold).alias("marked_sold"), n(sold & F.col("relist_id").isNotNull()).alias("detected_relists"), n(F.col("found")).alias("enriched"),
+        n(F.col("change") == "strike").alias("pending_confirmation"), n(F.col("change") == "recovered").alias("recovered"),
+    ]
+
+
+def check_run(listing: DataFrame, bodies: DataFrame, now: Column, budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES, keep: Callable[[DataFrame], DataFrame] = lambda df: df, seen: Observation | None = None) -> DataFrame:
     """One pass: the ``budget`` listings that are due, checked while ``quota`` calls last, with found, ended, change and relist_id.
 
-    Confirmed ones are scored at once: sale_score, price_score and signals.
+    Listings that nothing has shown for long are retired before the choice is made, so no call is spent on them.
+    Confirmed ones are scored at once: sale_score, price_score and signals. ``keep`` writes a step's few rows, which
+    several joins read, as a table and returns that; ``seen`` gathers ``market_metrics`` while the choice is made.
     """
-    asked = due(listing, now, budget if quota is None else min(budget, quota), sources)
-    looked = fetched(asked, bodies, now)
+    market = retired_of(listing, now, sources)
+    counted = market.observe(seen, *market_metrics(now, sources)) if seen is not None else market
+    asked = keep(due(counted, now, budget if quota is None else min(budget, quota), sources).drop("retired"))
+    looked = keep(fetched(asked, bodies, now))
     rows = checked(looked.drop("found", "ended"), looked.select("listing_id", "ended"), now).join(looked.select("listing_id", "found", "ended"), "listing_id")
     sold = rows.filter("change = 'confirmed'")
-    return scored(rows.join(relists(sold, listing, now), "listing_id", "left"), now).withColumns({c: F.when(F.col("change") == "confirmed", F.col(c)) for c in ("sale_score", "price_score", "signals")})
+    return scored(rows.join(relists(sold, market.drop("retired"), now), "listing_id", "left"), now).withColumns({c: F.when(F.col("change") == "confirmed", F.col(c)) for c in ("sale_score", "price_score", "signals")})
 
 
-def run_counters(run: DataFrame, listing: DataFrame, now: Column, budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES) -> DataFrame:
-    """The nine counters of a pass in one row: what was checked and became of it, what was passed over or retired, and whether calls ran out."""
-    n = F.count_if
-    of_run = run.agg(
-        F.count("*").alias("checked"), n(F.col("change") == "confirmed").alias("marked_sold"), n((F.col("change") == "confirmed") & F.col("relist_id").isNotNull()).alias("detected_relists"), n("found").alias("enriched"),
-        n(F.col("change") == "strike").alias("pending_confirmation"), n(F.col("change") == "recovered").alias("recovered"),
-    )
-    retired = retire(listing, now).filter(F.col("source").isin(*sources))
-    alive = (F.col("status") == "active") & proven_alive(now)
-    left = (F.col("status") == "active") & ~proven_alive(now)
-    spent = (F.least(n(left), F.lit(budget)) > quota) if quota is not None else F.lit(False)
-    of_all = retired.agg(n(alive).alias("skipped_proven_alive"), n("retired").alias("retired_stale"), spent.alias("quota_exhausted"))
-    return of_run.crossJoin(of_all)  # one row each
+def counted_run(listing: DataFrame, bodies: DataFrame, now: Column, write: Callable[[DataFrame], DataFrame], budget: int = BUDGET, quota: int | None = None, sources: tuple[str, ...] = COMP_SOURCES) -> tuple[DataFrame, dict]:
+    """(the rows of a pass as ``write`` keeps them, its nine counters): both come from the same jobs, nothing is read again to count.
+
+    Without calls (``quota`` 0) nothing is checked, but listings are retired; without a budget nothing else is counted.
+    """
+    seen, ran = Observation("market"), Observation("run")
+    asks = min(budget, quota) if quota is not None else budget
+    rows = check_run(listing, bodies, now, budget, quota, sources, write, seen if asks > 0 else None)
+    if asks > 0:
+        done = write(rows.observe(ran, *run_metrics()))
+        of_run, of_all = dict(ran.get), dict(seen.get)
+    else:  # nothing is looked at: Spark would not run the rows' plan at all
+        done, of_run = write(rows), {name: 0 for name in RUN_COUNTERS}
+        of_all = retired_of(listing, now, sources).agg(*market_metrics(now, sources)).first().asDict()
+    open_ = of_all.pop("open")
+    if budget <= 0:
+        of_all["skipped_proven_alive"] = 0
+    return done, of_run | of_all | {"quota_exhausted": quota is not None and min(open_, budget) > quota}
 
 
 def two_strikes(events: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ def merged(column: str, policy: dict) -> Column:
     return old
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, now: Column, policy: dict = SEARCH_POLICY, key: tuple[str, ...] = ("source", "source_id"), revive: bool = True, compare_incoming: bool = False) -> DataFrame:
+def upsert(stored: DataFrame, incoming: DataFrame, now: Column, policy: dict = SEARCH_POLICY, key: tuple[str, ...] = ("source", "source_id"), revive: bool = True, compare_incoming: bool = False, first: Column | None = None) -> DataFrame:
     """The new snapshot: stored columns, plus created, updated, revived and price_changed.
 
     ``incoming`` has unique keys (see ``first_of_key``) and may lack stored columns. A sighting sets last_seen_at,
     clears missing_since and makes a stale row active; a likely sold row is never revived. A price observation is due
     when (price, shipping) differs between before and after the merge; with ``compare_incoming``, between before and
-    what came in, so that unknown shipping counts as a change.
+    what came in, so that unknown shipping counts as a change. ``first`` is when a new row was first seen, if not ``now``.
     """
     if policy.get("photos") and policy["photos"]["given"] not in stored.columns:
         policy = {k: v for k, v in policy.items() if k != "photos"}
@@ -57,7 +57,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: Column, policy: dict = S
     alive = seen & (F.col("s.status") == "stale") if revive else F.lit(False)
     special = {
         "last_seen_at": F.when(came, now).otherwise(F.col("s.last_seen_at")),
-        "first_seen_at": F.when(was, F.col("s.first_seen_at")).otherwise(now),
+        "first_seen_at": F.when(was, F.col("s.first_seen_at")).otherwise(now if first is None else first),
         "missing_since": F.when(seen & F.lit(revive), F.lit(None)).when(was, F.col("s.missing_since")),
         "status": F.when(~was, "active").when(alive, "active").otherwise(F.col("s.status")),
     }
@@ -74,6 +74,38 @@ def first_of_key(incoming: DataFrame, key: tuple[str, ...] = ("source", "source_
     return incoming.withColumn("__r", F.row_number().over(by)).filter("__r = 1").drop("__r")
 
 
+def folded(incoming: DataFrame, key: tuple[str, ...], order: tuple[str, ...], policy: dict = SEARCH_POLICY) -> DataFrame:
+    """One row for each key, which has the effect of all its rows upserted one after the other in ``order``.
+
+    Columns to overwrite have their last value, those to take if given their last known one, those to fill their first
+    known one, and all others what the first row says. A plain aggregation: rows of a key are combined before they are
+    shuffled. ``__first`` and ``__last`` are the least and greatest of the first order column. Ties in ``order`` are
+    settled by the values themselves.
+    """
+    at = F.struct(*order)
+    pairs = {c: p[0] for p in policy["pair"] for c in p}
+
+    def pick(c: str, newest: bool, known: bool) -> Column:
+        if "map<" in incoming.schema[c].dataType.simpleString():  # maps have no order of their own
+            by = F.when(F.col(c).isNotNull(), at) if known else at
+            return F.max_by(c, by) if newest else F.min_by(c, by)
+        row = F.struct(at, F.col(c))
+        row = F.when(F.col(c).isNotNull(), row) if known else row
+        return (F.max(row) if newest else F.min(row))[c]
+
+    def value(c: str) -> Column:
+        if c in policy["overwrite"] or c in policy["if_given"]:
+            return pick(c, True, c in policy["if_given"])
+        start = pick(c, False, c in policy["fill"])
+        if c in pairs:
+            given = F.max(F.when(F.col(pairs[c]).isNotNull(), F.struct(at, F.col(pairs[c]).alias("__led"), F.col(c).alias("__c"))))
+            return F.when(given.isNotNull(), given["__c"]).otherwise(start)
+        return start
+
+    rest = [c for c in incoming.columns if c not in (*key, *order)]
+    return incoming.groupBy(*key).agg(*[value(c).alias(c) for c in rest], F.min(order[0]).alias("__first"), F.max(order[0]).alias("__last"))
+
+
 def counters(snapshot: DataFrame) -> DataFrame:
     """One row: inserted, updated, upserted, reactivated, price_changes (of rows that were there)."""
     n = lambda c: F.count_if(c)

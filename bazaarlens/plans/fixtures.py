@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: One listing for each order. Moduli are coprime with 2 and 5, as the tables' row counts are products of those.
@@ -56,3 +59,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LISTING, **{t: table(spark, sf_dir, t) for t in ("orders", "part", "embeddings")})
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; a machine's own only where the session runs on one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{at}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a new shared folder, computed once."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import stats
 from bazaarlens.operators import knn, lifecycle, matching, merge, normalize, valuation
-from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, table
+from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, kept, listing, table
 
 _NOW = "timestamp '2024-07-01 00:00:00'"
 
@@ -236,22 +236,21 @@ def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("x.*", "stock").drop("estimatedAvailabilities").withColumnRenamed("stock", "estimatedAvailabilities")
 
 
-def _check_run(spark: SparkSession, sf: str, quota: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _to_check(spark: SparkSession, sf: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
-    rows = listing(spark, sf).withColumns({"title": F.concat(F.lit("Lot of "), F.col("listing_id") % 9 + 2, F.lit(" handhelds")), "condition": none("string"), "aspects": none("map<string,string>"), "category_id": none("string"), "sold_quantity": none("int"), "is_gtc": none("boolean"), "variant_signals": none("map<string,string>"), "item_end_date": F.col("item_end_date").cast("timestamp")})
-    return rows, lifecycle.check_run(rows, _bodies(spark, sf), now(), quota=quota)
+    return listing(spark, sf).withColumns({"title": F.concat(F.lit("Lot of "), F.col("listing_id") % 9 + 2, F.lit(" handhelds")), "condition": none("string"), "aspects": none("map<string,string>"), "category_id": none("string"), "sold_quantity": none("int"), "is_gtc": none("boolean"), "variant_signals": none("map<string,string>"), "item_end_date": F.col("item_end_date").cast("timestamp")})
 
 
 def check_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Due listings, looked up, filled in, read again, checked and scored."""
-    rows = _check_run(spark, sf)[1]
+    """Due listings, looked up, filled in, read again, checked and scored; those long unseen were retired before."""
+    rows = lifecycle.check_run(_to_check(spark, sf), _bodies(spark, sf), now(), keep=kept)
     return rows.select("listing_id", "found", "ended", "status", "missing_since", "change", "relist_id", "capacity_gb", "lot_size", "sold_quantity", F.col("sale_score").isNotNull().alias("is_scored"))
 
 
 def check_run_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls run out after 500 checks."""
-    rows, run = _check_run(spark, sf, 500)
-    return lifecycle.run_counters(run, rows, now(), quota=500)
+    """Calls run out after 500 checks. The counters are observed while the rows are written."""
+    counters = lifecycle.counted_run(_to_check(spark, sf), _bodies(spark, sf), now(), kept, quota=500)[1]
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long'}" for k, v in counters.items()))
 
 
 def relist_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,11 +288,13 @@ select listing_id, relist_id,
     + (case when shipping_cost is null or shipping_estimated then 1 else 0 end) as n_signals,
   case when is_auction then 'under' when accepts_best_offer then 'over' end as price_bias from d""",
 }
-_RUN = WITH_LISTING + f""", due as (select * from listing where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
+_OLD = f"source = 'ebay' and status = 'active' and first_seen_at < {_NOW} - interval 60 day and last_seen_at < {_NOW} - interval 30 day"
+_RUN = WITH_LISTING + f""", market as materialized (select * exclude (status), case when {_OLD} then 'stale' else status end as status, {_OLD} as retired from listing),
+due as materialized (select * from market where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
 b as (select *, listing_id % 5 > 0 as found, listing_id % 5 = 0 or listing_id % 6 = 0 or listing_id % 7 = 0 as ended from due),
 c as (select *, case when ended and missing_since is not null then 'confirmed' when ended then 'strike' when missing_since is not null then 'recovered' else 'alive' end as change from b),
 rel as (select listing_id, other as relist_id from (select s.listing_id, c.listing_id as other, row_number() over (partition by s.listing_id order by c.first_seen_at desc, c.listing_id) as r
-  from c s join listing c on s.source = c.source and s.image_hash = c.image_hash and s.listing_id <> c.listing_id where s.change = 'confirmed' and c.status <> 'likely_sold' and c.first_seen_at >= {_NOW} - interval 21 day) where r = 1),
+  from c s join market c on s.source = c.source and s.image_hash = c.image_hash and s.listing_id <> c.listing_id where s.change = 'confirmed' and c.status <> 'likely_sold' and c.first_seen_at >= {_NOW} - interval 21 day) where r = 1),
 run as (select c.*, relist_id from c left join rel using (listing_id))
 """
 SQL |= {
@@ -301,11 +302,11 @@ SQL |= {
   case when not found then capacity_gb when listing_id % 2 = 0 then 2 * (listing_id % 7 + 1) end as capacity_gb, case when found then listing_id % 9 + 2 else lot_size end as lot_size, case when found and listing_id % 6 = 0 then 4 end as sold_quantity, change = 'confirmed' as is_scored from run""",
     "check_run_counters": _RUN.replace("limit 700", "limit 500") + f"""select count(*) as checked, count(*) filter (where change = 'confirmed') as marked_sold, count(*) filter (where change = 'confirmed' and relist_id is not null) as detected_relists, count(*) filter (where found) as enriched,
   count(*) filter (where change = 'strike') as pending_confirmation, count(*) filter (where change = 'recovered') as recovered,
-  (select count(*) from listing where source = 'ebay' and status = 'active' and last_seen_at >= {_NOW} - interval 3 hour and not (first_seen_at < {_NOW} - interval 60 day and last_seen_at < {_NOW} - interval 30 day)) as skipped_proven_alive,
-  (select count(*) from listing where source = 'ebay' and status = 'active' and first_seen_at < {_NOW} - interval 60 day and last_seen_at < {_NOW} - interval 30 day) as retired_stale,
-  (select count(*) from listing where source = 'ebay' and status = 'active' and last_seen_at < {_NOW} - interval 3 hour) > 500 as quota_exhausted from run""",
+  (select count(*) from market where source = 'ebay' and status = 'active' and last_seen_at >= {_NOW} - interval 3 hour) as skipped_proven_alive,
+  (select count(*) from market where retired) as retired_stale,
+  (select count(*) from market where source = 'ebay' and status = 'active' and last_seen_at < {_NOW} - interval 3 hour) > 500 as quota_exhausted from run""",
 }
-_CHECKED = WITH_LISTING + f""", due as (select listing_id, listing_id % 3 = 0 as ended from listing where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
+_CHECKED = WITH_LISTING.replace("listing as (", "listing as materialized (", 1) + f""", due as materialized (select listing_id, listing_id % 3 = 0 as ended from listing where status = 'active' and source = 'ebay' and last_seen_at < {_NOW} - interval 3 hour order by missing_since is null, last_checked_at nulls first, last_seen_at, listing_id limit 700),
 c as (select l.*, case when l.status <> 'active' or d.ended is null then null when d.ended and missing_since is not null then 'confirmed' when d.ended then 'strike' when missing_since is not null then 'recovered' else 'alive' end as change from listing l left join due d on d.listing_id = l.listing_id)
 """
 SQL |= {

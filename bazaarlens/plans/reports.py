@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import extract, inference, knn, measure, normalize, serving
 from bazaarlens.plans import market, titles
-from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, table
-from bazaarlens.plans.stores import scratch
+from bazaarlens.plans.fixtures import COMPARABLE, WITH_LISTING, listing, scratch, table
 from bazaarlens.sources import tables
-from bazaarlens.streaming import jobs
 
 
 
@@ -204,38 +202,4 @@ select category, count(*) filter (where changed) as changed, count(*) as n, coun
     "embed_pending": "select count(*) as attempted, count(*) filter (where o_orderkey % 10 <> 0) as embedded, count(*) filter (where o_orderkey % 10 = 0) as failed from orders where o_orderkey % 4 <> 0",
 }
 
-# ---- streams
-
-
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files; the bracket makes it a glob, which a single file has to be."""
-    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
-
-
-def _ran(df: DataFrame) -> DataFrame:
-    at = scratch(df.sparkSession)
-    return jobs.run_to_table(df, f"{at}/out", f"{at}/checkpoint")
-
-
-def stream_two_strikes(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).select(F.col("user_id").alias("listing_id"), F.col("ts").alias("at"), F.col("event_id").alias("tie"), F.col("event_type").isin("error", "purchase").alias("ended"))
-    return _ran(jobs.two_strikes(e))
-
-
-def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).select(F.col("user_id").alias("listing_id"), F.floor(F.col("value") / 50 + 0.5).cast("double").alias("price"), F.col("ts").alias("observed_at"), F.col("event_id").alias("tie"))
-    return _ran(jobs.changes_only(e))
-
-
-def stream_announce_once(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).filter("event_type = 'purchase'").select(F.col("user_id").alias("listing_id"))
-    return _ran(jobs.announce_once(e))
-
-
-SQL |= {
-    "stream_two_strikes": market.SQL["two_strike"].replace("select listing_id, tie, ended, case", "select listing_id, tie, case"),
-    "stream_changes": market.SQL["price_changes"],
-    "stream_announce_once": "select distinct user_id as listing_id from events where event_type = 'purchase'",
-}
-
 QUERIES = {name: globals()[name] for name in SQL}

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import extract, merge, normalize
-from bazaarlens.plans.fixtures import WITH_LISTING, listing, table
+from bazaarlens.plans.fixtures import WITH_LISTING, listing, scratch, table
 from bazaarlens.plans.market import now
 from bazaarlens.sources import tables
 
 _NOW = "timestamp '2024-07-01 00:00:00'"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; a machine's own only where the session runs on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{at}/{uuid.uuid4().hex}"
-
-
 def search_page_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Search pages, one a customer with an item for each order, written as JSON and read as a source."""
     k = F.col("o_orderkey")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bazaarlens.operators import inference
 
@@ -18,57 +18,124 @@ def need_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class TwoStrikes(StatefulProcessor):
-    """A failed check is a strike, a second in a row confirms; what comes after a confirmation is terminal."""
+def _ms(at) -> int:
+    return int(pd.Timestamp(at).timestamp() * 1000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("strike", "status string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "tie"])
-        status = self.state.get()[0] if self.state.exists() else "alive"
-        out = []
-        for ended in frame["ended"]:
-            if status in ("confirmed", "terminal"):
-                change = "terminal"
-            elif ended:
-                change = "confirmed" if status == "strike" else "strike"
-            else:
-                change = "recovered" if status == "strike" else "alive"
-            out.append(change)
-            status = {"recovered": "alive"}.get(change, change)
-        self.state.update((status,))
-        yield pd.DataFrame({"listing_id": key[0], "tie": frame["tie"].values, "change": out})
-
-
-def two_strikes(checks: DataFrame) -> DataFrame:
-    """Checks (listing_id, at, tie, ended) to (listing_id, tie, change), in the order of at within each batch."""
-    need_rocksdb(checks.sparkSession)
-    return checks.groupBy("listing_id").transformWithStateInPandas(TwoStrikes(), "listing_id long, tie long, change string", "append", "none")
-
-
-class ChangesOnly(StatefulProcessor):
-    """Passes a price on only if it differs from the listing's last one; unknown is a value of its own."""
+class InOrder(StatefulProcessor):
+    """Plays a key's rows in the order of their event time, though they come in any.
+
+    Rows wait in state until the watermark has passed their time, so none before them can come any more; a timer for the
+    earliest one waiting calls them up. Rows later than the watermark's delay never get here. ``VALUES`` are the columns
+    beside at and tie, ``OUT`` those that ``play`` adds to (key, tie).
+    """
+
+    VALUES, STATE, OUT = "", "", ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "price double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at timestamp, tie long, {self.VALUES}")
+        self.timer = handle.getValueState("timer", "due long")
+        self.state = handle.getValueState("state", self.STATE)
+
+    def play(self, before: tuple | None, values: tuple, at: object) -> tuple[tuple, tuple | None]:
+        """(state after a row, the row's output or None)."""
+        raise NotImplementedError
+
+    def due(self, state: tuple | None) -> int | None:
+        """When a key that stays quiet is to be looked at again, in event time."""
+
+    def quiet(self, key, state: tuple) -> tuple[tuple | None, tuple]:
+        """(state, output) once ``due`` has passed without a further row."""
+        raise NotImplementedError
+
+    def _wake(self, due: int) -> None:
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or due < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["observed_at", "tie"])
-        seen = self.state.exists()
-        last = self.state.get()[0] if seen else None
-        keep = []
-        for price in frame["price"]:
-            price = None if pd.isna(price) else float(price)
-            keep.append(not seen or price != last)
-            seen, last = True, price
-        self.state.update((last,))
-        yield pd.DataFrame({"listing_id": key[0], "tie": frame["tie"].values, "price": frame["price"].values})[keep]
+        names = ["at", "tie", *(v.split()[0] for v in self.VALUES.split(", "))]
+        held = [tuple(None if pd.isna(v) else v for v in r) for frame in rows for r in frame[names].itertuples(index=False)]
+        self.waiting.appendList(held)
+        self._wake(min(_ms(r[0]) for r in held) + 1)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        ready = sorted((r for r in held if _ms(r[0]) < passed), key=lambda r: (pd.Timestamp(r[0]), r[1]))
+        rest = [r for r in held if _ms(r[0]) >= passed]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(_ms(r[0]) for r in rest) + 1)
+        elif held:
+            self.waiting.clear()
+        state, out = self.state.get() if self.state.exists() else None, []
+        for at, tie, *values in ready:
+            state, made = self.play(state, tuple(values), at)
+            if made is not None:
+                out.append((key[0], tie, *made))
+        due = self.due(state)
+        if due is not None and due < passed:
+            state, made = self.quiet(key, state)
+            out.append((key[0], -1, *made))
+        elif due is not None:
+            self._wake(due + 1)
+        if state is not None:
+            self.state.update(state)
+        elif self.state.exists():
+            self.state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["listing_id", "tie", *(v.split()[0] for v in self.OUT.split(", "))])
+
+
+class TwoStrikes(InOrder):
+    """A failed check is a strike, a second in a row confirms; what comes after a confirmation is terminal."""
+
+    VALUES, STATE, OUT = "ended boolean", "status string", "change string"
+
+    def play(self, before: tuple | None, values: tuple, at: object) -> tuple[tuple, tuple | None]:
+        status = before[0] if before else "alive"
+        if status in ("confirmed", "terminal"):
+            change = "terminal"
+        elif values[0]:
+            change = "confirmed" if status == "strike" else "strike"
+        else:
+            change = "recovered" if status == "strike" else "alive"
+        return ({"recovered": "alive"}.get(change, change),), (change,)
 
 
-def changes_only(observations: DataFrame) -> DataFrame:
-    need_rocksdb(observations.sparkSession)
-    return observations.groupBy("listing_id").transformWithStateInPandas(ChangesOnly(), "listing_id long, tie long, price double", "append", "none")
+class ChangesOnly(InOrder):
+    """Passes (price, shipping) on only if it differs from the listing's last; unknown shipping leaves the known one as it is."""
+
+    VALUES, STATE, OUT = "price double, shipping_cost double", "price double, shipping_cost double", "price double, shipping_cost double"
+
+    def play(self, before: tuple | None, values: tuple, at: object) -> tuple[tuple, tuple | None]:
+        price, ship = (None if v is None else float(v) for v in values)
+        now = (price, ship if ship is not None or before is None else before[1])
+        return now, now if before is None or tuple(before) != now else None
+
+
+def in_order(rows: DataFrame, processor: InOrder, late: str) -> DataFrame:
+    """``rows`` (listing_id, at, tie and the processor's values) played by listing; ``late`` is how far behind a row may come."""
+    need_rocksdb(rows.sparkSession)
+    return rows.withWatermark("at", late).groupBy("listing_id").transformWithStateInPandas(processor, f"listing_id long, tie long, {processor.OUT}", "append", "eventTime")
+
+
+def two_strikes(checks: DataFrame, late: str = "1 day") -> DataFrame:
+    """Checks (listing_id, at, tie, ended) to (listing_id, tie, change), in the order of at whatever the order they come in."""
+    return in_order(checks, TwoStrikes(), late)
+
+
+def changes_only(observations: DataFrame, late: str = "1 day") -> DataFrame:
+    """Observations (listing_id, at, tie, price, shipping_cost) to those that change price or known shipping."""
+    return in_order(observations, ChangesOnly(), late)
 
 
 def announce_once(deals: DataFrame) -> DataFrame:
@@ -76,39 +143,29 @@ def announce_once(deals: DataFrame) -> DataFrame:
     return deals.dropDuplicates(["listing_id"])
 
 
-class Unseen(StatefulProcessor):
-    """Reports a listing once its last sighting is ``after_ms`` of event time ago; a new sighting starts the clock again."""
+class Unseen(InOrder):
+    """Reports a listing that was not seen for ``after_ms`` of event time: at its next sighting, or when that time has passed without one."""
+
+    VALUES, STATE, OUT = "seen boolean", "last timestamp", "unseen_since timestamp"
 
     def __init__(self, after_ms: int):
         self.after_ms = after_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("due", "due long")
+    def play(self, before: tuple | None, values: tuple, at: object) -> tuple[tuple, tuple | None]:
+        gap = before is not None and pd.Timestamp(at) - pd.Timestamp(before[0]) > pd.Timedelta(milliseconds=self.after_ms)
+        return (at,), (pd.Timestamp(before[0]),) if gap else None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(frame["at"].max().timestamp() * 1000) for frame in rows)
-        due = latest + self.after_ms
-        if self.state.exists():
-            before = self.state.get()[0]
-            if due <= before:
-                return
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(due)
-        self.state.update((due,))
-        return
-        yield
+    def due(self, state: tuple | None) -> int | None:
+        return None if state is None else _ms(state[0]) + self.after_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"listing_id": [key[0]], "unseen_since": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs() - self.after_ms, unit="ms")]})
+    def quiet(self, key, state: tuple) -> tuple[tuple | None, tuple]:
+        return None, (pd.Timestamp(state[0]),)
 
 
 def unseen(sightings: DataFrame, after_ms: int, late: str = "1 hour") -> DataFrame:
-    """Listings (listing_id, unseen_since) that were not seen for ``after_ms``; the state of each goes when it is reported."""
-    need_rocksdb(sightings.sparkSession)
-    rows = sightings.withWatermark("at", late)
-    return rows.groupBy("listing_id").transformWithStateInPandas(Unseen(after_ms), "listing_id long, unseen_since timestamp", "append", "eventTime")
+    """Times (listing_id, unseen_since) from which a listing (listing_id, at) was not seen for ``after_ms``; a listing's state goes when it stays unseen."""
+    rows = sightings.select("listing_id", "at", F.lit(0).cast("long").alias("tie"), F.lit(True).alias("seen"))
+    return in_order(rows, Unseen(after_ms), late).drop("tie")
 
 
 def embed_stream(listings: DataFrame, model: Callable[[list], list], column: str = "images") -> DataFrame:
@@ -121,11 +178,6 @@ def activity(events: DataFrame, late: str = "1 day", window: str = "1 day") -> D
     return events.withWatermark("at", late).groupBy(F.window("at", window).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("listing_id").alias("listings"))
 
 
-def upsert_stream(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of new pages through ``apply`` (a batch upsert that writes a new snapshot version), until none are left."""
-    return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """A stream run over all that is there, into a Parquet folder, and that folder read."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

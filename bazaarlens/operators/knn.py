@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bazaarlens.functions.stats import cosine, similarity_rounded
 
 #: Rows of either side in one product of matrices.
 CHUNK = 2048
+#: Vectors of a block from which distances are taken, and what distances and similarities may be off by.
+PIVOTS, SLACK = 8, 1e-6
 #: Filters that a candidate also passes with an unknown value, where the query states one.
 TOLERANT = ("completeness", "capacity_gb", "spec_generation", "form_factor")
 #: Filters that a candidate passes only with the query's value, where the query states one: the blocking keys.
@@ -46,6 +50,19 @@ def _block(strict: tuple[str, ...]):
     return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit(f"{c}?")) for c in strict])
 
 
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest finite values of each row, of equal ones those with the least ids: only what reaches a row's k-th value is sorted."""
+    if sim.shape[1] > k:
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+    else:
+        row, col = np.nonzero(np.isfinite(sim))
+    order = np.lexsort((ids[col], -sim[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _top(k: int, tolerant: tuple[str, ...]):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         side = np.asarray(t.column("query"))
@@ -56,45 +73,133 @@ def _top(k: int, tolerant: tuple[str, ...]):
             return none
         flat = t.column("embedding").combine_chunks()
         v = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
-        v /= np.sqrt((v * v).sum(1))[:, None]
+        v = v / np.sqrt((v * v).sum(1))[:, None]
         sim = np.floor(v[q] @ v[c].T * 1e9 + 0.5) / 1e9
         ok = ids[q][:, None] != ids[c]
         for f in tolerant:
             code = t.column(f).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             ok &= (code[q][:, None] == -1) | (code[c] == -1) | (code[q][:, None] == code[c])
         sim[~ok] = -np.inf
-        n = min(k, len(c))
-        order = np.lexsort((np.broadcast_to(ids[c], sim.shape), -sim), axis=1)[:, :n]
-        best = np.take_along_axis(sim, order, 1)
-        row, col = np.nonzero(np.isfinite(best))
-        return pa.table({"query_id": ids[q][row], "listing_id": ids[c][order[row, col]], "similarity": best[row, col]})
+        row, col = _best(sim, ids[c], k)
+        return pa.table({"query_id": ids[q][row], "listing_id": ids[c][col], "similarity": sim[row, col]})
+
+    return run
+
+
+def _distances(n: int):
+    """Arrow batches with pivots (n unit vectors a row) to distances to them, and the nearest pivot's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [x for x in b.schema.names if x != "pivots"]
+            if not len(b):
+                continue
+            v = np.asarray(b["embedding"].flatten(), np.float64).reshape(len(b), -1)
+            v = v / np.sqrt((v * v).sum(1))[:, None]
+            p = np.asarray(b["pivots"].flatten().flatten(), np.float64).reshape(len(b), n, -1)
+            p = p / np.sqrt((p * p).sum(2))[:, :, None]
+            d = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,npd->np", v, p), 0))
+            yield pa.RecordBatch.from_arrays([*(b[x] for x in names), pa.array(d.argmin(1).astype(np.int32)), *(pa.array(d[:, i]) for i in range(n))], names=[*names, "cell", *(f"d{i}" for i in range(n))])
 
     return run
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT, chunk: int = CHUNK) -> DataFrame:
+def _dealt(rows: DataFrame, pivots: DataFrame, n: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the chunk they are in: cell and part, each chunk's nearest and farthest distance from each pivot)."""
+    schema = StructType([*rows.schema, *StructType.fromDDL("cell int, " + ", ".join(f"d{i} double" for i in range(n)))])
+    far = keep(rows.join(pivots, "block").select(*rows.columns, "pivots").mapInArrow(_distances(n), schema))
+    parts = far.groupBy("block", "cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    dealt = far.join(parts, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("listing_id"), "parts").cast("int")).drop("parts")
+    ranges = dealt.groupBy("block", "cell", "part").agg(*[f(f"d{i}").alias(f"{name}{i}") for i in range(n) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+    return dealt.select(*rows.columns, "cell", "part"), keep(ranges)
+
+
+_PAIR = ["block", "qcell", "qpart", "ccell", "cpart"]
+
+
+def _compared(qs: DataFrame, cs: DataFrame, cols: list[str], k: int, tolerant: tuple[str, ...]) -> DataFrame:
+    """Each pair of chunks (``_PAIR``) as one product of matrices, with its own k best of each query."""
+    both = qs.select(*_PAIR, F.lit(True).alias("query"), *cols).unionByName(cs.select(*_PAIR, F.lit(False).alias("query"), *cols))
+    return both.groupBy(*_PAIR).applyInArrow(_top(k, tolerant), "query_id long, listing_id long, similarity double")
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "listing_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _pruned(qs: DataFrame, cs: DataFrame, cols: list[str], k: int, tolerant: tuple[str, ...], chunk: int, n: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(neighbours within blocks of many rows, all pairs of chunks with ``compared``).
+
+    Rows lie in chunks with those nearest to the same of n pivots. A query is first compared with its own pivot's
+    chunks, which gives each of its chunk's queries a k-th similarity. By the triangle inequality two chunks are as far
+    apart as their distances from any pivot differ; a pair that this puts below all those similarities is skipped.
+    """
+    few = cs.withColumn("__h", F.xxhash64("listing_id")).withColumn("__r", F.row_number().over(Window.partitionBy("block").orderBy("__h", "listing_id"))).filter(F.col("__r") <= n)
+    pivots = few.groupBy("block").agg(F.collect_list("embedding").alias("p")).select("block", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("p", i % F.size("p"))).alias("pivots"))
+    pivots = keep(pivots)
+    (q, qr), (c, cr) = (_dealt(rows, pivots, n, chunk, keep) for rows in (qs, cs))
+    side = lambda r, x: r.select("block", F.col("cell").alias(f"{x}cell"), F.col("part").alias(f"{x}part"), *[F.col(f"{v}{i}").alias(f"{x}{v}{i}") for i in range(n) for v in ("lo", "hi")])
+    apart = F.greatest(F.lit(0.0), *[F.greatest(F.col(f"qlo{i}") - F.col(f"chi{i}"), F.col(f"clo{i}") - F.col(f"qhi{i}")) for i in range(n)])
+    apart = F.greatest(F.lit(0.0), apart - SLACK)
+    pairs = side(qr, "q").join(side(cr, "c"), "block").select(*_PAIR, (1 - apart * apart / 2).alias("most"), (F.col("qcell") == F.col("ccell")).alias("home"))
+    q = q.withColumnsRenamed({"cell": "qcell", "part": "qpart"})
+    c = c.withColumnsRenamed({"cell": "ccell", "part": "cpart"})
+    run = lambda own: _compared(q.join(own, ["block", "qcell", "qpart"]), c.join(own, ["block", "ccell", "cpart"]), cols, k, tolerant)
+    first = keep(_ranked(run(pairs.filter("home").select(*_PAIR)), k).drop("rank"))
+    reached = first.groupBy(F.col("query_id").alias("listing_id")).agg(F.when(F.count("*") == k, F.min("similarity")).alias("kth"))
+    least = q.join(reached, "listing_id", "left").groupBy("block", "qcell", "qpart").agg(F.min(F.coalesce("kth", F.lit(-2.0))).alias("least"))
+    told = keep(pairs.join(least, ["block", "qcell", "qpart"]).select(*_PAIR, (F.col("home") | (F.col("most") >= F.col("least") - SLACK)).alias("compared"), "home"))
+    rest = run(told.filter("compared and not home").select(*_PAIR))
+    return first.unionByName(rest), told
+
+
+def _blocks(queries: DataFrame, candidates: DataFrame, strict: tuple[str, ...], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the block of the strict keys that a query states: a candidate is in the block of each set of its keys."""
+    patterns = [tuple(c for i, c in enumerate(strict) if stated >> i & 1) for stated in range(1 << len(strict))]
+    named = [(on, F.concat(F.lit("/".join(on) + ":"), _block(on) if on else F.lit(""))) for on in patterns]
+    stated = lambda on: reduce(lambda a, c: a & (F.col(c).isNotNull() if c in on else F.col(c).isNull()), strict, F.lit(True))
+    known = lambda on: reduce(lambda a, c: a & F.col(c).isNotNull(), on, F.lit(True))
+    q = embedded(queries).select(F.coalesce(*[F.when(stated(on), tag) for on, tag in named]).alias("block"), *cols)
+    return q, embedded(candidates).select(F.explode(F.array_compact(F.array(*[F.when(known(on), tag) for on, tag in named]))).alias("block"), *cols)
+
+
+def knn_with_pairs(queries: DataFrame, candidates: DataFrame, keep: Callable[[DataFrame], DataFrame], k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT, chunk: int = CHUNK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame | None]:
+    """``knn`` with pruning, and the pairs of chunks of large blocks with whether they were ``compared`` (None without such blocks)."""
+    cols = ["listing_id", "embedding", *tolerant]
+    all_q, all_c = _blocks(queries, candidates, strict, cols)
+    n = all_c.groupBy("block").agg(F.count("*").alias("nc")).join(all_q.groupBy("block").agg(F.count("*").alias("nq")), "block")
+    sizes = keep(n.select("block", (F.greatest("nc", "nq") > chunk).alias("large")))
+    one = [F.lit(0).alias(x) for x in _PAIR[1:]]
+    small, large = sizes.filter("not large").select("block"), sizes.filter("large").select("block")
+    near, pairs = _compared(all_q.join(small, "block").select("*", *one), all_c.join(small, "block").select("*", *one), cols, k, tolerant), None
+    if large.limit(1).count():
+        more, pairs = _pruned(all_q.join(large, "block"), all_c.join(large, "block"), cols, k, tolerant, chunk, pivots, keep)
+        near, pairs = near.unionByName(more), pairs.drop("home")
+    return _ranked(near, k), pairs
+
+
+def knn(queries: DataFrame, candidates: DataFrame, k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT, chunk: int = CHUNK, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows (query_id, listing_id, similarity, rank): the k candidates most like each query, nearest first, then by id.
 
     Both sides have listing_id and embedding; queries without a vector have no rows. Each query is matched inside the
     block of the strict keys that it states: the queries are sorted by which keys those are, so every join is an
     equality. A block of many rows is dealt out over chunks of both sides, each pair of chunks one product of
-    matrices of bounded size with its own k best; the k best of those are the answer, as top-k of a union is.
+    matrices of bounded size with its own k best; the k best of those are the answer, as top-k of a union is. With
+    ``keep``, which writes an intermediate result as a table and returns that, chunks hold rows that lie near each
+    other, and pairs of chunks that cannot hold one of the k best are skipped (``_pruned``); the rows are the same.
     """
+    if keep is not None:
+        return knn_with_pairs(queries, candidates, keep, k, strict, tolerant, chunk)[0]
     cols = ["listing_id", "embedding", *tolerant]
-    patterns = [tuple(c for i, c in enumerate(strict) if stated >> i & 1) for stated in range(1 << len(strict))]
-    named = [(on, F.concat(F.lit("/".join(on) + ":"), _block(on) if on else F.lit(""))) for on in patterns]
-    stated = lambda on: reduce(lambda a, c: a & (F.col(c).isNotNull() if c in on else F.col(c).isNull()), strict, F.lit(True))
-    known = lambda on: reduce(lambda a, c: a & F.col(c).isNotNull(), on, F.lit(True))
-    all_q = embedded(queries).select(F.coalesce(*[F.when(stated(on), tag) for on, tag in named]).alias("block"), *cols)
+    all_q, all_c = _blocks(queries, candidates, strict, cols)
     nq = all_q.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nq"))
-    all_c = embedded(candidates).select(F.explode(F.array_compact(F.array(*[F.when(known(on), tag) for on, tag in named]))).alias("block"), *cols)
     blocks = all_c.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nc")).join(nq, "block")
     spread = lambda df, own, other: df.join(blocks, "block").select("block", *cols, F.pmod(F.xxhash64("listing_id"), own).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
-    qs = spread(all_q, "nq", "nc").select("block", F.col("mine").alias("i"), F.col("theirs").alias("j"), F.lit(True).alias("query"), *cols)
-    cs = spread(all_c, "nc", "nq").select("block", F.col("theirs").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("query"), *cols)
-    near = qs.unionByName(cs).groupBy("block", "i", "j").applyInArrow(_top(k, tolerant), "query_id long, listing_id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "listing_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    zero = [F.lit(0).alias("qcell"), F.lit(0).alias("ccell")]
+    qs = spread(all_q, "nq", "nc").withColumnsRenamed({"mine": "qpart", "theirs": "cpart"}).select("*", *zero)
+    cs = spread(all_c, "nc", "nq").withColumnsRenamed({"mine": "cpart", "theirs": "qpart"}).select("*", *zero)
+    return _ranked(_compared(qs, cs, cols, k, tolerant), k)
 
 
 def knn_expressions(queries: DataFrame, candidates: DataFrame, k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT) -> DataFrame:

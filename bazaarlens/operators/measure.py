@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.stats import nearest_rank, upper_medians
+from bazaarlens.functions.stats import nearest_rank, ranked, upper_medians
 
 MIN_GROUP, MIN_TRIMMED, WORST, THIN_POOL = 5, 5, 5, 20
 
 
+QUANTILES = {"p10": 0.1, "p90": 0.9}
+
+
+def _spreads(q: DataFrame, keys: list[str]) -> DataFrame:
+    return q.select(*keys, "n", "median", F.when(F.col("n") >= 2, F.col("hi") / F.col("lo")).alias("spread"), F.when((F.col("n") >= MIN_TRIMMED) & (F.col("p10") > 0), F.col("p90") / F.col("p10")).alias("trimmed"))
+
+
 def group_spreads(rows: DataFrame, keys: list[str], value: str = "price") -> DataFrame:
     """By group of positive values: n, median, max/min (from two rows on) and p90/p10 (from five rows on)."""
-    q = nearest_rank(rows.filter(F.col(value) > 0), keys, value, {"p10": 0.1, "p90": 0.9})
-    return q.select(*keys, "n", "median", F.when(F.col("n") >= 2, F.col("hi") / F.col("lo")).alias("spread"), F.when((F.col("n") >= MIN_TRIMMED) & (F.col("p10") > 0), F.col("p90") / F.col("p10")).alias("trimmed"))
+    return _spreads(nearest_rank(rows.filter(F.col(value) > 0), keys, value, QUANTILES), keys)
+
+
+def reported(groups: DataFrame, by: str, min_group: int = MIN_GROUP) -> DataFrame:
+    """A row for each ``by`` over its groups (n, spread, trimmed) of at least ``min_group``: their number and rows, and the median and worst of both spreads.
+
+    The medians are those of counted spreads, so they do not need all groups in one task's memory.
+    """
+    g = groups.filter(F.col("n") >= min_group)
+    each = [g.groupBy(by, F.lit(which).alias("which"), F.col(which).alias("value")).agg(F.count("*").alias("times"), F.sum("n").alias("rows")) for which in ("spread", "trimmed")]
+    counted = each[0].unionByName(each[1])
+    sizes = each[0].groupBy(by).agg(F.sum("times").alias("groups"), F.sum("rows").alias("rows"))
+    of = ranked(counted, [by, "which"], "value", "times", {}).groupBy(by).agg(*[F.max(F.when(F.col("which") == which, F.col(c))).alias(f"{name}_{which}") for which in ("spread", "trimmed") for c, name in (("median", "median"), ("hi", "worst"))])
+    return sizes.join(of, by, "left")
 
 
 def spread_report(rows: DataFrame, keys: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """One row over groups of at least ``min_group``: their number and rows, and the median and worst of both spreads."""
-    g = group_spreads(rows, keys).filter(F.col("n") >= min_group)
-    return g.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.median("spread").alias("median_spread"), F.max("spread").alias("worst_spread"), F.median("trimmed").alias("median_trimmed"), F.max("trimmed").alias("worst_trimmed"))
+    return reported(group_spreads(rows, keys).withColumn("__all", F.lit(1)), "__all", min_group).drop("__all")
 
 
 def worst_groups(rows: DataFrame, keys: list[str], min_group: int = MIN_GROUP, n: int = WORST) -> DataFrame:
@@ -29,13 +47,26 @@ def worst_groups(rows: DataFrame, keys: list[str], min_group: int = MIN_GROUP, n
 GROUPINGS = {"category": ["category"], "memory": ["capacity_gb", "spec_generation", "form_factor"], "model_key": ["model_key"], "category_model": ["category", "model_key"]}
 
 
-def four_groupings(rows: DataFrame) -> DataFrame:
-    """The report for four ways to group; rows that lack a key are left out of that grouping."""
-    parts = [spread_report(rows.dropna(subset=keys), keys).select(F.lit(name).alias("grouping"), "*") for name, keys in GROUPINGS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def four_groupings(rows: DataFrame, value: str = "price") -> DataFrame:
+    """The report for four ways to group, from one pass over the rows; rows that lack a key are left out of that grouping.
+
+    Values are counted once under all groupings (grouping sets), so what is shuffled is counts of distinct values.
+    """
+    keys = list(dict.fromkeys(k for by in GROUPINGS.values() for k in by))
+    sets = [[F.col(k) for k in (*by, value)] for by in GROUPINGS.values()]
+    mask = {sum(1 << len(keys) - i for i, k in enumerate(keys) if k not in by): (name, by) for name, by in GROUPINGS.items()}
+    counted = rows.filter(F.col(value) > 0).groupingSets(sets, *keys, value).agg(F.count("*").alias("__n"), F.grouping_id(*keys, value).alias("__set"))
+    name, known = F.lit(None).cast("string"), F.lit(False)
+    for bits, (grouping, by) in mask.items():
+        here = F.col("__set") == bits
+        name = F.when(here, grouping).otherwise(name)
+        stated = F.lit(True)
+        for k in by:
+            stated = stated & F.col(k).isNotNull()
+        known = known | here & stated
+    own = ["grouping", *keys]
+    groups = _spreads(ranked(counted.filter(known).withColumn("grouping", name), own, value, "__n", QUANTILES), own)
+    return reported(groups, "grouping")
 
 
 def bucket_spread(rows: DataFrame, bucket: str, value: str = "price") -> DataFrame:

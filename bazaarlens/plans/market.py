@@ -23,19 +23,29 @@ def now():
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest vectors with the same label, for every vector whose id is divisible by 50."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("listing_id"), "embedding", F.col("label").alias("category"))
-    return knn.knn(v.filter("listing_id % 50 = 0"), v, 10, ("category",), ())
+    return knn.knn(v.filter("listing_id % 50 = 0"), v, 10, ("category",), (), keep=kept)
 
 
 def knn_filters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing(spark, sf)
+    rows = kept(listing(spark, sf))
     pool = knn.comparable(rows).filter("source = 'ebay'")
-    return knn.knn(rows.filter("listing_id % 50 = 0"), pool, 10)
+    return knn.knn(rows.filter("listing_id % 50 = 0"), pool, 10, keep=kept)
 
 
 def knn_stored(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of stored listings without spec filters, whatever their category."""
-    rows = listing(spark, sf)
-    return knn.knn(rows.filter("listing_id % 50 = 0"), knn.comparable(rows).filter("source = 'ebay'"), 10, (), ())
+    return _stored(spark, sf)[0]
+
+
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = kept(listing(spark, sf))
+    return knn.knn_with_pairs(rows.filter("listing_id % 50 = 0"), knn.comparable(rows).filter("source = 'ebay'"), kept, 10, (), ())
+
+
+def knn_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the pairs of chunks of ``knn_stored``: how many there are, how many were compared, and which share was skipped."""
+    _, pairs = _stored(spark, sf)
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if("compared").alias("compared"), (1 - F.count_if("compared") / F.count("*")).alias("skipped_share"))
 
 
 def deal_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,9 +58,9 @@ def sold_comps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _valued(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing(spark, sf)
+    rows = kept(listing(spark, sf))  # read for the keys, the candidates, the pool and the facts
     asked = valuation.candidates(rows)
-    return valuation.value(asked, valuation.sold_comps(asked, rows))
+    return valuation.value(asked, valuation.sold_comps(asked, rows, keep=kept))
 
 
 def valuations(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,14 +167,14 @@ def epid_peers_price_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing(spark, sf)
-    return matching.match(rows.filter("source <> 'ebay' and listing_id % 50 = 0"), rows)
+    rows = kept(listing(spark, sf))
+    return matching.match(rows.filter("source <> 'ebay' and listing_id % 50 = 0"), rows, keep=kept)
 
 
 def match_prices(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing(spark, sf)
+    rows = kept(listing(spark, sf))
     asked = rows.filter("source <> 'ebay' and listing_id % 50 = 0")
-    return matching.priced(asked, matching.match(asked, rows), rows).drop("candidates")
+    return matching.priced(asked, kept(matching.match(asked, rows, keep=kept)), rows).drop("candidates")
 
 
 _MATCH = (
@@ -409,4 +419,4 @@ select c_custkey as search_id, c_name as keyword, on_ as enabled, case when ran
 select count(*) as searches_run, count(*) filter (where failed) as searches_failed, count(*) filter (where not failed and total > kept) as truncated, count(*) filter (where failed) >= greatest(2, count(*) // 2) as systematic from r""",
 }
 
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in (*SQL, "knn_skipped")}

@@ -49,7 +49,7 @@ def completeness(title: Column) -> Column:
 def defect(title: Column, category: Column, condition: Column) -> Column:
     """Seller's condition, defect words, missing parts of a component, cracks unless denied, dead on arrival."""
     component = any_of(category, v.COMPONENT_CATEGORIES)
-    words = has(title, "|".join(v.DEFECTS))
+    words = has(title, v.DEFECTS)
     alone = component & ~has(title, v.MACHINES) & has(title, v.MISSING)
     crack = has(title, v.CRACK) & ~has(title, v.CRACK_DENIED)
     return has(F.coalesce(condition, F.lit("")), v.CONDITION_DEFECTS) | words | (component & has(title, v.MISSING_AFTER)) | alone | crack | has(title, v.DOA)

@@ -15,14 +15,14 @@ ACCESSORIES = (
 )
 INCLUDES = rf"\b(?:w/|w\s*/|with|inc\.?|incl\.?|includes|including)\s+(?=[^,]*\b(?:{ACCESSORIES})\b)"
 PLUS = rf"\+\s*[^,+]*\b(?:{ACCESSORIES})\b"
+#: Fixed value: one pattern, stated in its order.
 DEFECTS = (
-    r"\bfor\s+parts\b", r"\bparts\s+only\b", r"\bnot\s+work\w*\b", r"\bdoes\s*n[o']?t\s+work\b", r"\bas[\s-]is\b", r"\bbroken\b", r"\bcracked?\b", r"\bchipped\b", r"\bdamaged?\b", r"\bfaulty\b",
-    r"\bdefect\w*\b", r"\bfor\s+repair\b", r"\bneeds?\s+repair\b", r"\bspares?\s+or\s+repair\b", r"\bparts\s+or\s+repair\b", r"\bparts\s*/\s*repair\b", r"\bparts\s+read\b", r"\bread\s+parts\b",
-    r"\bnon[-\s]?functional\b", r"\bnot\s+functional\b", r"\bunteste\w+\b", r"\bdead\b", r"\bwon'?t\s+(?:power|turn|boot)\b", r"\bno\s+(?:power|display|video|output|signal|boot|post)\b",
-    r"\bdoes\s*n[o']?t\s+(?:display|post|boot|power)\b", r"\bbad\s+(?:motherboard|mobo|board|screen|display|battery|port|slot|ram|memory|fan|pcb|lcd|digitizer)\b",
-    r"\bmissing\s+(?:core|vram|die|board|pcb)\b", r"\bno\s+(?:core|vram|die)\b",
+    r"\bfor\s+parts\b|\bparts\s+only\b|\bnot\s+work\w*\b|\bdoes\s*n[o']?t\s+work\b|\bas[\s-]is\b|\bbroken\b|\bcracked?\b|\bchipped\b|\bdamaged?\b|\bfaulty\b|"
+    r"\bdefect\w*\b|\bfor\s+repair\b|\bneeds?\s+repair\b|\bspares?\s+or\s+repair\b|\bparts\s+or\s+repair\b|\bparts\s*/\s*repair\b|\bparts\s+read\b|\bread\s+parts\b|"
+    r"\bnon[-\s]?functional\b|\bnot\s+functional\b|\bunteste\w+\b|\bdead\b|\bwon'?t\s+(?:power|turn|boot)\b|\bno\s+(?:power|display|video|output|signal|boot|post)\b|"
+    r"\bdoes\s*n[o']?t\s+(?:display|post|boot|power)\b|\bbad\s+(?:motherboard|mobo|board|screen|display|battery|port|slot|ram|memory|fan|pcb|lcd|digitizer)\b|"
+    r"\bmissing\s+(?:core|vram|die|board|pcb)\b|\bno\s+(?:core|vram|die)\b"
 )
-CRACK_PLAIN = r"\bcracked?\b"
 CONDITION_DEFECTS = r"for\s+parts|not\s+working|nicht\s+funktionsf|ersatzteil|defekt|ricambio|non\s+funzionante|pi[eè]ces\s+d[eé]tach"
 MISSING_AFTER = r"\b(?:gpu|graphics?\s*card|core|vram|die|chip|memory|mem|board|pcb)\b(?:\s*(?:,|and|&|\+)\s*\w+)*\s+(?:is\s+|are\s+)?missing\b"
 COMPONENT_CATEGORIES = ("graphics", "video card", "gpu", "processor", "cpu", "memory", "ram", "motherboard")
@@ -40,6 +40,7 @@ STRONG_ACCESSORIES = (
     r"backplates?|back\s?plates?|heat\s?sinks?|shrouds?|water\s*(?:cooling\s+)?blocks?|waterblocks?|nvlink|cooling\s?fans?|fan\s?assembly|thermal\s?pads?|empty\s+box|shell|"
     r"replacement\s+fans?|spare\s+fans?|cooling\s+system|donor|pcb\s+only|core\s+only|die\s+only"
 )
+# The blanks before a word are bounded here, as this stands in a look-behind of the Java engine, which needs a length.
 INCLUSIONS = r"(?:\b(?:with|w/|w\s{0,3}/|includes?|including|comes?\s{1,3}with|plus)\b|\+)"
 ONLY_NOUNS = rf"{STRONG_ACCESSORIES}|box|case|cover|packaging|manual|guide|cable|bracket"
 PACKAGING = r"\b(?:box|boxed|packaging|wafer|carton)\b"
@@ -49,6 +50,7 @@ NOT_THE_PRODUCT = r"\bno\s+(?:graphics?\s+card|gpu|video\s+card|console|phone|de
 SUBJECTS = r"^\W*(?:case|box|cover|skin|sleeve|bag|shell|stand|holder|dock|pcb)\b"
 CONSOLE_ACCESSORY = r"\b(?:nintendo\s+)?switch(?:\s*2)?(?:\s+(?:oled|lite))?\s+(dock|docking\s+station|joy[\s-]?cons?|pro\s+controller|charging\s+(?:dock|stand|grip))\b"
 CAPACITY = r"\b(\d{1,5})\s*(GB|TB)\b"
+# One group holds the whole list of numbers, which is split at its slashes afterwards.
 SHARED_UNIT = r"\b(\d{1,4}(?:\s*/\s*\d{1,4})+)\s*(GB|TB)\b"
 KIT_COUNT_FIRST, KIT_SIZE_FIRST = r"\b(\d{1,2})\s*[xX]\s*(\d{1,5})\s*(GB|TB)\b", r"\b(\d{1,5})\s*(GB|TB)\s*[xX]\s*(\d{1,2})\b"
 GENERATION = r"\b(DDR[345])\b|\bPCIe?\s*(?:Gen\s*)?([345])(?:\.0)?\b|\bGen\s*([345])(?:\.0)?\b"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,7 +180,35 @@ def capture_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def embed_pending(spark: SparkSession, sf: str) -> DataFrame:
     rows = listing(spark, sf).select("listing_id", F.array(F.col("source_id")).alias("images"), F.when(F.col("listing_id") % 4 == 0, F.col("now_ts")).alias("embedded_at"))
-    return inference.attempt_counters(inference.embed(inference.pending(rows, None), _toy_model))
+    return inference.assert_some(inference.attempt_counters(inference.embed(inference.pending(rows, None), _toy_model)))
+
+
+def _flaky() -> Callable[[list], list]:
+    """A model that is loaded, gives nothing for names that end in 0, and fails on those that end in 7."""
+
+    def model(batch: list) -> list:
+        if any(x[0].endswith("7") for x in batch):
+            raise ValueError("unreadable")
+        return _toy_model(batch)
+
+    return model
+
+
+def _flaky_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("listing_id")
+    rows = listing(spark, sf).select("listing_id", F.when(k % 9 > 0, F.array("source_id")).alias("images"), F.when(k % 4 == 0, F.col("now_ts") - F.expr("interval 1 day")).alias("embedded_at"), F.when(k % 4 == 0, F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>")).alias("embedding"))
+    return rows, inference.embed(inference.pending(rows, None), load=_flaky)
+
+
+def embed_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Why attempts failed: one bad value costs its batch nothing."""
+    return inference.reasons(_flaky_vectors(spark, sf)[1])
+
+
+def embed_stamped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every attempt is stamped, and only those with a vector have one."""
+    rows, vectors = _flaky_vectors(spark, sf)
+    return inference.stamped(rows, vectors, market.now()).select("listing_id", "embedded_at", F.element_at("embedding", 1).cast("double").alias("first"))
 
 
 def _toy_model(batch: list) -> list:
@@ -188,6 +218,8 @@ def _toy_model(batch: list) -> list:
 
 _AVAIL = "case k % 6 when 0 then true when 1 then true else false end or k % 11 = 0"
 SQL |= {
+    "embed_failures": "select case when o_orderkey % 9 = 0 then 'no value' when o_orderkey % 10 = 7 then 'ValueError: unreadable' else 'no vector' end as reason, count(*) as n from orders where o_orderkey % 4 <> 0 and (o_orderkey % 9 = 0 or o_orderkey % 10 in (0, 7)) group by 1",
+    "embed_stamped": "select o_orderkey as listing_id, case when o_orderkey % 4 = 0 then timestamp '2024-06-30' else timestamp '2024-07-01' end as embedded_at, case when o_orderkey % 4 = 0 then 9.0 when o_orderkey % 9 > 0 and o_orderkey % 10 not in (0, 7) then length('item-' || o_orderkey)::double end as first from orders",
     "shipping_cheapest": "select o_orderkey as k, case o_orderkey % 4 when 1 then 5.5 when 2 then least(o_orderkey % 50, 30)::double when 3 then 9.0 end as cost, o_orderkey % 4 = 1 as estimated from orders",
     "has_ended": f"select k, {_AVAIL} as ended, case k % 6 when 0 then 4 when 1 then 2 when 3 then 7 end as sold from (select o_orderkey as k from orders)",
     "normalize_page": """select concat('item-', k) as source_id, o_totalprice as price, 'USD' as currency, case k % 4 when 1 then 5.5 when 2 then least(k % 50, 30)::double when 3 then 9.0 end as shipping_cost, k % 4 = 1 as shipping_estimated, k % 2 = 0 as is_auction, k % 2 = 0 as accepts_best_offer,

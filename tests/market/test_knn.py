@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import stats
-from bazaarlens.operators import knn, measure, valuation
+from bazaarlens.operators import inference, knn, measure, valuation
 from bazaarlens.plans.fixtures import COMPARABLE, kept, listing
 
 AT = "/root/testdata/sf0.001"
@@ -97,3 +97,25 @@ def test_groupings_read_the_rows_once(spark):
     report = measure.four_groupings(rows)
     assert report._jdf.queryExecution().executedPlan().toString().count("orders.parquet") <= 4  # sizes and both medians share counts; subqueries of the fixture aside
     assert {r.grouping for r in report.collect()} == set(measure.GROUPINGS)
+
+
+def test_one_bad_value_costs_its_batch_a_few_calls():
+    calls = []
+
+    def model(batch):
+        calls.append(len(batch))
+        if 13 in batch:
+            raise KeyError("bad")
+        return [[float(v)] if v != 5 else None for v in batch]
+
+    got = inference._tried(model, list(range(64)))
+    assert got[13] == (None, "KeyError: 'bad'") and got[5] == (None, "no vector") and all(v == ([float(i)], None) for i, v in enumerate(got) if i not in (5, 13))
+    assert len(calls) == 13  # two a halving, and the first
+    with pytest.raises(ValueError, match="1 vectors for 2"):
+        inference._tried(lambda batch: [[1.0]], [1, 2])
+
+
+def test_a_model_that_always_fails_is_an_error(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "listing_id long, images string")
+    with pytest.raises(Exception, match="all attempts failed"):
+        inference.assert_some(inference.attempt_counters(inference.embed(rows, lambda batch: 1 / 0))).collect()

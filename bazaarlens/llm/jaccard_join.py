@@ -14,7 +14,7 @@ from bazaarlens.llm.common import components, join_salted, join_sized, written
 from bazaarlens.llm.words import BLOCK_BYTES, blocks, min_hashes, mix, release, shingles, tidied, word_hashes
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 96
-#: Texts in a block. Candidate groups up to this size are compared as a whole, larger ones band by band, in blocks.
+#: Texts in a block. Candidate groups up to this size are read in one go, larger ones band by band, in blocks; what is a link is the same.
 BLOCK = 512
 
 
@@ -89,7 +89,8 @@ def _compare(threshold: float):
     """Links within a block or between two blocks: for each text the documents it links to, and a node of its tree.
 
     Links are counted, not listed: rows out are at most the texts in, and the trees keep all that the links connect.
-    Texts met in a band carry all their bands; two count only in the first band that they share, so once.
+    Texts carry all their bands. Two are compared if they share one; those met in a band count only in the first band
+    that they share, so once, and those met in a whole group (band -1) in any.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -97,7 +98,7 @@ def _compare(threshold: float):
         weight = np.asarray(table.column("copies"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         i, j, band = key[1].as_py(), key[2].as_py(), table.column("band")[0].as_py()
-        values = None if band < 0 else np.array(table.column("bands").to_pylist(), np.int64)
+        values = np.array(table.column("bands").to_pylist(), np.int64)
         a, b = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
         links, parent = np.zeros(len(keys), np.int64), list(range(len(keys)))
 
@@ -111,8 +112,9 @@ def _compare(threshold: float):
         for x, shared in zip(a, _overlaps([sets[x] for x in a], [sets[x] for x in b]) if len(b) else [], strict=False):
             near = b[shared >= threshold * (size[x] + size[b] - shared) - 1e-9]
             near = near[near != x]
-            if values is not None and len(near):
-                near = near[(values[near] == values[x]).argmax(1) == band]
+            if len(near):
+                same = values[near] == values[x]
+                near = near[same.any(1) if band < 0 else same.argmax(1) == band]
             links[x] += weight[near].sum()
             if i != j:
                 links[near] += weight[x]
@@ -130,8 +132,8 @@ def _compare(threshold: float):
 def _dealt(groups: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     """Rows (set_key, part, band, blocks, block): which texts are compared with each other, in which blocks.
 
-    A group of up to ``block`` texts is one part (band -1). In a larger one, which bands may have chained from texts that
-    are not alike, only texts that share a band are compared: each band value that two of them share is a part.
+    A group of up to ``block`` texts is one part (band -1), so its sets are read once. A larger one, which bands may have
+    chained from texts that are not alike, has a part for each band value that two of its texts share.
     """
     sizes = written(groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "group-sizes")
     placed = written(join_salted(groups, sizes, ["root"], ["node"]).select(F.col("node").alias("set_key"), "root", "size"), "placed")
@@ -150,11 +152,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_links`` counts the other rows that a row is linked to.
 
     Rows with equal sets become one text first, so copies are never paired with each other. Texts that share a band
-    are hung on the band's smallest text, which makes candidate groups without listing pairs. Inside a group of up to
-    ``block`` texts all pairs are compared on the full sets, so a link is found there even where its two texts share no
-    band. In a larger group only texts that share a band are compared, each pair in the first band it shares; a band
-    value of more than ``block`` texts is dealt out over pairs of blocks, each a task of bounded size. Only counts and
-    spanning trees come back.
+    are hung on the band's smallest text, which makes candidate groups without listing pairs. Two texts are linked if
+    they share a band and their full sets are similar enough: the same rule whatever else is in their group, so a link
+    never hangs on how many other texts there are. A group of up to ``block`` texts is one task; in a larger one texts
+    meet in the first band they share, and a band value of more than ``block`` texts is dealt out over pairs of blocks,
+    each a task of bounded size. Only counts and spanning trees come back.
 
     A text of fewer than n words has one run of all of them; very long texts are compared on all their runs. Null
     texts, and texts without words, have no links and are classes of their own, also among each other. A null id is a
@@ -172,7 +174,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = written(banded.groupBy("band", "value").agg(F.min("set_key").alias("head"), F.count("*").alias("n")).filter("n > 1"), "band-heads")
     hung = join_salted(banded, heads, ["band", "value"], ["set_key"]).filter("set_key <> head").select(F.col("set_key").alias("u"), F.col("head").alias("v"))
     groups = written(components(hung, "candidates"), "candidate-groups")
-    dealt = written(_dealt(groups, texts, block).join(texts.select("set_key", "copies", "bands"), "set_key").withColumn("bands", F.when(F.col("band") >= 0, F.col("bands"))), "dealt")
+    dealt = written(_dealt(groups, texts, block).join(texts.select("set_key", "copies", "bands"), "set_key"), "dealt")
     # the sets are made again from the texts of the candidates: from the row with the least id of each
     name = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")
     wanted = written(join_sized(texts.select("set_key", "text_hash", name), groups.select(F.col("node").alias("set_key")), "set_key", "left_semi"), "wanted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.stats import nearest_rank, ranked, upper_medians
+from bazaarlens.functions.stats import nearest_rank, ranked, upper_median, upper_medians
 
 MIN_GROUP, MIN_TRIMMED, WORST, THIN_POOL = 5, 5, 5, 20
 
@@ -75,10 +75,24 @@ def bucket_spread(rows: DataFrame, bucket: str, value: str = "price") -> DataFra
     return g.select(bucket, "n", F.col(f"{value}_median").alias("median"), F.when(F.col("n") >= 2, F.col(f"{value}_hi") / F.col(f"{value}_lo")).alias("spread"))
 
 
-def coverage(rows: DataFrame, by: str = "category") -> DataFrame:
-    """Shares of rows with a catalogue id, shipping and model key, of auctions and best offers: by category, and in all (null)."""
+def bucket_report(rows: DataFrame, which: str, bucket: str, value: str = "price") -> DataFrame:
+    """How alike values are inside the buckets of each rule (``which``): buckets, values without one, and both spreads' upper median, worst and overall.
+
+    A rule has as many buckets as there are capacities, so their spreads are a short list; the values are only counted.
+    """
+    some = rows.filter(F.col(value).isNotNull())
+    sizes = some.groupBy(which).agg(F.count_distinct(bucket).alias("buckets"), F.count_if(F.col(bucket).isNull()).alias("unstated"))
+    each = group_spreads(some.filter(F.col(bucket).isNotNull()), [which, bucket], value)
+    kinds = ("spread", "trimmed")
+    of = each.groupBy(which).agg(*[f for c in kinds for f in (upper_median(F.collect_list(c)).alias(f"median_{c}"), F.max(c).alias(f"worst_{c}"))])
+    overall = group_spreads(some, [which], value).select(which, *[F.col(c).alias(f"overall_{c}") for c in kinds])
+    return sizes.join(of, which, "left").join(overall, which, "left")
+
+
+def coverage(rows: DataFrame, by: str = "category", more: tuple[str, ...] = ()) -> DataFrame:
+    """Shares of rows with a catalogue id, shipping, model key and ``more`` columns, of auctions and best offers: by category, and in all (null)."""
     known = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
-    return rows.rollup(by).agg(F.count("*").alias("n"), known("epid").alias("epid"), known("shipping_cost").alias("shipping"), known("model_key").alias("model_key"), F.avg(F.col("is_auction").cast("int")).alias("auctions"), F.avg(F.col("accepts_best_offer").cast("int")).alias("offers"))
+    return rows.rollup(by).agg(F.count("*").alias("n"), known("epid").alias("epid"), known("shipping_cost").alias("shipping"), known("model_key").alias("model_key"), *[known(c).alias(c) for c in more], F.avg(F.col("is_auction").cast("int")).alias("auctions"), F.avg(F.col("accepts_best_offer").cast("int")).alias("offers"))
 
 
 def thin_pools(rows: DataFrame, keys: list[str], least: int = THIN_POOL) -> DataFrame:
@@ -91,5 +105,12 @@ def rule_change(rows: DataFrame, before: str, after: str, by: str, top: int = 10
     return g.filter("changed > 0").orderBy(F.desc("changed"), by).limit(top).withColumn("rate", F.col("changed") / F.col("n"))
 
 
+def rule_rate(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: how many values a rule changes, of how many, and the rate (0 of none)."""
+    out = rows.agg(F.count_if(~F.col(before).eqNullSafe(F.col(after)) & F.col(after).isNotNull()).alias("changed"), F.count("*").alias("n"))
+    return out.withColumn("rate", F.col("changed") / F.greatest(F.col("n"), F.lit(1)))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in an order that a seed and the key decide: the same ones whatever the layout, and a top-k, not a sort."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)

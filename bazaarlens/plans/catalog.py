@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.plans import market, reports, stores, streams, titles
+from bazaarlens.plans import market, reports, stores, streams, titles, views
 
-MODULES = (market, reports, stores, streams, titles)
+MODULES = (market, reports, stores, streams, titles, views)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,9 +35,9 @@ def _late(spark: SparkSession, sf: str, values: dict[str, Column]) -> DataFrame:
     return _fed(rows.unionByName(ends), F.when(F.col("listing_id") < 0, FILES + F.col("tie")).otherwise(part), FILES + 2)
 
 
-def _ran(df: DataFrame) -> DataFrame:
+def _ran(df: DataFrame, empty_batches: bool = True) -> DataFrame:
     at = scratch(df.sparkSession)
-    return jobs.run_to_table(df, f"{at}/out", f"{at}/checkpoint").filter("listing_id >= 0")
+    return jobs.run_to_table(df, f"{at}/out", f"{at}/checkpoint", empty_batches).filter("listing_id >= 0")
 
 
 def stream_two_strikes(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +62,14 @@ def stream_announce_once(spark: SparkSession, sf: str) -> DataFrame:
     return _ran(jobs.announce_once(_fed(e, F.col("event_id") % 3, 3).select("listing_id")))
 
 
+def stream_fresh_deals(spark: SparkSession, sf: str) -> DataFrame:
+    """Scans of deals one after the other, a file each: what is new or has another score than at the last scan."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    order = F.unix_micros(F.col("ts").cast("timestamp"))  # a scan's rows are told apart and ordered by their time
+    e = table(spark, sf, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("listing_id"), F.least(F.floor(day / 8), F.lit(3)).alias("scan")).agg(F.max_by(F.floor(F.col("value") / 100).cast("double"), F.struct(order, "event_id")).alias("score"), F.max_by("event_id", F.struct(order, "event_id")).alias("tie"))
+    return _ran(jobs.fresh_deals(_fed(e, F.col("scan"), 4).select("listing_id", "tie", "score")), empty_batches=False)
+
+
 class _Killed(Exception):
     pass
 
@@ -132,6 +140,8 @@ c as (select *, lag(price) over w as p, lag(known) over w as s, row_number() ove
 select listing_id, tie, price, known as shipping_cost from c where r = 1 or p is distinct from price or s is distinct from known""",
     "stream_unseen": "with n as (select user_id as listing_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as next from events) select listing_id, ts as unseen_since from n where next is null or next - ts > interval 2 day",
     "stream_announce_once": "select distinct user_id as listing_id from events where event_type = 'purchase'",
+    "stream_fresh_deals": """with s as (select user_id as listing_id, least(date_diff('day', date '2024-01-01', ts::date) // 8, 3) as scan, arg_max(floor(value / 100), (ts, event_id)) as score, arg_max(event_id, (ts, event_id)) as tie from events where event_type = 'purchase' group by 1, 2),
+p as (select *, lag(score) over (partition by listing_id order by scan) as before from s) select listing_id, tie, score::double as score from p where before is distinct from score""",
     "stream_upsert": "with " + _STORED + """, n as (select listing_id, arg_max(title, (ts, n)) as title, arg_max(price, (ts, n)) as price, arg_max(ship, (ts, n)) as ship, arg_max(est, (ts, n)) filter (where ship is not null) as est, arg_min(est, (ts, n)) as est_first, arg_max(epid, (ts, n)) as epid, arg_min(hash, (ts, n)) as hash, min(ts) as first, max(ts) as last from seen group by 1)
 select listing_id, listing_id::varchar as source_id, coalesce(n.title, s.title) as title, coalesce(n.price, s.price) as price, coalesce(n.ship, s.ship) as shipping_cost, case when n.ship is not null then n.est when s.listing_id is not null then s.est else est_first end as shipping_estimated, coalesce(n.epid, s.epid) as epid, coalesce(s.hash, n.hash) as image_hash,
   case when s.listing_id is null or n.listing_id is not null and s.status = 'stale' then 'active' else s.status end as status, case when s.listing_id is null then first else timestamp '2023-12-01' end as first_seen_at, coalesce(last, timestamp '2023-12-02') as last_seen_at, case when n.listing_id is null and listing_id % 4 = 2 then timestamp '2023-12-03' end as missing_since,

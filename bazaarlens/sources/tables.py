@@ -38,6 +38,22 @@ def write_snapshot(df: DataFrame, path: str, number: int, partition_by: tuple[st
     df.sparkSession.createDataFrame([(f"{number:08d} {name}",)], "value string").coalesce(1).write.mode("append").text(f"{path}/current")
 
 
+SAVED_SEARCH = "id bigint, keyword string, location string, enabled boolean, created_at timestamp_ntz, last_run_at timestamp_ntz, last_result_total int"
+WATCHED = "id bigint, listing_id bigint, added_at timestamp_ntz, note string, price_when_added double"
+
+
+def saved_searches(spark: SparkSession, path: str) -> DataFrame:
+    """Saved searches; columns that the files lack are null, and one that does not say otherwise is enabled."""
+    return spark.read.schema(SAVED_SEARCH).parquet(path).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+
+
+def watched(spark: SparkSession, path: str) -> DataFrame:
+    """Watched listings, one row each: watching something again is the same as watching it once, and the first time counts."""
+    rows = spark.read.schema(WATCHED).parquet(path).filter(F.col("listing_id").isNotNull())
+    first = F.min_by(F.struct("id", "added_at", "note", "price_when_added"), F.struct(F.col("added_at").isNull(), "added_at", "id"))
+    return rows.groupBy("listing_id").agg(first.alias("x")).select("x.id", "listing_id", "x.added_at", "x.note", "x.price_when_added")
+
+
 def append_observations(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bazaarlens.operators import inference
+from bazaarlens.sources.tables import DEALS_TTL_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -143,6 +144,35 @@ def announce_once(deals: DataFrame) -> DataFrame:
     return deals.dropDuplicates(["listing_id"])
 
 
+class Announced(StatefulProcessor):
+    """A listing's last announced score, forgotten by the state store when its time to live has passed."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "score double", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, out = self.last.get()[0] if self.last.exists() else None, []
+        for tie, score in sorted((int(r.tie), float(r.score)) for frame in rows for r in frame.itertuples(index=False)):
+            if before is None or score != before:
+                out.append((key[0], tie, score))
+            before = score
+        self.last.update((before,))
+        if out:
+            yield pd.DataFrame(out, columns=["listing_id", "tie", "score"])
+
+
+def fresh_deals(deals: DataFrame, ttl_ms: int = 1000 * DEALS_TTL_S) -> DataFrame:
+    """Deals (listing_id, tie, score) that are new, or whose score is another, since the last scan that the time to live still covers.
+
+    Each scan renews the time. Unlike ``announce_once`` the state does not grow for ever: a deal that no scan repeats is forgotten.
+    """
+    need_rocksdb(deals.sparkSession)
+    return deals.groupBy("listing_id").transformWithStateInPandas(Announced(ttl_ms), "listing_id long, tie long, score double", "append", "processingTime")
+
+
 class Unseen(InOrder):
     """Reports a listing that was not seen for ``after_ms`` of event time: at its next sighting, or when that time has passed without one."""
 
@@ -178,8 +208,18 @@ def activity(events: DataFrame, late: str = "1 day", window: str = "1 day") -> D
     return events.withWatermark("at", late).groupBy(F.window("at", window).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("listing_id").alias("listings"))
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """A stream run over all that is there, into a Parquet folder, and that folder read."""
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_to_table(df: DataFrame, path: str, checkpoint: str, empty_batches: bool = True) -> DataFrame:
+    """A stream run over all that is there, into a Parquet folder, and that folder read.
+
+    State with a time to live asks for batches without data for ever; such a stream ends only with ``empty_batches`` off.
+    """
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark = df.sparkSession
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(empty_batches).lower())
+    try:
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from bazaarlens.llm.decontaminate import MATCH, align, contaminated
+from bazaarlens.llm.decontaminate import MATCH, align, contaminated, rarest
 from bazaarlens.llm.words import word_hashes
 
 
@@ -113,3 +113,40 @@ def test_no_rows_and_repeats(spark, docs):
     assert contaminated(docs(["a"]), items(spark, [])).count() == 0
     text = tests.first().text
     assert [tuple(r)[:2] for r in contaminated(docs([text, text, "a", text], [1, 1, 1, None]), tests).collect()] == [(1, 1)]
+
+
+def test_rarest_of_each_stretch(spark):
+    held = [5, 1, 9, 9, None, 2, 7, 7, 7, 3]
+    rows = [(1, 100 + k, k, h) for k, h in enumerate(held) if h] + [(2, 7, 0, 4)]
+    got = {(r.item_id, r.item_at) for r in rarest(spark.createDataFrame(rows, "item_id long, gram long, item_at int, held long"), 3).collect()}
+    want = {(2, 0)}
+    for k in range(len(held)):
+        run = [(h, 100 + j, j) for j, h in enumerate(held) if h and k <= j < k + 3]
+        if held[k]:
+            want.add((1, min(run)[2]))
+    assert got == want
+    # each run of three places that the corpus holds has a seed
+    assert all(any((1, j) in got for j in range(k, k + 3)) for k in range(len(held) - 2) if all(held[k : k + 3]))
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_recall_of_edited_copies_made_of_common_phrases(spark, docs, sent):
+    """Copies with every fourth to eighth word exchanged, in a corpus that repeats the items' phrases: at least 0.95 of what all n-grams find, and all with runs of five words."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"w{rng.randrange(300)}" for _ in range(4)) for _ in range(60)]
+    its = [" ".join(rng.sample(phrases, 8)) for _ in range(25)]
+    texts, apart = [" ".join(rng.choices(phrases, k=40)) for _ in range(150)], []
+    for item in its:
+        for every in (4, 5, 6, 7, 8):
+            words = item.split()
+            for k in range(rng.randrange(every), len(words), every):
+                words[k] = f"new{rng.randrange(10**6)}"
+            texts.append(f"begin {' '.join(words)} end")
+            apart.append(every)
+    tests = items(spark, [(j, x, "x") for j, x in enumerate(its)])
+    rows = docs(texts)
+    every_gram = {(r.doc_id, r.item_id) for r in contaminated(rows, tests, stretch=1).collect()}
+    got = {(r.doc_id, r.item_id) for r in contaminated(rows, tests, sent_grams=sent).collect()}
+    planted = {(150 + 5 * j + k, j): apart[5 * j + k] for j in range(len(its)) for k in range(5)}
+    assert got <= every_gram and len(got & planted.keys()) >= 0.95 * len(every_gram & planted.keys())
+    assert {p for p, every in planted.items() if every >= 6} <= got

@@ -17,6 +17,8 @@ from bazaarlens.functions.stats import cosine, similarity_rounded
 CHUNK = 2048
 #: Vectors of a block from which distances are taken, and what distances and similarities may be off by.
 PIVOTS, SLACK = 8, 1e-6
+#: Rows of a large block that show whether its rows lie in clusters, and the share of pairs of cells that must be apart in them for pruning.
+PROBE, WORTH = 512, 0.1
 #: Filters that a candidate also passes with an unknown value, where the query states one.
 TOLERANT = ("completeness", "capacity_gb", "spec_generation", "form_factor")
 #: Filters that a candidate passes only with the query's value, where the query states one: the blocking keys.
@@ -128,16 +130,32 @@ def _ranked(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _pruned(qs: DataFrame, cs: DataFrame, cols: list[str], k: int, tolerant: tuple[str, ...], chunk: int, n: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(neighbours within blocks of many rows, all pairs of chunks with ``compared``).
+def _probed(cs: DataFrame, n: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(block, pivots) of the large blocks that are worth pruning; ``cs`` has their candidates and in ``nc`` their number.
+
+    Some ``PROBE`` candidates by their hash give n pivots. Where even among these rows hardly any two cells are apart,
+    they are less so with all rows, and no pair of chunks could be skipped.
+    """
+    rows = keep(cs.withColumn("__h", F.xxhash64("listing_id")).filter(F.pmod("__h", F.greatest(F.lit(1), F.col("nc").cast("long") / PROBE).cast("long")) == 0).select("block", "listing_id", "embedding", "__h"))
+    few = rows.withColumn("__r", F.row_number().over(Window.partitionBy("block").orderBy("__h", "listing_id"))).filter(F.col("__r") <= n)
+    pivots = few.groupBy("block").agg(F.collect_list("embedding").alias("p")).select("block", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("p", i % F.size("p"))).alias("pivots"))
+    pivots = keep(pivots)
+    schema = StructType([*rows.schema, *StructType.fromDDL("cell int, " + ", ".join(f"d{i} double" for i in range(n)))])
+    far = rows.join(pivots, "block").select(*rows.columns, "pivots").mapInArrow(_distances(n), schema)
+    cells = keep(far.groupBy("block", "cell").agg(*[f(f"d{i}").alias(f"{name}{i}") for i in range(n) for f, name in ((F.min, "lo"), (F.max, "hi"))]))
+    x, y = cells.alias("x"), cells.alias("y")
+    apart = F.greatest(*[F.greatest(F.col(f"x.lo{i}") - F.col(f"y.hi{i}"), F.col(f"y.lo{i}") - F.col(f"x.hi{i}")) for i in range(n)]) > SLACK
+    worth = x.join(y, F.col("x.block") == F.col("y.block")).groupBy(F.col("x.block").alias("block")).agg((F.count_if(apart) >= WORTH * F.count("*")).alias("worth")).filter("worth")
+    return keep(pivots.join(worth.select("block"), "block"))
+
+
+def _pruned(qs: DataFrame, cs: DataFrame, pivots: DataFrame, cols: list[str], k: int, tolerant: tuple[str, ...], chunk: int, n: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(neighbours within the blocks of ``pivots``, all pairs of chunks with ``compared``).
 
     Rows lie in chunks with those nearest to the same of n pivots. A query is first compared with its own pivot's
     chunks, which gives each of its chunk's queries a k-th similarity. By the triangle inequality two chunks are as far
     apart as their distances from any pivot differ; a pair that this puts below all those similarities is skipped.
     """
-    few = cs.withColumn("__h", F.xxhash64("listing_id")).withColumn("__r", F.row_number().over(Window.partitionBy("block").orderBy("__h", "listing_id"))).filter(F.col("__r") <= n)
-    pivots = few.groupBy("block").agg(F.collect_list("embedding").alias("p")).select("block", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("p", i % F.size("p"))).alias("pivots"))
-    pivots = keep(pivots)
     (q, qr), (c, cr) = (_dealt(rows, pivots, n, chunk, keep) for rows in (qs, cs))
     side = lambda r, x: r.select("block", F.col("cell").alias(f"{x}cell"), F.col("part").alias(f"{x}part"), *[F.col(f"{v}{i}").alias(f"{x}{v}{i}") for i in range(n) for v in ("lo", "hi")])
     apart = F.greatest(F.lit(0.0), *[F.greatest(F.col(f"qlo{i}") - F.col(f"chi{i}"), F.col(f"clo{i}") - F.col(f"qhi{i}")) for i in range(n)])
@@ -164,18 +182,39 @@ def _blocks(queries: DataFrame, candidates: DataFrame, strict: tuple[str, ...],
     return q, embedded(candidates).select(F.explode(F.array_compact(F.array(*[F.when(known(on), tag) for on, tag in named]))).alias("block"), *cols)
 
 
+def _spread(all_q: DataFrame, all_c: DataFrame, sizes: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out over all pairs of ``qn`` and ``cn`` chunks of their block."""
+    deal = lambda df, own, other: df.join(sizes, "block").select("block", *cols, F.pmod(F.xxhash64("listing_id"), own).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
+    zero = [F.lit(0).alias("qcell"), F.lit(0).alias("ccell")]
+    qs = deal(all_q, "qn", "cn").withColumnsRenamed({"mine": "qpart", "theirs": "cpart"}).select("*", *zero)
+    return qs, deal(all_c, "cn", "qn").withColumnsRenamed({"mine": "cpart", "theirs": "qpart"}).select("*", *zero)
+
+
+def _sizes(all_q: DataFrame, all_c: DataFrame, chunk: int) -> DataFrame:
+    """Blocks that both sides have: rows (nc, nq) and chunks (cn, qn) of candidates and queries."""
+    n = all_c.groupBy("block").agg(F.count("*").alias("nc")).join(all_q.groupBy("block").agg(F.count("*").alias("nq")), "block")
+    return n.select("*", F.ceil(F.col("nc") / chunk).cast("int").alias("cn"), F.ceil(F.col("nq") / chunk).cast("int").alias("qn"))
+
+
 def knn_with_pairs(queries: DataFrame, candidates: DataFrame, keep: Callable[[DataFrame], DataFrame], k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT, chunk: int = CHUNK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame | None]:
     """``knn`` with pruning, and the pairs of chunks of large blocks with whether they were ``compared`` (None without such blocks)."""
     cols = ["listing_id", "embedding", *tolerant]
     all_q, all_c = _blocks(queries, candidates, strict, cols)
-    n = all_c.groupBy("block").agg(F.count("*").alias("nc")).join(all_q.groupBy("block").agg(F.count("*").alias("nq")), "block")
-    sizes = keep(n.select("block", (F.greatest("nc", "nq") > chunk).alias("large")))
-    one = [F.lit(0).alias(x) for x in _PAIR[1:]]
-    small, large = sizes.filter("not large").select("block"), sizes.filter("large").select("block")
-    near, pairs = _compared(all_q.join(small, "block").select("*", *one), all_c.join(small, "block").select("*", *one), cols, k, tolerant), None
-    if large.limit(1).count():
-        more, pairs = _pruned(all_q.join(large, "block"), all_c.join(large, "block"), cols, k, tolerant, chunk, pivots, keep)
-        near, pairs = near.unionByName(more), pairs.drop("home")
+    sizes = keep(_sizes(all_q, all_c, chunk))
+    large = sizes.filter((F.col("cn") > 1) | (F.col("qn") > 1))
+    if not large.limit(1).count():
+        return _ranked(_compared(*_spread(all_q, all_c, sizes, cols), cols, k, tolerant), k), None
+    worth = _probed(all_c.join(large.select("block", "nc"), "block"), pivots, keep)
+    some = worth.limit(1).count() > 0
+    flat = sizes.join(worth.select("block"), "block", "left_anti") if some else sizes
+    near = _compared(*_spread(all_q, all_c, flat, cols), cols, k, tolerant)
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = flat.filter((F.col("cn") > 1) | (F.col("qn") > 1)).select("block", "cn", part("qn").alias("qpart"))
+    pairs = whole.select("block", F.lit(0).alias("qcell"), "qpart", F.lit(0).alias("ccell"), part("cn").alias("cpart"), F.lit(True).alias("compared"))
+    if some:
+        blocks = worth.select("block")
+        more, told = _pruned(all_q.join(blocks, "block"), all_c.join(blocks, "block"), worth, cols, k, tolerant, chunk, pivots, keep)
+        near, pairs = near.unionByName(more), pairs.unionByName(told.drop("home"))
     return _ranked(near, k), pairs
 
 
@@ -186,20 +225,15 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int = 10, strict: tuple[st
     block of the strict keys that it states: the queries are sorted by which keys those are, so every join is an
     equality. A block of many rows is dealt out over chunks of both sides, each pair of chunks one product of
     matrices of bounded size with its own k best; the k best of those are the answer, as top-k of a union is. With
-    ``keep``, which writes an intermediate result as a table and returns that, chunks hold rows that lie near each
-    other, and pairs of chunks that cannot hold one of the k best are skipped (``_pruned``); the rows are the same.
+    ``keep``, which writes an intermediate result as a table and returns that, large blocks whose rows lie in clusters
+    (``_probed``) have chunks of rows that are near each other, and pairs of chunks that cannot hold one of the k best
+    are skipped (``_pruned``); the rows are the same.
     """
     if keep is not None:
         return knn_with_pairs(queries, candidates, keep, k, strict, tolerant, chunk)[0]
     cols = ["listing_id", "embedding", *tolerant]
     all_q, all_c = _blocks(queries, candidates, strict, cols)
-    nq = all_q.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nq"))
-    blocks = all_c.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nc")).join(nq, "block")
-    spread = lambda df, own, other: df.join(blocks, "block").select("block", *cols, F.pmod(F.xxhash64("listing_id"), own).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
-    zero = [F.lit(0).alias("qcell"), F.lit(0).alias("ccell")]
-    qs = spread(all_q, "nq", "nc").withColumnsRenamed({"mine": "qpart", "theirs": "cpart"}).select("*", *zero)
-    cs = spread(all_c, "nc", "nq").withColumnsRenamed({"mine": "cpart", "theirs": "qpart"}).select("*", *zero)
-    return _ranked(_compared(qs, cs, cols, k, tolerant), k)
+    return _ranked(_compared(*_spread(all_q, all_c, _sizes(all_q, all_c, chunk), cols), cols, k, tolerant), k)
 
 
 def knn_expressions(queries: DataFrame, candidates: DataFrame, k: int = 10, strict: tuple[str, ...] = STRICT, tolerant: tuple[str, ...] = TOLERANT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,16 @@ def every(text: Column, pattern: str, n: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(n)), F.array().cast("array<string>"))
 
 
+def with_groups(text: Column, pattern: str, n: int, use: Callable[[list[Column | None]], Column]) -> Column:
+    """``use`` of the n groups of the first match (by number, null where one takes no part); null without a match.
+
+    All groups come from one replacement, however often ``use`` names them. The groups must not match U+0001.
+    """
+    all_groups = F.regexp_replace(text, FLAGS + rf"^[\s\S]*?(?:{pattern})[\s\S]*", "\x01".join(f"${i}" for i in range(1, n + 1)))
+    used = F.transform(F.array(F.split(all_groups, "\x01")), lambda g: use([None, *[F.nullif(F.get(g, i), F.lit("")) for i in range(n)]]))
+    return F.when(has(text, pattern), F.get(used, 0))
+
+
 def any_of(text: Column, tokens: tuple[str, ...]) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in tokens])
@@ -94,8 +105,10 @@ def kits(title: Column, category: Column) -> Column:
 ASPECTS = ("Storage Capacity", "Capacity", "RAM Size", "Total Capacity")
 
 
-def capacity(title: Column, category: Column, aspects: Column | None = None) -> Column:
-    own = F.greatest(F.array_max(capacities(title)), F.array_max(F.transform(kits(title, category), lambda x: x["total"])))
+def capacity(title: Column, category: Column, aspects: Column | None = None, kit: Column | None = None, stated: Column | None = None) -> Column:
+    """Greatest stated capacity or kit total, else that of the aspects. ``kit`` and ``stated`` are ``kits`` and ``capacities`` where they are at hand."""
+    kit, stated = kits(title, category) if kit is None else kit, capacities(title) if stated is None else stated
+    own = F.greatest(F.array_max(stated), F.array_max(F.transform(kit, lambda x: x["total"])))
     if aspects is None:
         return own
     return F.coalesce(own, *[F.array_max(capacities(F.coalesce(F.element_at(aspects, k), F.lit("")))) for k in ASPECTS])
@@ -117,45 +130,50 @@ def _joined(*parts: Column) -> Column:
 
 
 def gpu_key(title: Column) -> Column:
-    return F.when(has(title, v.GPU), _joined(*[group(title, v.GPU, n) for n in (1, 2, 3)]))
+    return with_groups(title, v.GPU, 3, lambda g: _joined(*g[1:]))
 
 
 def cpu_key(title: Column) -> Column:
-    intel = F.when(has(title, v.CPU_INTEL), F.lower(F.concat(group(title, v.CPU_INTEL, 1), F.lit("-"), group(title, v.CPU_INTEL, 2), F.regexp_extract(title, FLAGS + v.CPU_INTEL, 3))))
-    number = F.coalesce(group(title, v.CPU_AMD, 1), group(title, v.CPU_AMD, 3))
-    amd = F.lower(F.concat(F.lit("ryzen-"), number, F.coalesce(group(title, v.CPU_AMD, 2), group(title, v.CPU_AMD, 4), F.lit(""))))
+    intel = with_groups(title, v.CPU_INTEL, 3, lambda g: F.lower(F.concat(g[1], F.lit("-"), g[2], F.coalesce(g[3], F.lit("")))))
+    amd = with_groups(title, v.CPU_AMD, 4, lambda g: F.lower(F.concat(F.lit("ryzen-"), F.coalesce(g[1], g[3]), F.coalesce(g[2], g[4], F.lit("")))))
     return F.when(has(title, v.CPU_WORDS), F.coalesce(intel, amd))
 
 
 def console_key(title: Column, category: Column) -> Column:
-    g = [None, *[group(title, v.CONSOLE, n) for n in range(1, 9)]]
-    key = F.coalesce(
-        F.when(g[1].isNotNull(), "switch-2"), F.concat(F.lit("switch-"), F.lower(F.coalesce(g[2], g[3]))), F.when(g[4].isNotNull(), "switch"),
-        F.concat(F.lit("ps"), F.coalesce(g[5], g[6])), F.concat(F.lit("xbox-series-"), F.lower(g[7])), F.when(g[8].isNotNull(), "xbox-one"),
-    )
-    return F.when(~any_of(category, v.PLATFORM_CATEGORIES) & has(title, v.CONSOLE), key)
+    def key(g: list[Column]) -> Column:
+        return F.coalesce(
+            F.when(g[1].isNotNull(), "switch-2"), F.concat(F.lit("switch-"), F.lower(F.coalesce(g[2], g[3]))), F.when(g[4].isNotNull(), "switch"),
+            F.concat(F.lit("ps"), F.coalesce(g[5], g[6])), F.concat(F.lit("xbox-series-"), F.lower(g[7])), F.when(g[8].isNotNull(), "xbox-one"),
+        )
+
+    return F.when(~any_of(category, v.PLATFORM_CATEGORIES), with_groups(title, v.CONSOLE, 8, key))
 
 
 def phone_key(title: Column) -> Column:
-    g = [None, *[group(title, v.PHONE, n) for n in range(1, 11)]]
-    key = F.coalesce(
-        F.concat(F.lit("iphone-"), g[1], F.lit("e")), _joined(F.lit("iphone"), g[3], g[4]), _joined(F.lit("iphone"), g[5]),
-        _joined(F.lit("galaxy"), F.concat(g[6], g[7]), g[8]), _joined(F.lit("pixel"), g[9], g[10]),
-    )
-    return F.when(has(title, v.PHONE), key)
+    def key(g: list[Column]) -> Column:
+        return F.coalesce(
+            F.concat(F.lit("iphone-"), g[1], F.lit("e")), _joined(F.lit("iphone"), g[3], g[4]), _joined(F.lit("iphone"), g[5]),
+            _joined(F.lit("galaxy"), F.concat(g[6], g[7]), g[8]), _joined(F.lit("pixel"), g[9], g[10]),
+        )
+
+    return with_groups(title, v.PHONE, 10, key)
 
 
 def model_key(title: Column, category: Column) -> Column:
     return F.coalesce(gpu_key(title), cpu_key(title), console_key(title, category), phone_key(title))
 
 
-def accessory(title: Column, category: Column) -> Column:
-    """The evidence that something is a part for the product and not the product; null where there is none."""
+def accessory(title: Column, category: Column, key: Column | None = None) -> Column:
+    """The evidence that something is a part for the product and not the product; null where there is none.
+
+    ``key`` is ``model_key`` where that is at hand.
+    """
+    key = model_key(title, category) if key is None else key
     no_product = F.when(~has(F.concat_ws(" ", title, category), v.MACHINES), group(title, v.NOT_THE_PRODUCT))
     only = F.coalesce(group(title, rf"\b(?:{v.ONLY_NOUNS})\b[^,]{{0,24}}\bonly\b|\bonly\b[^,]{{0,24}}\b(?:{v.ONLY_NOUNS})\b"), group(title, rf"\b(?:{v.ACCESSORY_NOUNS})\b[^,]{{0,30}}\bonly\b"))
     packaging = F.when(has(title, v.PACKAGING), group(title, v.CONTENTS_ABSENT))
     purpose = has(title, v.FOR)
-    strong = F.when(purpose | model_key(title, category).isNotNull(), group(title, rf"(?<!{v.INCLUSIONS}.{{0,28}})\b(?:{v.STRONG_ACCESSORIES})\b"))
+    strong = F.when(purpose | key.isNotNull(), group(title, rf"(?<!{v.INCLUSIONS}.{{0,28}})\b(?:{v.STRONG_ACCESSORIES})\b"))
     weak = F.when(purpose, F.coalesce(group(title, rf"\b(?:{v.ACCESSORY_NOUNS})\b"), group(title, v.SUBJECTS)))
     after = group(title, v.CONSOLE_ACCESSORY, 1)
     before = F.call_function("substring_index", F.lower(title), F.lower(after), F.lit(1))
@@ -163,35 +181,46 @@ def accessory(title: Column, category: Column) -> Column:
     return F.coalesce(F.when(any_of(category, v.ACCESSORY_CATEGORIES), F.concat(F.lit("category:"), category)), no_product, only, packaging, strong, weak, console)
 
 
-def price_is_from(title: Column, category: Column) -> Column:
+def price_is_from(title: Column, category: Column, stated: Column | None = None) -> Column:
     """Several variants at the price of the cheapest: variant words, colours of phones, or capacities side by side."""
-    n = F.size(F.array_union(capacities(title), shared_unit_capacities(title)))
+    n = F.size(F.array_union(capacities(title) if stated is None else stated, shared_unit_capacities(title)))
     colours = any_of(category, v.PHONE_CATEGORIES) & has(title, v.COLOUR_LIST)
     return has(title, v.VARIANTS) | (~any_of(category, v.MACHINE_CATEGORIES) & (colours | (n >= 3) | ((n == 2) & any_of(category, v.ONE_CAPACITY_CATEGORIES))))
 
 
-def signals(title: Column, category: Column) -> Column:
-    """What else the title says: read notes, first four negations, sealed, accessory evidence, kit."""
-    kit = F.array_max(kits(title, category))
+def signals(title: Column, category: Column, evidence: Column | None = None, kit: Column | None = None) -> Column:
+    """What else the title says: read notes, first four negations, sealed, accessory evidence, kit.
+
+    ``evidence`` and ``kit`` are ``accessory`` and ``kits`` where these are at hand.
+    """
+    kit = F.array_max(kits(title, category) if kit is None else kit)
+    evidence = accessory(title, category) if evidence is None else evidence
     entry = lambda k, x: F.struct(F.lit(k).alias("key"), x.cast("string").alias("value"))
     negated = F.slice(every(title, v.NEGATIONS, 1), 1, 4)
     pairs = F.array(
         entry("seller_says_read", F.when(has(title, v.READ), "true")), entry("negations", F.nullif(F.array_join(negated, ","), F.lit(""))), entry("sealed_or_new", F.when(has(title, v.SEALED), "true")),
-        entry("accessory", accessory(title, category)), entry("kit", F.concat_ws("x", kit["modules"], kit["total"])),
+        entry("accessory", evidence), entry("kit", F.concat_ws("x", kit["modules"], kit["total"])),
     )
     return F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull() & (x["value"] != "")))
 
 
 def extracted(df: DataFrame, title: str = "title", category: str = "category", condition: str | None = "condition", aspects: str | None = None) -> DataFrame:
-    """``df`` with the nine derived fields, the signals and usable_as_comp. One projection over the whole table."""
+    """``df`` with the nine derived fields, the signals and usable_as_comp.
+
+    What several of them rest on (model key, kits, capacities, accessory evidence) is a column of an earlier
+    projection, so that its patterns are matched once a row; there is no shuffle and no Python.
+    """
     t, c = F.coalesce(F.col(title), F.lit("")), F.col(category)
     state = F.col(condition) if condition else F.lit("")
-    out = df.withColumns(
+    read = ("__key", "__kits", "__stated", "__evidence")
+    key, kit, stated, evidence = (F.col(x) for x in read)
+    base = df.withColumns({"__key": model_key(t, c), "__kits": kits(t, c), "__stated": capacities(t)}).withColumn("__evidence", accessory(t, c, key))
+    out = base.withColumns(
         {
-            "lot_size": lots(t, c), "completeness": completeness(t), "has_defect": defect(t, c, state), "is_accessory": accessory(t, c).isNotNull(), "price_is_from": price_is_from(t, c),
-            "capacity_gb": capacity(t, c, F.col(aspects) if aspects else None), "spec_generation": generation(t), "form_factor": form_factor(t), "model_key": model_key(t, c), "variant_signals": signals(t, c),
+            "lot_size": lots(t, c), "completeness": completeness(t), "has_defect": defect(t, c, state), "is_accessory": evidence.isNotNull(), "price_is_from": price_is_from(t, c, stated),
+            "capacity_gb": capacity(t, c, F.col(aspects) if aspects else None, kit, stated), "spec_generation": generation(t), "form_factor": form_factor(t), "model_key": key, "variant_signals": signals(t, c, evidence, kit),
         }
-    )
+    ).drop(*read)
     return out.withColumn("usable_as_comp", F.col("lot_size").isNull() & ~F.col("has_defect") & ~F.col("is_accessory") & ~F.col("price_is_from"))
 
 

@@ -119,3 +119,19 @@ def test_a_model_that_always_fails_is_an_error(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "listing_id long, images string")
     with pytest.raises(Exception, match="all attempts failed"):
         inference.assert_some(inference.attempt_counters(inference.embed(rows, lambda batch: 1 / 0))).collect()
+
+
+def test_blocks_without_clusters_are_not_pruned(spark, monkeypatch):
+    """Vectors spread at random: the probe finds no cells apart, so nothing is pruned, and the pairs of chunks are all compared."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=32)]) for i in range(400)], "listing_id long, embedding array<float>")
+
+    def never(*_):
+        raise AssertionError("pruned")
+
+    monkeypatch.setattr(knn, "_pruned", never)
+    asked = rows.filter("listing_id % 20 = 0")
+    near, pairs = knn.knn_with_pairs(asked, rows, lambda df: df.cache(), 5, (), (), chunk=100)
+    got = sorted((r.query_id, r.rank, r.listing_id) for r in near.collect())
+    assert got == sorted((r.query_id, r.rank, r.listing_id) for r in knn.knn(asked, rows, 5, (), (), chunk=100).collect()) and len(got) == 100
+    assert pairs.count() == 4 and pairs.filter("not compared").count() == 0

@@ -14,8 +14,8 @@ from bazaarlens.llm.words import blocks, mix, seeds, shingles, tidied, word_hash
 
 #: Words in a run, words in the shortest passage, hash functions, and the similarity that a passage reaches.
 WORDS, PASSAGE, HASHES, SIMILARITY = 5, 50, 2, 0.8
-#: How often the windows of a signature that no passage was found for meet the first among themselves before they are split; one of so many word runs splits.
-ROUNDS, SAMPLE = 2, 4
+#: Different windows of one signature in a block; larger groups are dealt out over pairs of blocks.
+BLOCK = 512
 _LOW = np.uint64(0xFFFF)
 
 
@@ -184,14 +184,14 @@ def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: n
         if not some:
             rest.append(k)
     if rest:
-        # which own runs occur anywhere in near; rows with too few of them have no passage
-        key = lambda some, k: some.astype(np.uint64) | (np.uint64(k) << np.uint64(32))
-        held = np.isin(np.concatenate([key(owns[k], k) for k in rest]), np.concatenate([key(nears[k], k) for k in rest]))
-        at = np.concatenate([[0], np.cumsum(size[rest])])
-        for n, k in enumerate(rest):
-            mine = held[at[n] : at[n + 1]]
-            if mine.sum() * (1 + loose) < width * loose:
-                continue
+        # which own runs occur anywhere in near, and the other way round; rows where those of either lie too thin have no passage
+        key = lambda some: np.concatenate([some[k].astype(np.uint64) | (np.uint64(k) << np.uint64(32)) for k in rest])
+        mine, yours = key(owns), key(nears)
+        held, back = np.isin(mine, yours), np.isin(yours, mine)
+        at, there = (np.concatenate([[0], np.cumsum(x[rest])]) for x in (size, far))
+        dense = np.logical_and(*(np.subtract(*longest(x, y, loose)[::-1]) >= width for x, y in ((held, at), (back, there))))
+        for n in np.flatnonzero(dense).tolist():
+            k, mine = rest[n], held[at[n] : at[n + 1]]
             found = []
             for cost in (loose, strict):
                 for a, b in segments(mine, width, cost):
@@ -223,44 +223,161 @@ def _verified(n: int, width: int, similarity: float):
     return tidied(run)
 
 
-def _runs(sample: int):
-    """Of windows with their documents' runs (sig, id, at, grams): one row for each different run of a window (sig, id, at, run), a fixed ``sample``-th of all runs there are."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows with their documents' runs (sig, id, at, linked, grams): 16 bits of each run of the window instead of the document's runs."""
+    for batch in batches:
+        at = np.asarray(batch.column("at"), np.int64)
+        lo = (at >> 16) - (at >> 8 & 255)
+        hi = (at >> 16) + (at & 255)
+        bodies = [np.frombuffer(g.as_buffer(), "<u2")[2 * a : 2 * b : 2].tobytes() for g, a, b in zip(batch.column("grams"), lo.tolist(), hi.tolist(), strict=True)]
+        yield pa.record_batch([*batch.select(["sig", "id", "at", "linked"]).columns, pa.array(bodies, pa.binary())], names=["sig", "id", "at", "linked", "body"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches again, rows with equal ``keys`` never in two batches."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = np.any([np.asarray(rows.column(k))[1:] != np.asarray(rows.column(k))[:-1] for k in keys], axis=0)
+        last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last)
+    if held is not None:
+        yield held
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _fewest(flat: np.ndarray, row: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Of rows of values side by side: the least number of different values in any ``width`` places of a row."""
+    place = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
+    order = np.lexsort((place, flat, row))
+    last = np.full(len(flat), -1)
+    same = (flat[order][1:] == flat[order][:-1]) & (row[order][1:] == row[order][:-1])
+    last[order[1:][same]] = place[order[:-1][same]]
+    step = np.zeros((len(size), int(size.max()) + 1), np.int64)  # a value counts where a stretch starts behind its last place before
+    np.add.at(step, (row, np.maximum(last + 1, place - width + 1).clip(0)), 1)
+    np.add.at(step, (row, place + 1), -1)
+    start = np.arange(step.shape[1])
+    return np.where(start <= size[:, None] - width, np.cumsum(step, 1), 1 << 30).min(1)
+
+
+def linked_pairs(bodies: list[np.ndarray], left: np.ndarray, doc: np.ndarray, group: np.ndarray, side: np.ndarray, linked: np.ndarray, width: int, similarity: float, few: int = 4) -> list[tuple[int, int]]:
+    """Pairs (later row, earlier row) of windows with a passage in common that connect all windows of a group that such pairs connect.
+
+    Rows of one ``group`` lie together; windows of one ``side`` of it are compared with those of the other (side 0 or 1),
+    or all with each other where the group has one side (2). Rows that are ``linked`` count as connected already. All
+    pairs are compared by how many different runs they have in common; a pair that has as many as the stretches of
+    ``width`` places with the fewest need is verified, unless its windows are connected by then.
+    """
+    n = len(bodies)
+    first = np.searchsorted(group, group, "left")
+    size = np.array([len(b) for b in bodies], np.int64)
+    row = np.repeat(np.arange(n), size)
+    flat = np.concatenate(bodies)
+    bits = np.zeros((n, 256), np.uint8)
+    code = mix(flat.astype(np.uint64)).astype(np.int64) & 2047
+    np.bitwise_or.at(bits, (row, code >> 3), (1 << (code & 7)).astype(np.uint8))
+    bits = bits.view(np.uint64)
+    fewest = _fewest(code, row, size, width) * (similarity / (1 + similarity))
+    before = np.arange(n) - first
+    ones, twos, scores = [], [], []
+    begin = 0
+    while begin < n:
+        stop = max(begin + 1, int(np.searchsorted(np.cumsum(before[begin:]), 100_000, "right")) + begin)
+        i = np.repeat(np.arange(begin, stop), before[begin:stop])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(before[begin:stop]) - before[begin:stop] - first[begin:stop], before[begin:stop])
+        use = ~(linked[i] & linked[j]) & (doc[i] != doc[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        i, j = i[use], j[use]
+        score = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        good = score >= fewest[i] + fewest[j] - 0.5  # k runs of a passage that share a bit with others take at most k / 9 off
+        ones.append(i[good])
+        twos.append(j[good])
+        scores.append(score[good])
+        begin = stop
+    i, j, score = (np.concatenate(x) for x in (ones, twos, scores))
+    order = np.argsort(-score, kind="stable")
+    i, j = i[order], j[order]
+    parent = np.arange(n)
+    some = np.flatnonzero(linked)
+    parent[some] = some[np.searchsorted(group[some], group[some], "left")]
+    out: list[tuple[int, int]] = []
+    turn = 0
+    while len(i):
+        own, other = parent[i], parent[j]
+        i, j, own = i[own != other], j[own != other], own[own != other]
+        # the most alike of each component first; what still fails is then tried in bulk
+        now = np.unique(own, return_index=True)[1] if turn < few else np.arange(min(len(i), 5_000))
+        turn += 1
+        if not len(now):
+            break
+        for k in sorted({x[0] for x in passages_between([bodies[x] for x in i[now]], [bodies[x] for x in j[now]], left[j[now]] - left[i[now]], width, similarity)}):
+            x, y = int(i[now[k]]), int(j[now[k]])
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(i[now[k]]), int(j[now[k]])))
+        parent = _roots(parent)
+        rest = np.ones(len(i), bool)
+        rest[now] = False
+        i, j = i[rest], j[rest]
+    return out
+
+
+def _links(width: int, similarity: float):
+    """Of windows in cells (sig, x, y, side, id, at, linked, body), sorted by cell: links (id, at, other, there), those of ``linked_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column("at"), np.int64)
-            rows, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, grams in enumerate(batch.column("grams")):
-                c = int(at[k]) >> 16
-                own = np.frombuffer(grams.as_buffer(), "<u4")[c - (int(at[k]) >> 8 & 255) : c + (int(at[k]) & 255)]
-                own = np.unique(own[mix(own.astype(np.uint64)) % np.uint64(sample) == 0]).astype(np.int64)
-                rows.append(np.full(len(own), k))
-                runs.append(own)
-            part = batch.select(["sig", "id", "at"]).take(pa.array(np.concatenate(rows)))
-            yield pa.record_batch([*part.columns, pa.array(np.concatenate(runs))], names=["sig", "id", "at", "run"])
+        for rows in _whole_groups(batches, ["sig", "x", "y"]):
+            sig, x, y, side, at = (np.asarray(rows.column(c), np.int64) for c in ("sig", "x", "y", "side", "at"))
+            group = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+            doc = np.asarray(rows.column("id").dictionary_encode().indices)
+            bodies = [np.frombuffer(b.as_buffer(), "<u2") for b in rows.column("body")]
+            linked = np.asarray(rows.column("linked").to_numpy(zero_copy_only=False), bool)
+            found = linked_pairs(bodies, at >> 8 & 255, doc, group, np.where(x == y, 2, side), linked, width, similarity)
+            one, two = (pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))
+            yield pa.record_batch([rows.column("id").take(one), rows.column("at").take(one), rows.column("id").take(two), rows.column("at").take(two)], names=["id", "at", "other", "there"])
 
     return tidied(run)
 
 
-def _split(rows: DataFrame, grams: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(windows with the first of those of their signature that share a run with them, windows with a finer signature).
+def _among(tagged: DataFrame, grams: DataFrame, kind: str, width: int, similarity: float, block: int) -> DataFrame:
+    """Links (id, at, other, there) among windows of one signature that the first window does not account for.
 
-    Only runs that some windows of a signature hold and others do not are taken: families that have no more in common
-    than a template share the runs of the template, which all hold, and each has runs of its own. A window meets the
-    first window of all its runs. Its finer signature is that of the rarest of them, so groups become smaller.
+    ``tagged`` has all windows of shared signatures and whether they lie in a passage of the first one. Where one does
+    not, the windows of its signature are compared with each other, but for equal ones (which are linked with the least
+    of them) and those that are both linked with the first. Over ``block`` different windows are dealt out over pairs
+    of blocks.
     """
-    uses = written(rows.groupBy("id").agg(F.count("*").alias("n")).join(grams, "id"), "unmet-grams")
-    with small_batches(rows.sparkSession, 2_000):
-        keyed = written(join_salted(rows, uses, ["id"], ["sig", "at"], bound=0).select("sig", "id", "at", "grams").mapInArrow(_runs(SAMPLE), f"sig long, id {kind}, at long, run long"), "runs")
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("all"))
-    groups = keyed.groupBy("sig", "run").agg(F.min(F.struct("id", "at")).alias("o"), F.max("id").alias("most"), F.count("*").alias("n")).join(sizes, "sig")
-    groups = written(groups.filter("o.id < most and n < all").select("sig", "run", F.col("o.id").alias("other"), F.col("o.at").alias("there"), "n", F.col("n").alias("size")), "splits")
-    met = written(join_salted(keyed, groups, ["sig", "run"], ["id", "at"], bound=0).filter("id <> other"), "split-met")
-    finer = met.groupBy("sig", "id", "at").agg(F.min(F.struct("size", "run")).alias("r")).select(F.xxhash64("sig", "r.run").alias("sig"), "id", "at")
-    return met.select("sig", "id", "at", "other", "there").distinct(), finer
-
-
-def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, passage: int = PASSAGE, hashes: int = HASHES, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    opened = written(tagged.groupBy("sig").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("n")).filter("open > 0").select("sig", "n"), "open")
+    pool = written(join_salted(tagged, opened, ["sig"], ["id", "at"]), "pool")
+    uses = written(pool.groupBy("id").agg(F.count("*").alias("n")).join(grams, "id"), "pool-grams")
+    with small_batches(tagged.sparkSession, 2_000):
+        pool = written(join_salted(pool, uses, ["id"], ["sig", "at"], bound=0).select("sig", "id", "at", "linked", "grams").mapInArrow(tidied(_bodies), f"sig long, id {kind}, at long, linked boolean, body binary"), "bodies")
+    pool = pool.withColumn("content", F.xxhash64("body", F.shiftright("at", 8).bitwiseAND(255)))
+    firsts = pool.groupBy("sig", "content").agg(F.min(F.struct(~F.col("linked"), "id", "at", "body")).alias("o"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("n"))
+    firsts = written(firsts.select("sig", "content", F.col("o.id").alias("id"), F.col("o.at").alias("at"), (F.col("open") < F.col("n")).alias("linked"), "open", "n", F.col("o.body").alias("body")), "contents")
+    equal = firsts.filter("open > 0 and n > 1").select("sig", "content", F.col("id").alias("other"), F.col("at").alias("there"), "n")
+    copies = join_salted(pool.filter("not linked").select("sig", "content", "id", "at"), equal, ["sig", "content"], ["id", "at"]).filter("id <> other").select("id", "at", "other", "there")
+    groups = written(firsts.groupBy("sig").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.sum("open").alias("open")).filter("n > 1 and open > 0").drop("open"), "blocks")
+    own = F.pmod(F.xxhash64("id", "at"), F.col("blocks")).cast("int")
+    dealt = join_salted(firsts.drop("n", "open", "content"), groups, ["sig"], ["id", "at"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "at", "linked", "body")
+    links = cells.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_links(width, similarity), f"id {kind}, at long, other {kind}, there long")
+    return copies.union(links)
+
+
+def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, passage: int = PASSAGE, hashes: int = HASHES, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Rows (id, first_word, end_word, other, other_first, other_end, similarity): passages that other documents hold too.
 
     A passage has at least ``passage`` words (up to 131 for the default ``n``); two are near-duplicates when the Jaccard
@@ -270,14 +387,15 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A signature also holds the least value of half a passage beside c by another hash, which a shared passage shares on
     one side or the other. Windows that share a signature are joined with the group's first window (least id, then
-    place), not with each other, so rows grow with the windows. The two windows, aligned at their least value, must
-    overlap by a passage; overlaps of all hashes that agree in document, partner and shift become one interval. The word
-    runs of both documents are then compared inside that interval: the reported passages and their similarity come from
-    the runs. Windows for which the first one gave no passage, because it holds less of it, meet the first among
-    themselves in the next round. After ``rounds`` of these, a signature that still holds windows without a passage is
-    split by runs that only some of them hold (``_split``), and its parts again, until nothing is left to split: so
-    however many families of passages share a template, each family meets. Signatures that many windows share, and
-    partners that many documents have, are dealt out over tasks.
+    place), so rows grow with the windows. The two windows, aligned at their least value, must overlap by a passage;
+    overlaps of all hashes that agree in document, partner and shift become one interval. The word runs of both
+    documents are then compared inside that interval: the reported passages and their similarity come from the runs.
+
+    Where windows of a signature lie in no passage of the first one, all its windows are compared with each other, unless
+    they are equal or both lie in passages of the first one (``linked_pairs``): so passages that are alike are connected
+    by rows, also where the first window holds none of them, a part of them, or is like one of them only. Rows are those
+    that connect them, not all pairs: documents that are like the same one need no row of their own. Signatures that many
+    windows share, and partners that many documents have, are dealt out over tasks.
 
     Null texts are empty; texts shorter than a passage give no rows; very long texts are windowed whole; a document is
     not compared with itself. Null ids give no rows. Rows that repeat an id count as one document. Ids may be of any
@@ -289,35 +407,31 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 1 < width < 128:
         raise ValueError("passages have 2 to 127 runs of words")
     rows = base.mapInArrow(_windows(n, width, hashes), f"sig long, id {kind}, at long")
-    grams, found, turn = None, [], 0
+    firsts = rows.groupBy("sig").agg(F.min(F.struct("id", "at")).alias("o"), F.max("id").alias("most"), F.count("*").alias("n"))
+    firsts = written(firsts.filter("o.id < most").select("sig", F.col("o.id").alias("other"), F.col("o.at").alias("there"), "n"), "firsts")
+    met = written(join_salted(rows, firsts, ["sig"], ["id", "at"], bound=0).select("sig", "id", "at", "other", "there"), "met")
+    ids = written(met.select("id").distinct(), "passage-ids")
+    grams = written(join_sized(base, ids, "id", "left_semi").mapInArrow(_grams(n), f"id {kind}, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "grams")
+    found = _compared(_intervals(met.filter("id <> other"), width), grams, kind, n, width, similarity)
+    # a window that lies in a passage of the first one is accounted for, others meet each other
+    spans = found.groupBy("id", "other", "shift").agg(F.collect_list(F.struct("first_word", "end_word")).alias("spans"))
+    c = F.shiftright("at", 16)
+    held = (F.col("id") == F.col("other")) & (F.col("at") == F.col("there")) | F.exists("spans", lambda x: (x["first_word"] <= c) & (c + n <= x["end_word"]))
+    tagged = met.withColumn("shift", (c - F.shiftright("there", 16)).cast("int")).join(spans, ["id", "other", "shift"], "left")
+    tagged = written(tagged.select("sig", "id", "at", F.coalesce(held, F.lit(False)).alias("linked")), "tagged")
+    links = _among(tagged, grams, kind, width, similarity, block)
+    swap = F.col("id") < F.col("other")
+    links = links.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("id", "other"), ("at", "there"), ("other", "id"), ("there", "at"))))
+    found = found.unionByName(_compared(_intervals(links, width), grams, kind, n, width, similarity))
+    return found.drop("shift").distinct().withColumnsRenamed({"id": id_col, "other": f"other_{id_col}"})
+
+
+def _intervals(met: DataFrame, width: int) -> DataFrame:
+    """Rows (id, other, shift, lo, hi): all windows of two documents that are aligned alike, of the places both windows hold."""
     left, right, c = (lambda x: F.shiftright(x, 8).bitwiseAND(255)), (lambda x: F.col(x).bitwiseAND(255)), (lambda x: F.shiftright(x, 16))
-    while True:
-        turn += 1
-        if turn <= rounds:
-            firsts = rows.groupBy("sig").agg(F.min(F.struct("id", "at")).alias("o"), F.max("id").alias("most"), F.count("*").alias("n"))
-            firsts = written(firsts.filter("o.id < most").select("sig", F.col("o.id").alias("other"), F.col("o.at").alias("there"), "n"), "firsts")
-            met, finer = join_salted(rows, firsts, ["sig"], ["id", "at"], bound=0).filter("id <> other"), None
-        else:
-            met, finer = _split(written(rows, "unmet"), grams, kind)
-        lo, hi = c("at") - F.least(left("at"), left("there")), c("at") + F.least(right("at"), right("there"))
-        met = written(met.select("sig", "id", "at", "other", (c("at") - c("there")).cast("int").alias("shift"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")), "met")
-        pairs = written(met.filter(F.col("hi") - F.col("lo") >= width).groupBy("id", "other", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "intervals")
-        if grams is None:
-            ids = written(met.select("id").union(met.select("other")).distinct(), "passage-ids")
-            grams = written(join_sized(base, ids, "id", "left_semi").mapInArrow(_grams(n), f"id {kind}, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "grams")
-        found.append(_compared(pairs, grams, kind, n, width, similarity))
-        if not met.take(1):
-            break
-        good = found[-1].select("id", "other", "shift").distinct()
-        if finer is None:
-            rows = met.join(good, ["id", "other", "shift"], "left_anti").select("sig", "id", "at")
-        else:
-            done = met.join(good, ["id", "other", "shift"], "left_semi").select("id", "at").distinct()
-            rows = finer.join(done, ["id", "at"], "left_anti")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.drop("shift").distinct().withColumnsRenamed({"id": id_col, "other": f"other_{id_col}"})
+    lo, hi = c("at") - F.least(left("at"), left("there")), c("at") + F.least(right("at"), right("there"))
+    both = met.select("id", "other", (c("at") - c("there")).cast("int").alias("shift"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return written(both.filter(F.col("hi") - F.col("lo") >= width).groupBy("id", "other", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "intervals")
 
 
 def _compared(pairs: DataFrame, grams: DataFrame, kind: str, n: int, width: int, similarity: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from bazaarlens.llm.substring_dedup import compact_windows, longest, near_passages, segments, sliding_least
+from bazaarlens.llm.substring_dedup import compact_windows, linked_pairs, longest, near_passages, passages_between, segments, sliding_least
 from bazaarlens.llm.words import shingles, word_hashes
 
 
@@ -171,3 +171,62 @@ def test_singletons_of_a_template_end_the_search(docs):
     template = [f"t{k}" for k in range(36)]
     texts = [" ".join([f"a{rng.randrange(10**7)}" for _ in range(30)] + template + [f"b{rng.randrange(10**7)}" for _ in range(30)]) for _ in range(60)]
     assert near_passages(docs(texts)).collect() == []
+
+
+def chains(rng, cases, length):
+    """Passages of 60 words, each with one word exchanged that those before it hold: neighbours have a similarity of 0.84, others have no passage in common."""
+    word = lambda: f"w{rng.randrange(10**7)}"
+    texts = []
+    for _ in range(cases):
+        passage = [word() for _ in range(60)]
+        for k in range(length):
+            if k:
+                passage[(20, 40, 30)[k % 3]] = word()
+            texts.append(" ".join([word() for _ in range(rng.randrange(5, 40))] + passage + [word() for _ in range(rng.randrange(5, 40))]))
+    return texts
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_chains_are_linked(docs, block):
+    """The first text is like the second only, which is like the third: a link with the first must not hide that."""
+    rows = near_passages(docs(chains(random.Random(6), 60, 3)), block=block).collect()
+    found = {(r.doc_id, r.other_doc_id) for r in rows}
+    near = {(k + 1, k) for k in range(0, 180, 3)} | {(k + 2, k + 1) for k in range(0, 180, 3)}
+    assert found <= near | {(k + 2, k) for k in range(0, 180, 3)}
+    assert len(found & near) >= 0.9 * len(near), len(found & near)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_linked_pairs_connect_what_brute_force_connects(seed):
+    """All pairs of windows of a group, one by one, give the same components as the pairs that were chosen."""
+    rng = np.random.default_rng(seed)
+    bodies, left, group = [], [], []
+    for g in range(25):
+        base = rng.integers(0, 60_000, 91)
+        for _ in range(rng.integers(1, 14)):
+            own = base.copy()
+            for at in rng.integers(0, 90, rng.integers(0, 3)):
+                own[at : at + 5] = rng.integers(0, 60_000, len(own[at : at + 5]))
+            if rng.random() < 0.2:
+                own = np.insert(np.delete(own, slice(20, 24)), 60, rng.integers(0, 60_000, 4))
+            lo, hi = rng.integers(0, 30), rng.integers(70, 92)
+            bodies.append(own[lo:hi].astype("<u2"))
+            left.append(45 - lo)
+            group.append(g)
+    left, group, doc = np.array(left), np.array(group), np.arange(len(group))
+    linked = rng.random(len(group)) < 0.2
+    classes = lambda pairs: _classes(len(group), pairs + [(a, b) for a in np.flatnonzero(linked).tolist() for b in np.flatnonzero(linked).tolist() if group[a] == group[b]])
+    every = [(i, j) for i in range(len(group)) for j in range(i) if group[i] == group[j]]
+    found = {x[0] for x in passages_between([bodies[i] for i, _ in every], [bodies[j] for _, j in every], np.array([left[j] - left[i] for i, j in every]), 46, 0.8)}
+    want = [p for k, p in enumerate(every) if k in found]
+    got = linked_pairs(bodies, left, doc, group, np.full(len(group), 2), linked, 46, 0.8)
+    assert set(got) <= set(want) and len(want) > len(got) > 20
+    assert classes(got) == classes(want)
+
+
+def _classes(n, pairs):
+    own = list(range(n))
+    for a, b in pairs:
+        one, two = own[a], own[b]
+        own = [one if x == two else x for x in own]
+    return {frozenset(k for k in range(n) if own[k] == x) for x in own}

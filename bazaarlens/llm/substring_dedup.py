@@ -224,13 +224,10 @@ def _verified(n: int, width: int, similarity: float):
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows with their documents' runs (sig, id, at, linked, grams): 16 bits of each run of the window instead of the document's runs."""
+    """Rows whose last column, body, has 32 bits of each run, with 16 bits of each."""
     for batch in batches:
-        at = np.asarray(batch.column("at"), np.int64)
-        lo = (at >> 16) - (at >> 8 & 255)
-        hi = (at >> 16) + (at & 255)
-        bodies = [np.frombuffer(g.as_buffer(), "<u2")[2 * a : 2 * b : 2].tobytes() for g, a, b in zip(batch.column("grams"), lo.tolist(), hi.tolist(), strict=True)]
-        yield pa.record_batch([*batch.select(["sig", "id", "at", "linked"]).columns, pa.array(bodies, pa.binary())], names=["sig", "id", "at", "linked", "body"])
+        bodies = [np.frombuffer(b.as_buffer(), "<u2")[::2].tobytes() for b in batch.column("body")]
+        yield pa.record_batch([*batch.columns[:-1], pa.array(bodies, pa.binary())], names=batch.schema.names)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +359,11 @@ def _among(tagged: DataFrame, grams: DataFrame, kind: str, width: int, similarit
     opened = written(tagged.groupBy("sig").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("n")).filter("open > 0").select("sig", "n"), "open")
     pool = written(join_salted(tagged, opened, ["sig"], ["id", "at"]), "pool")
     uses = written(pool.groupBy("id").agg(F.count("*").alias("n")).join(grams, "id"), "pool-grams")
-    with small_batches(tagged.sparkSession, 2_000):
-        pool = written(join_salted(pool, uses, ["id"], ["sig", "at"], bound=0).select("sig", "id", "at", "linked", "grams").mapInArrow(tidied(_bodies), f"sig long, id {kind}, at long, linked boolean, body binary"), "bodies")
-    pool = pool.withColumn("content", F.xxhash64("body", F.shiftright("at", 8).bitwiseAND(255)))
+    left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
+    body = F.substring("grams", ((F.shiftright("at", 16) - left) * 4 + 1).cast("int"), ((left + right) * 4).cast("int"))
+    pool = join_salted(pool, uses, ["id"], ["sig", "at"], bound=0).select("sig", "id", "at", "linked", body.alias("body"))
+    pool = written(pool.mapInArrow(tidied(_bodies), f"sig long, id {kind}, at long, linked boolean, body binary"), "bodies")
+    pool = pool.withColumn("content", F.xxhash64("body", left))
     firsts = pool.groupBy("sig", "content").agg(F.min(F.struct(~F.col("linked"), "id", "at", "body")).alias("o"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("n"))
     firsts = written(firsts.select("sig", "content", F.col("o.id").alias("id"), F.col("o.at").alias("at"), (F.col("open") < F.col("n")).alias("linked"), "open", "n", F.col("o.body").alias("body")), "contents")
     equal = firsts.filter("open > 0 and n > 1").select("sig", "content", F.col("id").alias("other"), F.col("at").alias("there"), "n")

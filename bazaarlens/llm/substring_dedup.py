@@ -151,6 +151,72 @@ def _alike(one: np.ndarray, two: np.ndarray) -> float:
     return both / (len(one) + len(two) - both)
 
 
+def _within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among ``some``."""
+    held = np.sort(some)
+    at = np.searchsorted(held, values)
+    return (held[np.minimum(at, len(held) - 1)] == values) if len(held) else np.zeros(len(values), bool)
+
+
+def _taken(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of stretches laid side by side, and the stretches' bounds in them."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1]), bounds
+
+
+def _main_segments(hit: np.ndarray, bounds: np.ndarray, width: int, cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of hits side by side: the first of each row's ``segments`` to be found (both 0 where there is none), and whether others may lie beside it."""
+    first, end = longest(hit, bounds, cost)
+    none = end - first < width
+    first[none] = end[none] = 0
+    hits = np.concatenate([[0], np.cumsum(hit)])
+    more = np.zeros(len(first), bool)
+    for lo, hi in ((bounds[:-1], bounds[:-1] + first), (bounds[:-1] + end, bounds[1:])):
+        more |= ~none & (hi - lo >= width) & ((hits[hi] - hits[lo]) * (1 + cost) >= width * cost)
+    return first, end, more
+
+
+def _moved(owns: list[np.ndarray], nears: list[np.ndarray], rows: list[int], width: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
+    """``passages_between`` of rows where words were put in or left out: stretches that own and near hold in any order.
+
+    All rows are compared side by side by their longest stretches; those where others may lie beside these follow one by one.
+    """
+    key = lambda some: np.concatenate([some[k].astype(np.uint64) | (np.uint64(k) << np.uint64(32)) for k in rows])
+    per_row = lambda keys: np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=rows[-1] + 1)
+    mine, yours = key(owns), key(nears)
+    at, there = (np.concatenate([[0], np.cumsum([len(some[k]) for k in rows])]) for some in (owns, nears))
+    held, back = _within(mine, yours), _within(yours, mine)
+    loose, strict = similarity / (1 - similarity), 2 * similarity / (1 - similarity)  # misses on one side count, or on both
+    # rows where those of either that the other holds lie too thin have no passage
+    todo = np.flatnonzero(np.logical_and(*(np.subtract(*longest(x, y, loose)[::-1]) >= width for x, y in ((held, at), (back, there)))))
+    out = []
+    for cost in (loose, strict):
+        if not len(todo):
+            break
+        places, bounds = _taken(at[todo], at[todo + 1] - at[todo])
+        a, b, single = _main_segments(held[places], bounds, width, cost)
+        by_one = todo[single]
+        now, a, b = (v[(b > a) & ~single] for v in (todo, a, b))
+        part, (places, bounds) = mine[_taken(at[now] + a, b - a)[0]], _taken(there[now], there[now + 1] - there[now])
+        x, y, single = _main_segments(_within(yours[places], part), bounds, width, cost)
+        by_one = np.concatenate([by_one, now[single]])
+        now, a, b, x, y = (v[(y > x) & ~single] for v in (now, a, b, x, y))
+        one, two = np.unique(mine[_taken(at[now] + a, b - a)[0]]), np.unique(yours[_taken(there[now] + x, y - x)[0]])
+        k = np.array(rows)[now]
+        both, any_of = per_row(one[_within(one, two)])[k], (per_row(one) + per_row(two))[k]
+        score = both / (any_of - both)
+        found = [v for v in zip(*(z.tolist() for z in (k, a, b, x, y, score)), strict=True) if v[5] >= similarity]
+        for n in by_one.tolist():
+            k = rows[n]
+            for a, b in segments(held[at[n] : at[n + 1]], width, cost):
+                for x, y in segments(np.isin(nears[k], owns[k][a:b]), width, cost):
+                    if (score := _alike(owns[k][a:b], nears[k][x:y])) >= similarity:
+                        found.append((k, a, b, x, y, score))
+        out += found
+        todo = todo[~np.isin(np.array(rows)[todo], [v[0] for v in found])]
+    return out
+
+
 def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
     """Stretches (row, a, b, x, y, similarity) of a row's own runs from a to b that its near ones hold from x to y.
 
@@ -165,7 +231,7 @@ def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: n
     inside = (place >= 0) & (place < far[row])
     hit = np.zeros(len(own), bool)
     hit[inside] = own[inside] == near[(np.cumsum(far) - far)[row[inside]] + place[inside]]
-    strict, loose = 2 * similarity / (1 - similarity), similarity / (1 - similarity)  # misses on both sides count, or on one
+    strict = 2 * similarity / (1 - similarity)  # misses on both sides count
     first, end = longest(hit, bounds, strict)
     hits = np.concatenate([[0], np.cumsum(hit)])
     out, rest = [], []
@@ -184,23 +250,7 @@ def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: n
         if not some:
             rest.append(k)
     if rest:
-        # which own runs occur anywhere in near, and the other way round; rows where those of either lie too thin have no passage
-        key = lambda some: np.concatenate([some[k].astype(np.uint64) | (np.uint64(k) << np.uint64(32)) for k in rest])
-        mine, yours = key(owns), key(nears)
-        held, back = np.isin(mine, yours), np.isin(yours, mine)
-        at, there = (np.concatenate([[0], np.cumsum(x[rest])]) for x in (size, far))
-        dense = np.logical_and(*(np.subtract(*longest(x, y, loose)[::-1]) >= width for x, y in ((held, at), (back, there))))
-        for n in np.flatnonzero(dense).tolist():
-            k, mine = rest[n], held[at[n] : at[n + 1]]
-            found = []
-            for cost in (loose, strict):
-                for a, b in segments(mine, width, cost):
-                    for x, y in segments(np.isin(nears[k], owns[k][a:b]), width, cost):
-                        if (score := _alike(owns[k][a:b], nears[k][x:y])) >= similarity:
-                            found.append((k, a, b, x, y, score))
-                if found:
-                    break
-            out += found
+        out += _moved(owns, nears, rest, width, similarity)
     return out
 
 

@@ -230,3 +230,46 @@ def _classes(n, pairs):
         one, two = own[a], own[b]
         own = [one if x == two else x for x in own]
     return {frozenset(k for k in range(n) if own[k] == x) for x in own}
+
+
+def one_by_one(owns, nears, width, similarity):
+    """Passages of rows where words were put in or left out, each row alone."""
+    strict, out = 2 * similarity / (1 - similarity), []
+    for k, (own, near) in enumerate(zip(owns, nears, strict=True)):
+        for cost in (strict / 2, strict):
+            found = []
+            for a, b in segments(np.isin(own, near), width, cost):
+                for x, y in segments(np.isin(near, own[a:b]), width, cost):
+                    one, two = set(own[a:b].tolist()), set(near[x:y].tolist())
+                    if (score := len(one & two) / len(one | two)) >= similarity:
+                        found.append((k, a, b, x, y, score))
+            if found:
+                break
+        out += found
+    return out
+
+
+@pytest.mark.parametrize("longest_row", [91, 400])
+def test_rows_with_words_put_in_are_compared_side_by_side(monkeypatch, longest_row):
+    from bazaarlens.llm import substring_dedup
+
+    rng = np.random.default_rng(longest_row)
+    owns, nears = [], []
+    for k in range(400):
+        own = rng.integers(0, 1 << 32, rng.integers(50, longest_row + 1)).astype("<u4")
+        near = own
+        for _ in range(rng.integers(1, 6)):
+            at, gone, put = rng.integers(0, len(near)), rng.integers(0, 30), rng.integers(1, 30)
+            near = np.concatenate([near[:at], rng.integers(0, 1 << 32, put).astype("<u4"), near[at + gone :]])[:longest_row]
+        if k % 9 == 0:
+            near = np.concatenate([near, near[: rng.integers(0, 30)]])
+        owns.append(own)
+        nears.append(near[:0] if k % 50 == 0 else near)
+    calls = []
+    monkeypatch.setattr(substring_dedup, "segments", lambda *a: calls.append(a) or segments(*a))
+    far = np.full(len(owns), 1000)  # nothing is aligned, so all rows are compared by what they hold anywhere
+    got = passages_between(owns, nears, far, 46, 0.8)
+    want = one_by_one(owns, nears, 46, 0.8)
+    assert sorted(got) == sorted(want) and len(want) > 20
+    # windows are too short for two passages side by side: none of their rows is gone through by itself
+    assert not calls if longest_row == 91 else len(calls) < len(owns) and len(want) > len({x[0] for x in want})

@@ -21,8 +21,8 @@ MAX_BITS, STRIDE, BLOCK_IDS = 16, 64, 1 << 16
 #: Ids of one file.
 SHARD_IDS = 32_000_000
 END_ID = 2
-#: Texts are tokenised in blocks of about so many bytes, each distinct stretch of a block once.
-TOKEN_BLOCK = 12_000_000
+#: Texts are tokenised in blocks of about so many bytes; beyond so many bytes of pieces and their ids, those of the last block alone are kept.
+TOKEN_BLOCK, KEPT = 12_000_000, 40_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -113,7 +113,11 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}|^\\s|\\s$|^$|[\\t\\r\u000b\u000c\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Stretches that do not follow each other in one call: empty ones, with a blank inside, or with white space at an end.
 _WILD = "^$| |^[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]$|^\u000b"
+#: Letters, then signs, then letters and signs of a next line: tokens of the pre-tokenizer start at each of the four (and a line end is one).
+_PIECES = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ſ]+)(?P<signs>[!-/:-@\\[-`{-~]*)(?:(?P<next>\n[A-Za-zÀ-ÖØ-öø-ſ]+)(?P<more>[!-/:-@\\[-`{-~]*))?$"
 _held: dict[str, tuple] = {}
+#: By tokenizer: pieces, the first place and number of each one's ids, and all ids in a row.
+_known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def _encoder(path: str):
@@ -135,22 +139,65 @@ def _ids_of(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _together(tokenizer, size: np.ndarray, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of stretches, each with a blank before it, in a row, and their bounds: many in one call, cut by their bytes."""
-    words = stretches.to_pylist()
-    ids = _ids_of(tokenizer, [" " + " ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+def _together(tokenizer, size: np.ndarray, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces, each with a blank or a line end before it, in a row, and their bounds: many in one call, cut by their bytes."""
+    words = pieces.to_pylist()
+    ids = _ids_of(tokenizer, ["".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
     flat = np.concatenate([np.zeros(0, "<u4"), *ids])
-    ends = np.cumsum(np.asarray(pc.binary_length(stretches), np.int64) + 1)
+    ends = np.cumsum(np.asarray(pc.binary_length(pieces), np.int64))
     return flat, np.concatenate([[0], np.searchsorted(np.cumsum(size[flat]), ends, "right")])
 
 
+def _spread(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``flat`` side by side, and their ends."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+def _looked_up(path: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place and number of the ids of each of these distinct pieces, and the ids: only those that this worker does not know yet are encoded."""
+    tokenizer, size, _ = _encoder(path)
+    pieces = pieces.cast(pa.string())
+    known, first, n, flat = _known.get(path) or (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+    where = np.array(pc.fill_null(pc.index_in(pieces, value_set=known), -1), np.int64)
+    led = np.asarray(pc.match_substring_regex(pieces, "^[ \n]"), bool)
+    led, bare = np.flatnonzero((where < 0) & led), np.flatnonzero((where < 0) & ~led)
+    ids, at = _together(tokenizer, size, pieces.take(pa.array(led)))
+    alone = _ids_of(tokenizer, pieces.take(pa.array(bare)).to_pylist())
+    new = np.concatenate([led, bare])
+    where[new] = len(known) + np.arange(len(new))
+    known, flat = pa.concat_arrays([known, pieces.take(pa.array(new))]), np.concatenate([flat, ids, *alone])
+    n = np.concatenate([n, np.diff(at), [len(x) for x in alone]]).astype(np.int64)
+    first = np.cumsum(n) - n
+    if known.nbytes + flat.nbytes + 16 * len(n) > KEPT:  # those of this block stay
+        flat, ends = _spread(flat, first[where], n[where])
+        known, n, where = pieces, n[where], np.arange(len(pieces))
+        first = ends - n
+    _known[path] = (known, first, n, flat)
+    return first[where], n[where], flat
+
+
+def _pieced(path: str, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of stretches, each with a blank before it, in a row, and their bounds; those of the form ``_PIECES`` are put together of their pieces."""
+    found = pc.extract_regex(stretches, _PIECES)
+    fits = found.is_valid()
+    part = lambda name: pc.if_else(fits, pc.struct_field(found, name), "")
+    lead = pc.binary_join_element_wise("", pc.if_else(fits, part("word"), stretches), " ")
+    coded = pa.concat_arrays([lead, part("signs"), part("next"), part("more")]).dictionary_encode()
+    first, n, flat = _looked_up(path, coded.dictionary)
+    number = np.asarray(coded.indices, np.int64).reshape(4, -1).T.ravel()
+    ids, ends = _spread(flat, first[number], n[number])
+    return ids, np.concatenate([[0], ends[3::4]])
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The tokenizer's ids of whole texts in a row, as by encoding each text alone, and the texts' bounds in them.
 
     The pre-tokenizer always starts a new token at a single blank between two other characters, so texts are cut
-    there, and each distinct stretch is encoded once. Texts that hold a special token go whole.
+    there, and each distinct stretch is put together once, of pieces whose ids a worker keeps from block to block.
+    Texts that hold a special token go whole.
     """
-    tokenizer, size, special = _encoder(path)
+    tokenizer, _, special = _encoder(path)
     if special and pc.any(whole := pc.match_substring_regex(texts, special)).as_py():
         flat, at = token_ids(texts.filter(pc.invert(whole)), path)
         plain = iter(flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
@@ -172,7 +219,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     used = np.zeros(len(words), bool)
     used[number[inner]] = True
     tame = used & ~np.asarray(pc.match_substring_regex(words, _WILD), bool) if len(words) else used
-    flat, at = _together(tokenizer, size, words.filter(pa.array(tame)))
+    flat, at = _pieced(path, words.filter(pa.array(tame)))
     wild = np.flatnonzero(used & ~tame)
     alone = _ids_of(tokenizer, [" " + w for w in words.take(pa.array(wild)).to_pylist()] + words.take(pa.array(number[heads])).to_pylist())
     length = np.array([len(x) for x in alone], np.int64)
@@ -183,8 +230,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     start[wild], n[wild] = begin[: len(wild)], length[: len(wild)]
     first, own = start[number], n[number]
     first[heads], own[heads] = begin[len(wild) :], length[len(wild) :]
-    ends = np.cumsum(own)
-    ids = flat[np.repeat(first - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    ids, ends = _spread(flat, first, own)
     return ids, np.concatenate([[0], ends])[bounds]
 
 

@@ -25,6 +25,29 @@ def test_stretches_give_the_ids_of_whole_texts(sample):
         assert ids[at[k] : at[k + 1]].tolist() == encode(text), text
 
 
+@pytest.mark.parametrize("kept", [0, 40, 10**6])
+def test_pieces_are_encoded_once_a_worker(monkeypatch, kept):
+    """Ids as by encoding each text alone, whatever is kept; what is kept is not encoded again, nor is a word with other signs behind it."""
+    monkeypatch.setattr(tf, "KEPT", kept, raising=False)
+    words = ["a", "it's", "Straße", "don't", "x1", "été", "É", "'", "can", "ſo", "I'll", "日本", "a\nb", "a.\n\nb", "a\n", "re", "s", "'s", "ǅ", "×"]
+    signs = ["", ".", "',", "'\n", "...", "\nSo", ".\nSo!", "'\n's", "\n's", "\u00a0", "$$$", "-", "1", "_\nd_", "\n", "'s", "!\nre'"]
+    texts = [" ".join(["so"] + [w + s for w in words[k:] + words[:k] for s in signs]) for k in range(4)]
+    encode = direct()
+    for part in (texts[:1], texts, ODD, texts + ODD):
+        ids, at = tf.token_ids(pa.array(part), PATH)
+        for k, text in enumerate(part):
+            assert ids[at[k] : at[k + 1]].tolist() == encode(text), text
+    fresh = [f"piece{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    one = pa.array([" ".join(["so", *fresh])])
+    two = pa.array([" ".join(["so", *(w + "!" for w in fresh), *(w + ".\nso" for w in fresh)])])
+    tf.token_ids(one, PATH)
+    sent, real = [], tf._ids_of
+    monkeypatch.setattr(tf, "_ids_of", lambda tokenizer, some: sent.extend(some) or real(tokenizer, some))
+    ids, _ = tf.token_ids(two, PATH)
+    assert ids.tolist() == encode(two[0].as_py())
+    assert sum(map(len, sent)) < (200 if kept > 40 else 10_000)
+
+
 @pytest.mark.parametrize("n,bits", [(1, 16), (2, 16), (3, 2), (300, 9), (50_000, 16)])
 def test_code_lengths_and_round_trip(n, bits):
     rng = np.random.default_rng(n)

@@ -16,6 +16,8 @@ from bazaarlens.llm.words import blocks, mix, seeds, shingles, tidied, word_hash
 WORDS, PASSAGE, HASHES, SIMILARITY = 5, 50, 2, 0.8
 #: Different windows of one signature in a block; larger groups are dealt out over pairs of blocks.
 BLOCK = 512
+#: Windows of a group from which on they are compared by a product of matrices, not pair by pair.
+LARGE = 32
 _LOW = np.uint64(0xFFFF)
 
 
@@ -164,6 +166,29 @@ def _taken(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1]), bounds
 
 
+def _segments_of(hit: np.ndarray, bounds: np.ndarray, width: int, cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``segments`` (row, a, b) of rows of hits side by side: the longest of all rows at once, then those beside them."""
+    hits = np.concatenate([[0], np.cumsum(hit)])
+    row, lo, hi = np.arange(len(bounds) - 1), bounds[:-1], bounds[1:]
+    out = []
+    while len(row):
+        may = (hi - lo >= width) & ((hits[hi] - hits[lo]) * (1 + cost) >= width * cost)
+        row, lo, hi = row[may], lo[may], hi[may]
+        places, at = _taken(lo, hi - lo)
+        dense = _dense(hit[places], at, width, cost)
+        row, lo, hi = row[dense], lo[dense], hi[dense]
+        places, at = _taken(lo, hi - lo)
+        a, b = longest(hit[places], at, cost)
+        good = b - a >= width
+        row, lo, hi, a, b = row[good], lo[good], hi[good], a[good], b[good]
+        out.append((row, lo + a, lo + b))
+        row, lo, hi = np.concatenate([row, row]), np.concatenate([lo, lo + b]), np.concatenate([lo + a, hi])
+    row, a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    return row, a - bounds[row], b - bounds[row]
+
+
 def _main_segments(hit: np.ndarray, bounds: np.ndarray, width: int, cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of hits side by side: the first of each row's ``segments`` to be found (both 0 where there is none), and whether others may lie beside it."""
     first, end = longest(hit, bounds, cost)
@@ -176,19 +201,57 @@ def _main_segments(hit: np.ndarray, bounds: np.ndarray, width: int, cost: float)
     return first, end, more
 
 
+def _side_by_side(some: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``rows`` in a row, and the rows' bounds in them."""
+    return np.concatenate([some[k] for k in rows]), np.concatenate([[0], np.cumsum([len(some[k]) for k in rows])])
+
+
+def _dense(hit: np.ndarray, bounds: np.ndarray, width: int, cost: float) -> np.ndarray:
+    """Of which rows of hits side by side the ``longest`` stretch has at least ``width`` places."""
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n)
+    down = row * (2.0 * n.max(initial=0) + 1)  # each row lies below all before it
+    run = np.concatenate([[0], np.cumsum(np.where(hit, 1.0, -cost))])
+    lows = np.minimum.accumulate(np.where(hit, run[:-1] - down, np.inf))
+    last = np.flatnonzero(hit & (np.arange(len(row)) - bounds[row] >= width - 1))
+    out = np.zeros(len(n), bool)
+    out[row[last[lows[last - width + 1] <= (run[1:] - down)[last] + 1e-6]]] = True
+    return out
+
+
+def _may_hold(owns: list[np.ndarray], nears: list[np.ndarray], rows: list[int], width: int, cost: float) -> list[int]:
+    """Rows of which own and near may each have a stretch of at least ``width`` places with ``cost`` values that the other holds for each that it does not.
+
+    Values are told apart by their low bits only, so stretches may be seen where there are none, but none is left out.
+    """
+    (mine, at), (yours, there) = _side_by_side(owns, rows), _side_by_side(nears, rows)
+    size, far = np.diff(at), np.diff(there)
+    slots = np.left_shift(1, np.ceil(np.log2(np.maximum(np.maximum(size, far), 1) * 32)).astype(np.int64))
+    begin = np.cumsum(slots) - slots
+    one, two = (np.repeat(begin, n) + (some & np.repeat(slots - 1, n)) for some, n in ((mine, size), (yours, far)))
+    held = []
+    for some, other in ((one, two), (two, one)):
+        table = np.zeros(int(slots.sum()), bool)
+        table[other] = True
+        held.append(table[some])
+    return np.array(rows)[_dense(held[0], at, width, cost) & _dense(held[1], there, width, cost)].tolist()
+
+
 def _moved(owns: list[np.ndarray], nears: list[np.ndarray], rows: list[int], width: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
     """``passages_between`` of rows where words were put in or left out: stretches that own and near hold in any order.
 
     All rows are compared side by side by their longest stretches; those where others may lie beside these follow one by one.
     """
-    key = lambda some: np.concatenate([some[k].astype(np.uint64) | (np.uint64(k) << np.uint64(32)) for k in rows])
+    loose, strict = similarity / (1 - similarity), 2 * similarity / (1 - similarity)  # misses on one side count, or on both
+    rows = _may_hold(owns, nears, rows, width, loose)
+    if not rows:
+        return []
     per_row = lambda keys: np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=rows[-1] + 1)
-    mine, yours = key(owns), key(nears)
-    at, there = (np.concatenate([[0], np.cumsum([len(some[k]) for k in rows])]) for some in (owns, nears))
+    (mine, at), (yours, there) = _side_by_side(owns, rows), _side_by_side(nears, rows)
+    mine, yours = (some.astype(np.uint64) | np.repeat(np.array(rows, np.uint64) << np.uint64(32), np.diff(bounds)) for some, bounds in ((mine, at), (yours, there)))
     held, back = _within(mine, yours), _within(yours, mine)
-    loose, strict = similarity / (1 - similarity), 2 * similarity / (1 - similarity)  # misses on one side count, or on both
     # rows where those of either that the other holds lie too thin have no passage
-    todo = np.flatnonzero(np.logical_and(*(np.subtract(*longest(x, y, loose)[::-1]) >= width for x, y in ((held, at), (back, there)))))
+    todo = np.flatnonzero(_dense(held, at, width, loose) & _dense(back, there, width, loose))
     out = []
     for cost in (loose, strict):
         if not len(todo):
@@ -220,8 +283,8 @@ def _moved(owns: list[np.ndarray], nears: list[np.ndarray], rows: list[int], wid
 def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
     """Stretches (row, a, b, x, y, similarity) of a row's own runs from a to b that its near ones hold from x to y.
 
-    Own's first place is aligned with near's place ``aligned``. All rows are compared side by side, place by place;
-    what is left over beside a row's longest passage, and rows where words were put in or left out, follow one by one.
+    Own's first place is aligned with near's place ``aligned``. All rows are compared side by side, place by place, and
+    those where words were put in or left out then by what they hold anywhere (``_moved``).
     """
     size, far = np.array([len(x) for x in owns], np.int64), np.array([len(x) for x in nears], np.int64)
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -232,23 +295,17 @@ def passages_between(owns: list[np.ndarray], nears: list[np.ndarray], aligned: n
     hit = np.zeros(len(own), bool)
     hit[inside] = own[inside] == near[(np.cumsum(far) - far)[row[inside]] + place[inside]]
     strict = 2 * similarity / (1 - similarity)  # misses on both sides count
-    first, end = longest(hit, bounds, strict)
     hits = np.concatenate([[0], np.cumsum(hit)])
-    out, rest = [], []
-    for k, (a, b) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
-        spans, begin, shift = [], int(bounds[k]), int(aligned[k])
-        if b - a >= width:
-            spans = [(a, b)]
-            for lo, hi in ((0, a), (b, int(size[k]))):
-                spans += [(lo + x, lo + y) for x, y in segments(hit[begin + lo : begin + hi], width, strict)]
-        some = False
-        for a, b in spans:
-            score = 1.0 if hits[begin + b] - hits[begin + a] == b - a else _alike(owns[k][a:b], nears[k][a + shift : b + shift])
-            if score >= similarity:
-                some = True
-                out.append((k, a, b, a + shift, b + shift, score))
-        if not some:
-            rest.append(k)
+    k, a, b = _segments_of(hit, bounds, width, strict)
+    full = hits[bounds[k] + b] - hits[bounds[k] + a] == b - a
+    out = []
+    for k, a, b, same, shift in zip(*(x.tolist() for x in (k, a, b, full, aligned[k])), strict=True):
+        score = 1.0 if same else _alike(owns[k][a:b], nears[k][a + shift : b + shift])
+        if score >= similarity:
+            out.append((k, a, b, a + shift, b + shift, score))
+    some = np.zeros(len(size), bool)
+    some[[x[0] for x in out]] = True
+    rest = np.flatnonzero(~some).tolist()
     if rest:
         out += _moved(owns, nears, rest, width, similarity)
     return out
@@ -262,7 +319,7 @@ def _verified(n: int, width: int, similarity: float):
             if not len(batch):
                 continue
             shift, lo, base = (np.asarray(batch.column(c), np.int64) for c in ("shift", "lo", "base"))
-            owns, nears = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in ("own", "near"))
+            owns, nears = (_arrays(batch.column(c), "<u4") for c in ("own", "near"))
             found = passages_between(owns, nears, lo - shift - base, width, similarity)
             if found:
                 k, a, b, x, y, score = (np.array(c) for c in zip(*found, strict=True))
@@ -273,10 +330,21 @@ def _verified(n: int, width: int, similarity: float):
     return tidied(run)
 
 
+def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The values of a binary column without nulls as arrays over its own memory."""
+    if not len(column):
+        return []
+    _, at, data = column.buffers()
+    ends = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[ends[0] : ends[-1]].view(kind)
+    ends = ((ends - ends[0]) // np.dtype(kind).itemsize).tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose last column, body, has 32 bits of each run, with 16 bits of each."""
     for batch in batches:
-        bodies = [np.frombuffer(b.as_buffer(), "<u2")[::2].tobytes() for b in batch.column("body")]
+        bodies = [b[::2].tobytes() for b in _arrays(batch.column("body"), "<u2")]
         yield pa.record_batch([*batch.columns[:-1], pa.array(bodies, pa.binary())], names=batch.schema.names)
 
 
@@ -303,17 +371,48 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 
 
 def _fewest(flat: np.ndarray, row: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Of rows of values side by side: the least number of different values in any ``width`` places of a row."""
+    """Of rows of values (below 2048) side by side: the least number of different values in any ``width`` places of a row."""
     place = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
-    order = np.lexsort((place, flat, row))
+    columns = int(size.max()) + 1
+    order = np.sort((row * 2048 + flat) * columns + place)  # by row, value and place
+    same = np.flatnonzero(order[1:] // columns == order[:-1] // columns)
     last = np.full(len(flat), -1)
-    same = (flat[order][1:] == flat[order][:-1]) & (row[order][1:] == row[order][:-1])
-    last[order[1:][same]] = place[order[:-1][same]]
-    step = np.zeros((len(size), int(size.max()) + 1), np.int64)  # a value counts where a stretch starts behind its last place before
-    np.add.at(step, (row, np.maximum(last + 1, place - width + 1).clip(0)), 1)
-    np.add.at(step, (row, place + 1), -1)
-    start = np.arange(step.shape[1])
-    return np.where(start <= size[:, None] - width, np.cumsum(step, 1), 1 << 30).min(1)
+    last[(np.cumsum(size) - size)[order[same] // (columns * 2048)] + order[same + 1] % columns] = order[same] % columns
+    # a value counts where a stretch starts behind its last place before
+    count = lambda at: np.bincount(row * columns + at, minlength=len(size) * columns)
+    step = (count(np.maximum(last + 1, place - width + 1).clip(0)) - count(place + 1)).reshape(len(size), columns)
+    return np.where(np.arange(columns) <= size[:, None] - width, np.cumsum(step, 1), 1 << 30).min(1)
+
+
+def _pairs_in_small(code: np.ndarray, row: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, codes in common) of each row i with all rows from the ``first`` of its group up to it, pair by pair."""
+    n = len(first)
+    bits = np.zeros((n, 256), np.uint8)
+    np.bitwise_or.at(bits, (row, code >> 3), (1 << (code & 7)).astype(np.uint8))
+    bits = bits.view(np.uint64)
+    before = np.arange(n) - first
+    begin = 0
+    while begin < n:
+        stop = max(begin + 1, int(np.searchsorted(np.cumsum(before[begin:]), 100_000, "right")) + begin)
+        i = np.repeat(np.arange(begin, stop), before[begin:stop])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(before[begin:stop]) - before[begin:stop] - first[begin:stop], before[begin:stop])
+        yield i, j, np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        begin = stop
+
+
+def _pairs_in_large(code: np.ndarray, row: np.ndarray, side: np.ndarray, fewest: np.ndarray, chunk: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, codes in common) of the rows of one group with enough codes in common, by products of matrices; those of one side with the other only, where it has two."""
+    held = np.zeros((len(side), 2048), np.float32)
+    held[row, code] = 1
+    whole = bool(side[0] == 2)
+    ones, twos = (np.flatnonzero(side == k) for k in ((2, 2) if whole else (1, 0)))
+    others = held[twos].T
+    for begin in range(0, len(ones), chunk):
+        i = ones[begin : begin + chunk]
+        j = twos[: begin + len(i)] if whole else twos
+        score = held[i] @ others[:, : len(j)]
+        x, y = np.nonzero((score >= fewest[i][:, None] + (fewest[j] - 0.5)) & ((j < i[:, None]) | (not whole)))
+        yield np.maximum(i[x], j[y]), np.minimum(i[x], j[y]), score[x, y].astype(np.int64)
 
 
 def linked_pairs(bodies: list[np.ndarray], left: np.ndarray, doc: np.ndarray, group: np.ndarray, side: np.ndarray, linked: np.ndarray, width: int, similarity: float, few: int = 4) -> list[tuple[int, int]]:
@@ -328,29 +427,31 @@ def linked_pairs(bodies: list[np.ndarray], left: np.ndarray, doc: np.ndarray, gr
     first = np.searchsorted(group, group, "left")
     size = np.array([len(b) for b in bodies], np.int64)
     row = np.repeat(np.arange(n), size)
-    flat = np.concatenate(bodies)
-    bits = np.zeros((n, 256), np.uint8)
-    code = mix(flat.astype(np.uint64)).astype(np.int64) & 2047
-    np.bitwise_or.at(bits, (row, code >> 3), (1 << (code & 7)).astype(np.uint8))
-    bits = bits.view(np.uint64)
+    code = mix(np.concatenate(bodies).astype(np.uint64)).astype(np.int64) & 2047
     fewest = _fewest(code, row, size, width) * (similarity / (1 + similarity))
-    before = np.arange(n) - first
     ones, twos, scores = [], [], []
-    begin = 0
-    while begin < n:
-        stop = max(begin + 1, int(np.searchsorted(np.cumsum(before[begin:]), 100_000, "right")) + begin)
-        i = np.repeat(np.arange(begin, stop), before[begin:stop])
-        j = np.arange(len(i)) - np.repeat(np.cumsum(before[begin:stop]) - before[begin:stop] - first[begin:stop], before[begin:stop])
+
+    def add(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
         use = ~(linked[i] & linked[j]) & (doc[i] != doc[j]) & ((side[i] == 2) | (side[i] != side[j]))
-        i, j = i[use], j[use]
-        score = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
-        good = score >= fewest[i] + fewest[j] - 0.5  # k runs of a passage that share a bit with others take at most k / 9 off
-        ones.append(i[good])
-        twos.append(j[good])
-        scores.append(score[good])
-        begin = stop
+        use &= score >= fewest[i] + fewest[j] - 0.5  # k runs of a passage that share a bit with others take at most k / 9 off
+        ones.append(i[use])
+        twos.append(j[use])
+        scores.append(score[use])
+
+    at = np.concatenate([[0], np.cumsum(size)])
+    lead = np.flatnonzero(first == np.arange(n))
+    count = np.diff(np.append(lead, n))
+    for begin, stop in zip(lead[count >= LARGE], (lead + count)[count >= LARGE]):
+        own = slice(at[begin], at[stop])
+        for i, j, score in _pairs_in_large(code[own], row[own] - begin, side[begin:stop], fewest[begin:stop]):
+            add(i + begin, j + begin, score)
+    some = np.flatnonzero(np.repeat(count < LARGE, count))
+    if len(some):
+        own = np.repeat(np.repeat(count < LARGE, count), size)
+        for i, j, score in _pairs_in_small(code[own], np.repeat(np.arange(len(some)), size[some]), np.searchsorted(group[some], group[some], "left")):
+            add(some[i], some[j], score)
     i, j, score = (np.concatenate(x) for x in (ones, twos, scores))
-    order = np.argsort(-score, kind="stable")
+    order = np.lexsort((j, i, -score))
     i, j = i[order], j[order]
     parent = np.arange(n)
     some = np.flatnonzero(linked)
@@ -389,7 +490,7 @@ def _links(width: int, similarity: float):
             sig, x, y, side, at = (np.asarray(rows.column(c), np.int64) for c in ("sig", "x", "y", "side", "at"))
             group = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
             doc = np.asarray(rows.column("id").dictionary_encode().indices)
-            bodies = [np.frombuffer(b.as_buffer(), "<u2") for b in rows.column("body")]
+            bodies = _arrays(rows.column("body"), "<u2")
             linked = np.asarray(rows.column("linked").to_numpy(zero_copy_only=False), bool)
             found = linked_pairs(bodies, at >> 8 & 255, doc, group, np.where(x == y, 2, side), linked, width, similarity)
             one, two = (pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))

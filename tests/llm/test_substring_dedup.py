@@ -273,3 +273,58 @@ def test_rows_with_words_put_in_are_compared_side_by_side(monkeypatch, longest_r
     assert sorted(got) == sorted(want) and len(want) > 20
     # windows are too short for two passages side by side: none of their rows is gone through by itself
     assert not calls if longest_row == 91 else len(calls) < len(owns) and len(want) > len({x[0] for x in want})
+
+
+def test_dense_rows_and_segments_of_many_rows():
+    """Side by side, rows give what ``longest`` and ``segments`` give for each of them."""
+    from bazaarlens.llm.substring_dedup import _dense, _segments_of
+
+    rng = np.random.default_rng(3)
+    for width, cost in ((2, 1), (5, 4), (20, 8), (46, 4), (46, 8)):
+        for part in (0.3, 0.6, 0.9, 1.0):
+            bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 120, 60))])
+            hit = rng.random(bounds[-1]) < part
+            first, end = longest(hit, bounds, cost)
+            assert _dense(hit, bounds, width, cost).tolist() == (end - first >= width).tolist()
+            want = [(k, a, b) for k in range(60) for a, b in segments(hit[bounds[k] : bounds[k + 1]], width, cost)]
+            assert list(zip(*(x.tolist() for x in _segments_of(hit, bounds, width, cost)))) == want
+    assert all(len(x) == 0 for x in _segments_of(np.zeros(0, bool), np.zeros(1, np.int64), 46, 8))
+
+
+def test_several_passages_of_aligned_rows_are_found_side_by_side(monkeypatch):
+    """Rows with two passages in place are not gone through one by one."""
+    from bazaarlens.llm import substring_dedup
+
+    rng = np.random.default_rng(7)
+    owns = [rng.integers(0, 1 << 32, 200).astype("<u4") for _ in range(50)]
+    nears = [np.concatenate([own[:60], rng.integers(0, 1 << 32, 70).astype("<u4"), own[130:]]) for own in owns]
+    monkeypatch.setattr(substring_dedup, "segments", None)
+    got = passages_between(owns, nears, np.zeros(50, np.int64), 46, 0.8)
+    assert got == [(k, a, b, a, b, 1.0) for k in range(50) for a, b in ((0, 60), (130, 200))]
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_large_groups_are_compared_by_products_of_matrices(monkeypatch, sides):
+    """Windows around a template have the same pairs by a product of matrices as pair by pair, and those with too little in common are never sorted."""
+    from bazaarlens.llm import substring_dedup
+
+    rng = np.random.default_rng(9)
+    template, bodies = rng.integers(0, 60_000, 36), []
+    for _ in range(60):
+        left, right = rng.integers(0, 60_000, 24), rng.integers(0, 60_000, 24)
+        for _ in range(2):
+            own = np.concatenate([left, template, right])
+            own[rng.integers(0, 84)] = rng.integers(0, 60_000)
+            bodies.append(own.astype("<u2"))
+    n = len(bodies)
+    side = rng.permutation(n) % 2 if sides else np.full(n, 2)
+    tried, small = [], substring_dedup._pairs_in_small
+    monkeypatch.setattr(substring_dedup, "_within", lambda values, some, f=substring_dedup._within: tried.append(len(values)) or f(values, some))
+    monkeypatch.setattr(substring_dedup, "_pairs_in_small", None)
+    run = lambda: linked_pairs(bodies, np.full(n, 42), np.arange(n), np.zeros(n, np.int64), side, np.zeros(n, bool), 46, 0.8)
+    got = run()
+    assert sorted(got) == [(k + 1, k) for k in range(0, n, 2) if not sides or side[k] != side[k + 1]]
+    assert sum(tried) < 84 * n  # of n^2 / 2 pairs
+    monkeypatch.setattr(substring_dedup, "_pairs_in_small", small)
+    monkeypatch.setattr(substring_dedup, "LARGE", n + 1)
+    assert run() == got

@@ -135,3 +135,69 @@ def test_blocks_without_clusters_are_not_pruned(spark, monkeypatch):
     got = sorted((r.query_id, r.rank, r.listing_id) for r in near.collect())
     assert got == sorted((r.query_id, r.rank, r.listing_id) for r in knn.knn(asked, rows, 5, (), (), chunk=100).collect()) and len(got) == 100
     assert pairs.count() == 4 and pairs.filter("not compared").count() == 0
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (store.stageList(None, False, False, none, None).apply(i) for i in range(store.stageList(None, False, False, none, None).size()))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for s, n in stages().items() if s not in before)
+
+
+def test_shuffles_do_not_grow_with_the_pairs_of_chunks(spark):
+    """3,000 different vectors in 150 chunks: each row used to be shuffled for every chunk of the other side, 20.8 MB here."""
+    rng = np.random.default_rng(4)
+    rows = kept(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)).astype(np.float32))], "listing_id long, embedding array<float>"))
+    got = {}
+    run = lambda: got.update(rows=knn.knn(rows, rows, 3, (), (), chunk=20).collect())
+    assert shuffled(spark, run) < 10_000_000
+    v = np.array([r.embedding for r in rows.orderBy("listing_id").collect()], np.float64)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    sim = np.floor(v @ v.T * 1e9 + 0.5) / 1e9
+    np.fill_diagonal(sim, -2)
+    for r in got["rows"]:
+        assert r.listing_id == np.lexsort((np.arange(3000), -sim[r.query_id]))[r.rank - 1]
+    assert len(got["rows"]) == 9000
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_equal_vectors_are_compared_once(spark, monkeypatch, same_hash):
+    """Classes of equal vectors and keys have one list, and each query leaves itself out of it; vectors of one hash stay apart."""
+    if same_hash:
+        monkeypatch.setattr(knn, "_hash", lambda: F.lit(1).cast("long"))
+    rng = random.Random(5)
+    rows = [(i, v.tolist(), rng.choice([None, "a"]), None, rng.choice([None, "x"]), None, None, None) for i, v in enumerate(vectors("ties", 300))]
+    pool = kept(spark.createDataFrame(rows, ROWS))
+    got = sorted((r.query_id, r["rank"], r.listing_id) for r in knn.knn(pool, pool, 9, ("category",), chunk=20, keep=kept).collect())
+    want, seen = [], {}
+    for query, i, _ in brute(rows, rows, 9):
+        seen[query] = seen.get(query, 0) + 1
+        want.append((query, seen[query], i))
+    assert got == sorted(want)
+    asked, near, _ = knn.knn_lists(pool, pool, kept, 9, ("category",))
+    assert asked.count() == 300 and near.count() <= 20 and max(len(r.near) for r in near.collect()) == 10
+
+
+def test_a_vector_without_length_has_no_neighbours(spark):
+    rows = spark.createDataFrame([(i, [0.0, 0.0] if i < 20 else [1.0, float(i)]) for i in range(24)], "listing_id long, embedding array<float>")
+    got = knn.knn(rows, rows, 5, (), ()).collect()
+    assert {r.query_id for r in got} == {20, 21, 22, 23} == {r.listing_id for r in got} and len(got) == 12
+
+
+def test_lists_are_made_once_for_a_class_of_queries(spark):
+    """400 equal queries, each with 60 comparables: what is found used to be shuffled for each of them, 204 kB here."""
+    one = listing(spark, AT).filter("embedding is not null").limit(1).drop("listing_id", "status", "source", "lot_size", "has_defect", "is_accessory", "price_is_from", "sale_confidence", "price_confidence")
+    k = F.col("listing_id")
+    rows = kept(spark.range(800).withColumnRenamed("id", "listing_id").crossJoin(one).withColumns({"status": F.when(k % 2 == 0, "active").otherwise("likely_sold"), "source": F.lit("ebay"), "lot_size": F.lit(None).cast("int"), "has_defect": F.lit(False), "is_accessory": F.lit(False), "price_is_from": F.lit(False), "sale_confidence": F.lit(0.5), "price_confidence": F.lit(0.0), "price": 10.0 + k}))
+    got = {}
+    run = lambda: got.update(rows=valuation.value(valuation.sold_lists(rows.filter("status = 'active'"), rows, keep=kept)).collect())
+    assert shuffled(spark, run) < 80_000
+    assert len(got["rows"]) == 400
+    for r in got["rows"]:  # the least ids come first: of 60 others without itself, the odd ones are sold
+        others = [i for i in range(62) if i != r.listing_id][:60]
+        assert [(c["rank"], c.listing_id) for c in r.comps] == [(place + 1, i) for place, i in enumerate(others) if i % 2]
+        assert r.n == 30 and {c.weight for c in r.comps} == {1.0}
